@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, mixing, simhash, token_output, toxicity
+from ledgerloom.llm import decontaminate, language, line_dedup, mixing, neighbours, quality, simhash, token_counts, token_output, toxicity
 from ledgerloom.llm.batches import remainder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,6 +29,10 @@ def held_out(folds: int, fold: int):
     return F.coalesce(remainder(F.col("doc_id"), folds) == fold, F.lit(False)).alias("held_out")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), label="toxic", folds=5, held_out=0)
@@ -37,6 +44,17 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, PIECE_MODEL).select("doc_id", "n_tokens")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), label="quality", folds=3, held_out=1)
+    return quality.score(docs, model).select("doc_id", held_out(3, 1), *predicted())
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_table(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -50,19 +68,41 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    kept = line_dedup.remove_boilerplate(docs, text_col="text", site_col="source", sites=line_dedup.SITES)
+    return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
+
+
+LINE_DEDUP_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents),
+trimmed AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS own FROM lines),
+spread AS (SELECT own FROM trimmed WHERE own <> '' GROUP BY own HAVING count(DISTINCT source) >= {line_dedup.SITES}),
+marked AS (SELECT t.*, s.own IS NOT NULL AS gone FROM trimmed t LEFT JOIN spread s ON t.own = s.own)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_md5
+FROM marked GROUP BY doc_id
+"""
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.filter(remainder(F.col("doc_id"), 4) != 2))
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(4, 2), "lang_pred", "score")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_toxicity": op2_toxicity,
-        "op3_simhash_near_dedup": op3_simhash_near_dedup,
-        "op6_token_ids": op6_token_ids,
-        "op7_decontaminate": op7_decontaminate,
-        "op10_mix_sources": op10_mix_sources,
-    }
+    own = (
+        op1_nearest_neighbours, op2_toxicity, op3_simhash_near_dedup, op4_token_counts, op5_quality,
+        op6_token_ids, op7_decontaminate, op8_line_dedup, op9_language, op10_mix_sources,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": LINE_DEDUP_SQL}

@@ -56,10 +56,20 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.ratio(text) + self.offset, -500, 500))))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id") -> DataFrame:
-    """doc_id, text, y of the documents with a label; of contrary labels for an id the larger counts."""
-    own = columns(labels, **{label_id: "_id", label: "y"}).filter("_id is not null and y is not null").groupBy("_id").agg(F.max("y").cast("int").alias("y"))
-    return columns(docs, **{id_col: "doc_id", text_col: "text"}).join(broadcast_if_small(own, 2_000_000), F.col("doc_id") == F.col("_id")).drop("_id")
+def known_labels(labels: DataFrame, label: str, label_id: str = "doc_id") -> DataFrame:
+    """_id, y of the labels that say something; of contrary ones for an id the larger counts."""
+    own = columns(labels, **{label_id: "_id", label: "y"}).filter("_id is not null and y is not null")
+    return own.groupBy("_id").agg(F.max("y").cast("int").alias("y"))
+
+
+def labelled(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, y of the documents with a label; a label table of known size is broadcast."""
+    return columns(docs, **{id_col: "doc_id", text_col: "text"}).join(broadcast_if_small(known, 2_000_000), F.col("doc_id") == F.col("_id")).drop("_id")
+
+
+def label_sample(known: DataFrame, rows: int) -> DataFrame:
+    """At most so many labels, in the order of a hash of the id; texts are joined to them afterwards."""
+    return materialize(known.orderBy(F.xxhash64("_id"), "_id").limit(rows), "sample")
 
 
 def count_grams(train: DataFrame) -> DataFrame:
@@ -147,10 +157,10 @@ def calibrate(model: Model, rows: list[tuple[float, int]]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 5, held_out: int = 0, calibration: int = 1, **how) -> Model:
     """Fit on the labelled documents of all folds but held_out (and, for the counts, but calibration)."""
-    known = labelled(docs, labels, label, **how)
-    fold = remainder(F.col("doc_id"), folds)
-    model = fit(known.filter(~fold.isin(held_out, calibration)))
-    sample = known.filter(fold == calibration).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
+    known = materialize(known_labels(labels, label), "labels")
+    fold = remainder(F.col("_id"), folds)
+    model = fit(labelled(docs, known.filter(~fold.isin(held_out, calibration)), **how))
+    sample = labelled(docs, label_sample(known.filter(fold == calibration), CALIBRATION_ROWS), **how)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = append_columns(sample, [T.StructField("x", T.DoubleType())], lambda: lambda batch: [pa.array([shared.value.ratio(t) for t in texts(batch)], pa.float64())], ["text"])
     return calibrate(model, [tuple(r) for r in rows.select("x", "y").collect()])

@@ -79,7 +79,7 @@ def test_scores_and_edges(spark, docs, none):
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.01', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
-    known = toxicity.labelled(docs, labels, "toxic").filter(toxicity.remainder(toxicity.F.col("doc_id"), 5) == 0)
+    known = toxicity.labelled(docs, toxicity.known_labels(labels, "toxic")).filter(toxicity.remainder(toxicity.F.col("doc_id"), 5) == 0)
     rows = toxicity.score(known, model).join(docs.select("doc_id", "lang"), "doc_id").filter("lang = 'en'").select("y", "score").collect()
     hit = sum((r.score >= 0.5) == (r.y == 1) for r in rows)
     assert hit / len(rows) > 0.95
