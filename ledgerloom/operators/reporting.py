@@ -35,7 +35,8 @@ def results_candidates(filings: DataFrame) -> DataFrame:
     items = F.coalesce(F.col("items"), F.lit(""))
     own = filings.filter((F.col("form") == "8-K") & within_lag(F.col("accepted"), F.col("period_end")) & (items.contains("2.02") | items.contains("7.01")))
     judged = own.withColumn("judged", X.classify_documents(X.submission_documents(F.col("raw")), F.col("period_end"), items.contains("2.02")))
-    return judged.select(*own.columns, "judged.*").drop("raw")
+    j = F.col("judged")
+    return judged.select(*own.columns, j["filename"].alias("filename"), j["event_type"].alias("event_type"), j["accepted"].alias("accepted_exhibit"), j["reason"].alias("reason")).drop("raw")
 
 
 def reporting_calendar(grid: DataFrame, results: DataFrame, periodic: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def flat(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, fields: list[str], order: list[str] | None = None) -> None:
     """A delimited table of fixed columns, sorted; Spark writes as many files as the rows need."""
     rows = df.select(*fields)
-    flat(rows.orderBy(*order) if order else rows).write.mode("errorifexists").options(header=True, lineSep="\n", emptyValue="").csv(path)
+    flat(rows.orderBy(*order) if order else rows).write.mode("errorifexists").options(header=True, lineSep="\n", emptyValue="", escape='"').csv(path)
 
 
 def write_pair(public: DataFrame, private: DataFrame, path: str) -> None:
