@@ -20,6 +20,8 @@ DISCOUNT = 0.75
 GRAM_BITS, CONTEXT_BITS = 22, 20
 #: Labelled rows, at most, on which the two numbers of the calibration are fitted.
 CALIBRATION_ROWS = 20_000
+#: Distinct n-grams that a task holds before it hands them on.
+TASK_GRAMS = 1_000_000
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -75,15 +77,30 @@ def label_sample(known: DataFrame, rows: int) -> DataFrame:
 def count_grams(train: DataFrame) -> DataFrame:
     """g, n0, n1: how often each n-gram occurs in ordinary and in toxic texts, over all of train (text, y)."""
 
+    def counted(keys: np.ndarray, n: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        add = lambda x: np.add.reduceat(x[order], first) if len(first) else x
+        return keys[first], add(n), add(n1)
+
+    def rows(held: list) -> pa.RecordBatch:
+        keys, n, n1 = counted(*map(np.concatenate, zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n - n1), pa.array(n1)], names=["g", "n0", "n1"])
+
     def run(batches):
+        held: list = []  # a task adds up its own texts, and hands on what it has once that grows large
         for whole in batches:
             for batch in chunks(whole, "text"):
-                y = np.array(batch.column("y").to_pylist())
                 parts = [grams(x) for x in texts(batch)]
-                keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-                toxic = np.repeat(y > 0, list(map(len, parts)))
-                n, n1 = np.bincount(at, minlength=len(keys)), np.bincount(at[toxic], minlength=len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n - n1), pa.array(n1)], names=["g", "n0", "n1"])
+                keys = np.concatenate(parts)
+                toxic = np.repeat(np.array(batch.column("y").to_pylist()) > 0, list(map(len, parts))).astype(np.int64)
+                held.append(counted(keys, np.ones(len(keys), np.int64), toxic))
+                if sum(len(k) for k, _, _ in held) > TASK_GRAMS:
+                    yield rows(held)
+                    held = []
+        if held:
+            yield rows(held)
 
     return train.select("text", "y").mapInArrow(run, "g long, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
