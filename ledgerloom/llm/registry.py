@@ -76,12 +76,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINE_DEDUP_SQL = f"""
 WITH lines AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents),
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
 trimmed AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS own FROM lines),
 spread AS (SELECT own FROM trimmed WHERE own <> '' GROUP BY own HAVING count(DISTINCT source) >= {line_dedup.SITES}),
 marked AS (SELECT t.*, s.own IS NOT NULL AS gone FROM trimmed t LEFT JOIN spread s ON t.own = s.own)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-  md5(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_md5
+  md5(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_md5
 FROM marked GROUP BY doc_id
 """
 
