@@ -17,7 +17,9 @@ from ledgerloom.operators import lineage as L
 from ledgerloom.operators import matching as M
 from ledgerloom.operators import overlap as O
 from ledgerloom.operators import reporting as R
+from ledgerloom.operators import projections as P
 from ledgerloom.operators import sampling as S
+from ledgerloom.operators import variants as VA
 from ledgerloom.plans import adapters as A
 from ledgerloom.sources import readers
 
@@ -671,3 +673,58 @@ def facility_discriminators(spark, sf):
 @query(WITH + "SELECT count(*) AS n, CAST(sum(CAST(('0x' || substr(sha256(facility_row_id), 1, 15)) AS BIGINT)) AS VARCHAR) AS digest FROM fac")
 def ids_digest(spark, sf):
     return G.ids_digest(A.facilities(spark, sf), "facility_row_id").select("n", *text("digest"))
+
+
+# ---- first versions and projections
+
+FIRST = POS + f""", cur AS (SELECT *, last_day(period_end - INTERVAL 3 MONTH) AS prior_end FROM pos WHERE is_current_period),
+fp AS (SELECT s.economic_facility_id AS id, min(p.economic_facility_id) AS prior_id, arg_min(p.ticker, p.economic_facility_id) AS prior_ticker, count(*) AS n_matches FROM cur s JOIN cur p ON s.prior_end = p.period_end AND s.borrower_norm = p.borrower_norm
+ WHERE p.accepted <= s.accepted AND {A.strict_sql("s", "p")} GROUP BY 1)
+"""
+
+
+@query(FIRST + "SELECT id, prior_id, prior_ticker, n_matches FROM fp")
+def prior_any_fund(spark, sf):
+    return VA.first_prior(A.positions(spark, sf)).select(F.col("economic_facility_id").alias("id"), "prior_id", "prior_ticker", "n_matches")
+
+
+@query(POS + f""", s AS (SELECT *, last_day(period_end - INTERVAL 3 MONTH) AS prior_end FROM pos WHERE is_current_period), p AS (SELECT * FROM pos WHERE NOT is_current_period)
+SELECT s.economic_facility_id AS id, count(*) AS n_prior, round(sum(p.fair_value) / nullif(sum(p.principal), 0), 8) AS prior_mark FROM s JOIN p ON s.prior_end = p.observation_date AND s.cik = p.cik AND s.investment_identifier = p.investment_identifier AND s.borrower_norm = p.borrower_norm
+WHERE p.accepted <= s.accepted AND {A.strict_sql("s", "p")} GROUP BY 1""")
+def prior_identifier(spark, sf):
+    return VA.identifier_prior(A.positions(spark, sf)).select(F.col("economic_facility_id").alias("id"), "n_prior", near("prior_mark", 8))
+
+
+@query(ELIGIBLE + f""", v AS (SELECT period_end, target_ticker, target_prior_facility_id, median(source_mark) AS b2 FROM elig GROUP BY ALL),
+nxt AS (SELECT s.economic_facility_id AS id, CASE WHEN count(*) = 1 THEN any_value(p.fair_value / nullif(p.principal, 0)) END AS actual
+  FROM cur s JOIN cur p ON last_day(s.period_end + INTERVAL 3 MONTH) = p.period_end AND s.borrower_norm = p.borrower_norm AND s.ticker = p.ticker WHERE {A.strict_sql("s", "p")} GROUP BY 1)
+SELECT observation_id, round(p.fair_value / nullif(p.principal, 0), 8) AS b0, round(b2, 8) AS b2, round(source_mark, 8) AS b3, round(source_mark + (p.fair_value / nullif(p.principal, 0) - source_prior_mark), 8) AS adjusted, round(abs(source_mark - actual) * 100, 6) AS b3_error_pp
+FROM elig e JOIN pos p ON p.economic_facility_id = e.target_prior_facility_id LEFT JOIN v ON v.period_end = e.period_end AND v.target_ticker = e.target_ticker AND v.target_prior_facility_id = e.target_prior_facility_id LEFT JOIN nxt ON nxt.id = e.target_prior_facility_id""")
+def nowcast_eval_first(spark, sf):
+    pos, _, obs = observations(spark, sf)
+    marks = pos.select("economic_facility_id", V.mark(None, F.col("fair_value"), F.col("principal")).alias("mark"))
+    return VA.evaluate(obs, EV.outcomes(pos), marks).select("observation_id", near("b0", 8), near("b2", 8), near("b3", 8), near("adjusted", 8), near("b3_error_pp"))
+
+
+@query(WITH + "SELECT label, count(*) AS n FROM (SELECT 'all' AS label FROM fac UNION ALL SELECT 'non_accrual' FROM fac WHERE non_accrual UNION ALL SELECT 'restructured' FROM fac WHERE restructuring_flag) t GROUP BY label")
+def cohort_fan_out(spark, sf):
+    out = P.fan_out(A.facilities(spark, sf), {"all": F.lit(True), "non_accrual": F.col("non_accrual"), "restructured": F.col("restructuring_flag")})
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, coalesce(s_name, c_name) AS name, coalesce(s_acctbal, c_acctbal) AS balance FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def preserved_rows(spark, sf):
+    new = A.table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    old = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return P.preserve(new, old, ["c_custkey"])
+
+
+@query(POS + A.CALENDAR + f""", src AS (SELECT p.ticker, p.period_end, greatest(r.results_ts, min(p.accepted)) AS public_ts FROM pos p JOIN res r ON r.ticker = p.ticker AND r.period_end = p.period_end WHERE is_current_period GROUP BY p.ticker, p.period_end, r.results_ts)
+SELECT s.ticker, CAST(s.period_end AS VARCHAR) AS period_end, count(*) FILTER (WHERE t.ticker <> s.ticker AND s.public_ts < t.results_ts) AS opportunities FROM src s LEFT JOIN (SELECT res.* FROM res SEMI JOIN (SELECT DISTINCT ticker FROM cal WHERE cik < {A.LISTED}) l ON l.ticker = res.ticker) t ON t.period_end = s.period_end GROUP BY ALL""")
+def timing_opportunities(spark, sf):
+    pos = A.positions(spark, sf)
+    cal = A.calendar(pos)
+    results = E.calendar(cal)
+    now = pos.filter("is_current_period").groupBy("ticker", "period_end").agg(F.min("accepted").alias("accepted")).join(results, ["ticker", "period_end"])
+    sources = now.select("ticker", "period_end", V.later(F.col("results_ts"), F.col("accepted")).alias("public_ts"))
+    return R.opportunities(results, sources, A.listed(cal)).select("ticker", *text("period_end"), "opportunities")

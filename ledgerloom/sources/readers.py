@@ -92,6 +92,21 @@ def unzip_arrays(payload: DataFrame, columns: list[str], struct: str = "recent")
     return payload.select(*own, F.explode(F.arrays_zip(*[F.col(f"{struct}.{c}").alias(c) for c in columns])).alias("_x")).select(*own, "_x.*")
 
 
+def event_items(payload: DataFrame, title_like: str, items: str = "items") -> DataFrame:
+    """Events of index pages (an array of items with id, title, code and time), those with a title and a four-digit code."""
+    flat = payload.select(F.explode(items).alias("_x")).select("_x.*")
+    code = F.regexp_extract(F.col("company_code"), r"(\d{4})", 1)
+    return flat.filter(F.col("title").contains(title_like) & (code != "")).withColumn("security_code", code)
+
+
+def company_matches(page: DataFrame, names: list[str], text: str = "html") -> DataFrame:
+    """cik and name of search results whose name is one of those looked for."""
+    found = F.regexp_extract_all(F.col(text), F.lit(r"CIK=(\d{10})[^>]*>([^<]+)<"), F.lit(0))
+    one = page.select(F.explode(found).alias("_m"))
+    hit = one.select(F.regexp_extract("_m", r"CIK=(\d{10})", 1).alias("cik"), F.trim(F.regexp_extract("_m", r">([^<]+)<", 1)).alias("name"))
+    return hit.filter(F.lower("name").isin(*[n.lower() for n in names])).distinct()
+
+
 def multi_map(rows: DataFrame, key: str, value: str) -> DataFrame:
     """All values of a key, sorted."""
     return rows.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias(value + "s"))

@@ -340,3 +340,30 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.event_type, r.n) for r in spark.table("counts").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_projections(spark):
+    from pyspark.sql import types as T
+
+    from ledgerloom.operators import projections as P
+
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, t string")
+    template = T.StructType([T.StructField("t", T.StringType()), T.StructField("n", T.LongType()), T.StructField("id", T.IntegerType())])
+    assert [tuple(r) for r in P.with_defaults(rows, template, {"t": "x"}).orderBy("id").collect()] == [("a", None, 1), ("x", None, 2)]
+    assert P.migrate(rows, template).columns == ["id", "t", "n"]
+    with pytest.raises(ValueError):
+        P.migrate(rows, T.StructType([T.StructField("id", T.StringType())]))
+    kept = P.preserve(rows, spark.createDataFrame([(2, "old")], "id int, t string"), ["id"])
+    assert sorted(map(tuple, kept.collect())) == [(1, "a"), (2, "old")]
+    assert P.supersede(rows, "void", "late").filter("status = 'void'").count() == 2
+    assert sorted(r.label for r in P.fan_out(rows, {"all": F.lit(True), "one": F.col("id") == 1}).collect()) == ["all", "all", "one"]
+    with pytest.raises(ValueError):
+        P.allow(rows, ["id"], ["id"])
+
+
+def test_index_pages(spark):
+    page = spark.createDataFrame([([("1", "業績予想の修正", "1301 x"), ("2", "other", "1302"), ("3", "業績予想の修正", "none")],)], "items array<struct<id:string,title:string,company_code:string>>")
+    assert [(r.id, r.security_code) for r in readers.event_items(page, "業績予想の修正").collect()] == [("1", "1301")]
+    html = spark.createDataFrame([('<a href="?CIK=0000000123&x">Alpha Fund</a><a href="?CIK=0000000124">Beta</a>',)], "html string")
+    assert [tuple(r) for r in readers.company_matches(html, ["alpha fund"]).collect()] == [("0000000123", "Alpha Fund")]
+    assert html.select(readers.links(F.col("html"), "CIK").alias("l")).first().l == ["?CIK=0000000123&x", "?CIK=0000000124"]
