@@ -13,10 +13,16 @@ ESCAPE = 15
 BLOCK = 8192
 
 
+#: Bits of the values that token ids mostly are.
+_SMALL = np.concatenate([[1], np.floor(np.log2(np.arange(1, 1 << 17))).astype(np.int8) + 1]).astype(np.int8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs, at least one."""
+    if len(values) and values.max() < len(_SMALL):
+        return _SMALL[values.astype(np.int64)]
     v = values.copy()
-    n = np.ones(len(v), np.int64)
+    n = np.ones(len(v), np.int8)
     for s in (32, 16, 8, 4, 2, 1):
         high = v >> np.uint64(s)
         wide = high > 0
@@ -25,28 +31,34 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return n
 
 
+def _windows(bits: np.ndarray):
+    """(selector, most bits in the window from each place), the window as long as the selector's count;
+    a longer window is the union of two shorter ones."""
+    most = {1: bits}
+    for s, (a, b) in ((13, (1, 1)), (12, (2, 1)), (11, (2, 2)), (10, (4, 1)), (9, (4, 2)), (8, (4, 3)), (7, (4, 4)), (6, (8, 2)), (5, (8, 4)), (4, (8, 7)), (3, (12, 8)), (2, (20, 10)), (1, (30, 30))):
+        n = len(bits) - a - b + 1
+        if n <= 0:
+            return
+        most[a + b] = np.maximum(most[a][:n], most[b][a : a + n])
+        if most[a + b].min() <= WIDTHS[s]:
+            yield s, most[a + b]
+
+
 def _encode_block(values: np.ndarray) -> np.ndarray:
     """The words of one block. At each place the selector that packs most values wins."""
     n, bits = len(values), _bits(values)
     if n and bits.max() > 60:
         return _encode_wide(values, bits)
-    best = np.full(n, 14, np.int64)
-    for s in range(13, 0, -1):
-        count, width = int(COUNTS[s]), int(WIDTHS[s])
-        if count > n:
-            continue
-        over = np.zeros(n + 1, np.int32)
-        np.cumsum(bits > width, out=over[1:])
-        fits = over[count:] == over[: n - count + 1]
-        if fits.any():
-            best[: n - count + 1][fits] = s
+    best = np.full(n, 14, np.int8)
+    for s, most in _windows(bits.astype(np.int8)):
+        best[: len(most)] = np.minimum(best[: len(most)], np.where(most <= WIDTHS[s], np.int8(s), np.int8(14)))
     jumps = COUNTS[best].tolist()
     starts, i = [], 0
     while i < n:
         starts.append(i)
         i += jumps[i]
     at = np.array(starts, np.int64)
-    chosen = best[at]
+    chosen = best[at].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen):
         own = np.flatnonzero(chosen == s)
