@@ -15,8 +15,9 @@ from ledgerloom.shared import materialize
 #: Vectors, at most, on which the index (rotation, lists, widths) is fitted; every vector is indexed.
 SAMPLE_ROWS = 20_000
 LISTS, PROBES = 64, 38
-#: Vectors and queries of one task's block; a list of more is dealt to several.
-VECTORS, QUERIES = 4096, 512
+#: Lists are scanned in so many bins, each with all that a query probes in it, so that a query travels and
+#: answers once for a bin. Vectors and queries of a bin are dealt to blocks of about these sizes.
+BINS, VECTORS, QUERIES = 8, 16_384, 2048
 #: Vectors of the sample whose distances give a query its first bound.
 PILOT = 1024
 #: Vectors that a scan takes on before it draws its bound closer.
@@ -70,8 +71,9 @@ def fit(sample: np.ndarray, keys: np.ndarray, longest: float, lists: int = LISTS
     return index
 
 
-def scan(vectors: np.ndarray, query: np.ndarray, bound: float, k: int, slack: float = SLACK, columns: int = COLUMNS) -> np.ndarray:
-    """Rows of vectors (their columns in blocks, STRIDE rows at a time) that may be among the k nearest.
+def scan(vectors: np.ndarray, query: np.ndarray, bound: float, k: int, ranges: list[tuple[int, int]] | None = None, slack: float = SLACK, columns: int = COLUMNS) -> np.ndarray:
+    """Rows of vectors (all, or those of some ranges) that may be among the k nearest, found by blocks of
+    columns and STRIDE rows at a time.
 
     After each block of columns, the squared distance over the d of D rotated dimensions seen so far,
     times D / d, estimates the whole one. A vector is given up once that is so far above the bound
@@ -79,8 +81,8 @@ def scan(vectors: np.ndarray, query: np.ndarray, bound: float, k: int, slack: fl
     distance; the k-th least of those so far is the bound of the rows that follow.
     """
     full, rows, whole = vectors.shape[1], [], []
-    for first in range(0, len(vectors), STRIDE):
-        alive = np.arange(first, min(len(vectors), first + STRIDE))
+    for first, last in ((a, min(a + STRIDE, end)) for start, end in ranges or [(0, len(vectors))] for a in range(start, end, STRIDE)):
+        alive = np.arange(first, last)
         part = np.zeros(len(alive))
         for at in range(0, full, columns):
             step = vectors[alive, at : at + columns] - query[at : at + columns]
@@ -112,8 +114,8 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
     another length than the most frequent one do not either. A query is no candidate of its own. Equal
     vectors are searched once: of them, the k + 1 smallest ids can be results, which is exact, and
     queries that share a vector share its search. Rows that repeat an id with the same vector are one.
-    Each query is compared by the lists near it; a list is dealt to blocks of VECTORS by QUERIES, so a
-    full list or a frequent query costs more tasks, not longer ones. Scores are inner products of the
+    Each query is compared by the lists near it, bin by bin; a bin is dealt to blocks of VECTORS by
+    QUERIES, so a full list costs more tasks, not longer ones. Scores are inner products of the
     original vectors in double precision. An empty table gives an empty one; other columns are not read.
     """
     spark = table.sparkSession
@@ -147,8 +149,11 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
             # the (k + 1)-th least distance in the pilot bounds that in the whole table
             far = (q * q).sum(axis=1)[:, None] + (index.pilot**2).sum(axis=1) - 2 * q @ index.pilot.T
             bound = np.partition(far, k, axis=1)[:, k] if far.shape[1] > k else np.full(len(q), np.inf)
-            again = np.repeat(np.arange(len(pdf)), near.shape[1])
-            yield pdf.iloc[again].assign(list=near.ravel().astype(np.int32), bound=np.maximum(0, bound[again]) * (1 + 1e-9) + 1e-9)
+            for b in range(BINS):
+                probed = [own[own % BINS == b].tolist() for own in near]
+                some = np.array([bool(x) for x in probed], bool)
+                if some.any():
+                    yield pdf[some].assign(bin=np.int32(b), lists=[x for x in probed if x], bound=np.maximum(0, bound[some]) * (1 + 1e-9) + 1e-9)
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
@@ -160,28 +165,31 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
 
     listed = materialize(distinct.mapInPandas(deal, "k1 long, k2 long, v array<double>, list int"), "lists")
     once = materialize(distinct.join(asking.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi"), "once")
-    asked = materialize(once.mapInPandas(ask, "k1 long, k2 long, v array<double>, list int, bound double"), "asked")
-    sizes = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / VECTORS).alias("vs")).join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("qs")), "list")
-    sizes = F.broadcast(sizes)  # a row for each list of the index
+    asked = materialize(once.mapInPandas(ask, "k1 long, k2 long, v array<double>, bin int, lists array<int>, bound double"), "asked")
+    listed = listed.withColumn("bin", F.col("list") % BINS)
+    sizes = listed.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / VECTORS).alias("vs")).join(asked.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("qs")), "bin")
+    sizes = F.broadcast(sizes)  # a row for each bin
     cell = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "k1", "k2"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = listed.join(sizes, "list").withColumn("vb", cell("vs", 2)).withColumn("qb", each("qs")).select("list", "vb", "qb", "k1", "k2", "v")
-    right = asked.join(sizes, "list").withColumn("qb", cell("qs", 3)).withColumn("vb", each("vs")).select("list", "vb", "qb", "k1", "k2", "v", "bound")
+    left = listed.join(sizes, "bin").withColumn("vb", cell("vs", 2)).withColumn("qb", each("qs")).select("bin", "vb", "qb", "k1", "k2", "v", "list")
+    right = asked.join(sizes, "bin").withColumn("qb", cell("qs", 3)).withColumn("vb", each("vs")).select("bin", "vb", "qb", "k1", "k2", "v", "lists", "bound")
 
     def compare(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         index, found = shared.value, []
         if len(vectors) and len(queries):
-            x, q = np.stack(vectors["v"].to_numpy()), np.stack(queries["v"].to_numpy())
+            vectors = vectors.sort_values("list", kind="stable")
+            x, q, own = np.stack(vectors["v"].to_numpy()), np.stack(queries["v"].to_numpy()), vectors["list"].to_numpy()
             placed, asked = index.place(x), index.ask(q)
             v1, v2 = vectors["k1"].to_numpy(), vectors["k2"].to_numpy()
-            for i, (a1, a2, bound) in enumerate(zip(queries["k1"], queries["k2"], queries["bound"], strict=True)):
-                at = scan(placed, asked[i], bound, k + 1)
+            for i, (a1, a2, lists, bound) in enumerate(zip(queries["k1"], queries["k2"], queries["lists"], queries["bound"], strict=True)):
+                ranges = [tuple(np.searchsorted(own, [n, n + 1])) for n in lists]
+                at = scan(placed, asked[i], bound, k + 1, ranges)
                 scores = (x[at] * q[i]).sum(axis=1)
                 found.append(pd.DataFrame({"q1": a1, "q2": a2, "k1": v1[at], "k2": v2[at], "score": scores}))
         columns = ["q1", "q2", "k1", "k2", "score"]
         return pd.concat(found)[columns] if found else pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in columns})
 
-    met = left.groupBy("list", "vb", "qb").cogroup(right.groupBy("list", "vb", "qb")).applyInPandas(compare, "q1 long, q2 long, k1 long, k2 long, score double")
+    met = left.groupBy("bin", "vb", "qb").cogroup(right.groupBy("bin", "vb", "qb")).applyInPandas(compare, "q1 long, q2 long, k1 long, k2 long, score double")
     # the pilot's nearest set the bounds, and so are candidates themselves
     met = met.unionByName(once.mapInPandas(begin, "q1 long, q2 long, k1 long, k2 long, score double")).dropDuplicates(["q1", "q2", "k1", "k2"])
     # vectors as near as the (k + 1)-th, which may hold smaller ids, stay: rank() leaves ties in

@@ -23,7 +23,7 @@ def case():
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=6).astype("float32").tolist()) for i in range(300)]
     rows += [(1000 + i, rows[20][1]) for i in range(60)]  # many equal vectors, queries among them
-    rows += [(2000, None), (2020, [0.0] * 6), (2040, [1.0, None, 1, 1, 1, 1]), (2060, [float("nan")] * 6), (2080, [float("inf")] * 6), (None, rows[0][1]), (5, rows[5][1]), (2100, [1.0, 2.0])]
+    rows += [(2000, None), (2020, [0.0] * 6), (2040, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2060, [float("nan")] * 6), (2080, [float("inf")] * 6), (None, rows[0][1]), (5, rows[5][1]), (2100, [1.0, 2.0])]
     return rows
 
 
