@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.shared import materialize, with_position
+from ledgerloom.shared import broadcast_if_small, materialize, with_position
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 20_240_601
@@ -135,5 +135,6 @@ def repeat(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     if not many.isEmpty():
         same = keyed.join(many, "_unit", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_unit").orderBy(F.xxhash64(F.col(f"`{text_col}`")))).cast("long"))
         numbered = numbered.join(many, "_unit", "left_anti").unionByName(same)
-    taken = numbered.join(chosen, ["_unit", "_nth"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    # only the rows of the mix travel if a count finds them few; else texts are shuffled once, by their key
+    taken = numbered.join(broadcast_if_small(chosen), ["_unit", "_nth"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
