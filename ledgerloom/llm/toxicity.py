@@ -16,10 +16,14 @@ from ledgerloom.shared import broadcast_if_small, materialize
 
 ORDER = 5
 DISCOUNT = 0.75
+#: Neutral bytes that the normalisation adds to a text, so that a short one needs more evidence.
+PRIOR = 100
 #: Slots of the table of scores by n-gram, and by context; n-grams that share a slot share their mean.
 GRAM_BITS, CONTEXT_BITS = 22, 20
 #: Labelled rows, at most, on which the two numbers of the calibration are fitted.
 CALIBRATION_ROWS = 20_000
+#: Toxic occurrences at which a context counts by half.
+TRUST = 20
 #: Distinct n-grams that a task holds before it hands them on.
 TASK_GRAMS = 1_000_000
 _MIX = 0x9E3779B97F4A7C15
@@ -41,18 +45,18 @@ def grams(text: bytes) -> np.ndarray:
 @dataclass
 class Model:
     grams: np.ndarray  # log-likelihood ratio of an n-gram that training met, else NaN
-    contexts: np.ndarray  # ratio of the backoff weights of a context
+    contexts: np.ndarray  # that of any other n-gram, by its context
     slope: float = 1.0
     offset: float = 0.0
 
     def ratio(self, text: bytes) -> float:
-        """Toxic minus ordinary log-likelihood for each byte of the text."""
+        """Toxic minus ordinary log-likelihood, per byte of the text and of PRIOR neutral ones."""
         keys = grams(text)
         found = self.grams[slots(keys, GRAM_BITS)]
         missed = np.isnan(found)
         if missed.any():
             found[missed] = self.contexts[slots(keys[missed] >> np.uint64(8), CONTEXT_BITS)]
-        return float(found.mean(dtype=np.float64))
+        return float(found.sum(dtype=np.float64) / (len(found) + PRIOR))
 
     def score(self, text: bytes) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.ratio(text) + self.offset, -500, 500))))
@@ -134,8 +138,15 @@ def fit(train: DataFrame) -> Model:
     context = materialize(context.select("c", "a0", "a1", weight(0).alias("w0"), weight(1).alias("w1")), "contexts")
     p = lambda i: F.when(F.col(f"a{i}") > 0, F.greatest(F.col(f"n{i}") - DISCOUNT, F.lit(0.0)) / F.col(f"a{i}")).otherwise(0.0) + F.col(f"w{i}") * F.col("p")
     met = counts.join(context, "c").join(shared_backoff(counts).withColumnRenamed("s", "short"), F.col("g").bitwiseAND(F.lit((1 << 8 * (ORDER - 1)) - 1)) == F.col("short"))
-    seen = met.select(F.col("g").alias("key"), F.log(p(1) / p(0)).alias("v"), (F.col("n0") + F.col("n1")).alias("n"))
-    backoff = context.select(F.col("c").alias("key"), F.log(F.col("w1") / F.col("w0")).alias("v"), (F.col("a0") + F.col("a1")).alias("n"))
+    # Ordinary text in a language that is rare among toxic ones would lose on every byte; so a ratio counts
+    # by what it exceeds the mean ratio of ordinary text in its context, and by how much toxic text has
+    # shown of the context.
+    seen = materialize(met.select("g", counts["c"], "n0", "n1", F.log(p(1) / p(0)).alias("ratio")), "ratios")
+    usual = seen.groupBy("c").agg(F.coalesce(F.try_divide(F.sum(F.col("n0") * F.col("ratio")), F.sum("n0").cast("double")), F.lit(0.0)).alias("usual"), (F.sum("n1") / (F.sum("n1") + TRUST)).alias("trust"))
+    usual = materialize(usual, "usual")
+    counted = lambda ratio: ((ratio - F.col("usual")) * F.col("trust")).alias("v")
+    seen = seen.join(usual, "c").select(F.col("g").alias("key"), counted(F.col("ratio")), (F.col("n0") + F.col("n1")).alias("n"))
+    backoff = context.join(usual, "c").select(F.col("c").alias("key"), counted(F.log(F.col("w1") / F.col("w0"))), (F.col("a0") + F.col("a1")).alias("n"))
     return Model(_table(seen, GRAM_BITS, np.nan), _table(backoff, CONTEXT_BITS, 0.0))
 
 

@@ -43,16 +43,24 @@ def brute_ratio(train, text):
         w = d * len(own) / a if a else 1.0
         return (max(counts[y][g] - d, 0) / a if a else 0.0), w
 
-    seen = {g[:-1] for g in kinds[n]}
-    out = []
-    for g in cut(text):
+    def ratio(g):
         (p0, w0), (p1, w1) = one(0, g), one(1, g)
         if g in kinds[n]:
             q = shared(g[1:])
-            out.append(math.log((p1 + w1 * q) / (p0 + w0 * q)))
-        else:
-            out.append(math.log(w1 / w0) if g[:-1] in seen else 0.0)
-    return sum(out) / len(out)
+            return math.log((p1 + w1 * q) / (p0 + w0 * q))
+        return math.log(w1 / w0)
+
+    def usual(c):
+        own = [g for g in kinds[n] if g[:-1] == c]
+        total, toxic = (sum(n[g] for g in own) for n in counts)
+        return sum(counts[0][g] * ratio(g) for g in own) / total if total else 0.0, toxic / (toxic + toxicity.TRUST)
+
+    seen = {g[:-1] for g in kinds[n]}
+    out = []
+    for g in cut(text):
+        mean, trust = usual(g[:-1]) if g[:-1] in seen else (0.0, 0.0)
+        out.append((ratio(g) - mean) * trust)
+    return sum(out) / (len(out) + toxicity.PRIOR)
 
 
 def test_ratio_against_brute_force(spark):
