@@ -17,6 +17,7 @@ from ledgerloom.shared import materialize
 
 #: Words are told apart by this many bits of a hash; vectors have DIM numbers, index vectors NONZERO of them.
 BITS, DIM, NONZERO, REACH = 14, 32, 2, 2
+AGAIN = (1 << BITS) - 1
 #: Labelled rows, at most, on which the network is fitted; the last fifth of them sets the temperature.
 SAMPLE_ROWS = 20_000
 HIDDEN, STEPS, RATE = 24, 400, 0.02
@@ -33,7 +34,9 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 def tokens(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): runs of word bytes or of punctuation, hashed to BITS bits; text d has first[d]:first[d + 1]."""
+    """(hashes, first): runs of word bytes or of punctuation, hashed to BITS bits; text d has first[d]:first[d + 1].
+
+    A word that repeats one of the two runs before it stands as AGAIN, so that repetition has a vector."""
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     kind = _KIND[raw]
     change = np.flatnonzero(np.diff(kind)) + 1
@@ -42,10 +45,14 @@ def tokens(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     run = np.add.reduceat(raw.astype(np.uint64) * _powers(len(raw), _BASE), edges) * _powers(len(raw), pow(_BASE, -1, 1 << 64))[edges]
     real = kind[edges] > 0
     h = run[real]
+    first = np.concatenate([[0], np.searchsorted(edges[real], np.cumsum([len(p) + 1 for p in parts]))])
+    doc, again = np.repeat(np.arange(len(parts)), np.diff(first)), np.zeros(len(h), bool)
+    for gap in (1, 2):
+        again[gap:] |= (h[gap:] == h[:-gap]) & (doc[gap:] == doc[:-gap])
+    again &= kind[edges][real] == 1
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    return (h >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([[0], np.searchsorted(edges[real], ends)])
+    return np.where(again, AGAIN, (h >> np.uint64(64 - BITS)).astype(np.int64)), first
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:

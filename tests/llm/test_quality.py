@@ -18,9 +18,11 @@ def plain_tokens(text: bytes) -> list[int]:
         else:
             runs.append(bytes([c]))
             kinds.append(k)
-    out = []
-    for run, k in zip(runs, kinds):
-        if k:
+    out, words = [], [(run, k) for run, k in zip(runs, kinds) if k]
+    for at, (run, k) in enumerate(words):
+        if k == 1 and run in [r for r, _ in words[max(0, at - 2) : at]]:
+            out.append(quality.AGAIN)
+        else:
             h = sum(c * pow(quality._BASE, i, 1 << 64) for i, c in enumerate(run)) % (1 << 64)
             h ^= h >> 31
             out.append((h * 0xD6E8FEB86659FD93 % (1 << 64)) >> (64 - quality.BITS))
