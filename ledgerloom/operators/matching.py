@@ -91,9 +91,26 @@ def unique_matches(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]
     return all_matches(left, right, keys, left_id, predicate).filter("match_count = 1")
 
 
+#: Features that nearly every row knows; rows that know all of them meet by equality.
+CORE = ("debt_equity", "facility_type", "lien")
+
+
+def block_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], predicate: Column, l: str = "s_", r: str = "p_") -> DataFrame:  # noqa: E741
+    """Left and right rows that meet the keys and the strict predicate, each pair once.
+
+    A known feature must be equal where both sides know it, so rows that know all CORE features meet by
+    them as part of the key. Rows that do not (few) meet every row of the block: a complete left row also
+    looks among the incomplete ones, an incomplete one among all."""
+    full = lambda p: F.forall(F.array(*[V.known(F.col(p + c)) for c in CORE]), lambda x: x.isNotNull())
+    core = lambda p: F.concat_ws("\x1f", F.lit("core"), *[F.col(p + c) for c in CORE])
+    asks = F.when(full(l), F.array(core(l), F.lit("incomplete"))).otherwise(F.array(F.lit("all")))
+    answers = F.when(full(r), F.array(core(r), F.lit("all"))).otherwise(F.array(F.lit("incomplete"), F.lit("all")))
+    met = left.withColumn("_asks", F.explode(asks)).join(right.withColumn("_answers", F.explode(answers)), [F.col(a) == F.col(b) for a, b in keys] + [F.col("_asks") == F.col("_answers")])
+    return met.filter(predicate).drop("_asks", "_answers")
+
+
 def all_matches(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_id: list[str], predicate: Column) -> DataFrame:
-    on = [F.col(a) == F.col(b) for a, b in keys]
-    met = left.join(right, on).filter(predicate)
+    met = block_join(left, right, keys, predicate)
     return met.withColumn("match_count", F.count(F.lit(1)).over(Window.partitionBy(*left_id)))
 
 
