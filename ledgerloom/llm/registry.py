@@ -56,7 +56,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.token_table(table(spark, sf_dir, "documents"), BYTE_BPE)
+    # nothing else runs beside it, so workers may spend some 200 MB on remembered pieces
+    return token_output.token_table(table(spark, sf_dir, "documents"), BYTE_BPE, remember=900_000)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ from ledgerloom.shared import part_offsets, scratch_path
 
 #: Ids that one row of the file format holds, but for a longer last document.
 ROW_IDS = 1 << 18
-#: Distinct pieces, the first met, whose ids a Python worker remembers, and words encoded in one string.
-PIECES, WORDS = 900_000, 2000
+#: Distinct pieces, the first met, whose ids a Python worker remembers (some 200 bytes each, kept as long as
+#: the worker lives), and words encoded in one string.
+PIECES, WORDS = 100_000, 2000
 #: A row of the format: words and block offsets as little-endian 64-bit integers, and where its documents end.
 FORMAT = "shard int, row int, doc_ids array<{kind}>, lengths array<long>, n_tokens long, offsets binary, words binary"
 
@@ -35,7 +36,7 @@ class Encoder:
     never hold). Any other kind of tokenizer, and texts with special tokens or a space behind white
     space, are left to the tokenizer as a whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = PIECES):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")  # Spark runs as many workers as there are cores
 
         import public_tokenizers
@@ -54,7 +55,7 @@ class Encoder:
         self.spelled[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = _Numbers()
+        self.pieces, self.remember = _Numbers(), remember
         # ids of all pieces, and for each piece where its ids end and whether it ends in white space; the
         # arrays have room to spare, so that new pieces are written behind the known ones
         self.flat, self.ends, self.odd = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)
@@ -117,7 +118,7 @@ class Encoder:
         sizes = self.ends[at + 1] - self.ends[at]
         ids = self.flat[_gather(self.ends[at], sizes)]
         cut = np.concatenate([[0], np.cumsum(sizes)])[first]
-        if len(memo) > PIECES:
+        if len(memo) > self.remember:
             memo.forget(new)
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if whole[k] else ids[cut[k] : cut[k + 1]] for k, t in enumerate(texts)]
 
@@ -170,14 +171,15 @@ def _shown(text: str) -> str:
     return raw
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remember: int = PIECES) -> Encoder:
     """One for each file and worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    own = _encoders.get(path)
+    if own is None or own.remember != remember:
+        own = _encoders[path] = Encoder(path, remember)
+    return own
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, remember: int = PIECES) -> None:
     """Encode every text whole, append end_id to each document and write the ids in ascending doc_id order.
 
     Documents are dealt out by ranges of the id, so that the shards, and the rows in each, follow the
@@ -192,7 +194,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
     kind = dict(dealt.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end, row, shard, total = encoder(tokenizer), np.array([end_id], np.uint32), 0, 0, 0
+        own, end, row, shard, total = encoder(tokenizer, remember), np.array([end_id], np.uint32), 0, 0, 0
         held: list[np.ndarray] = []
         doc_ids: list[pa.Array] = []
         lengths: list[int] = []
