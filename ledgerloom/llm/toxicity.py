@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,19 +19,15 @@ ORDER = 5
 DISCOUNT = 0.75
 #: Neutral bytes that the normalisation adds to a text, so that a short one needs more evidence.
 PRIOR = 100
-#: Slots of the table of scores by n-gram, and by context; n-grams that share a slot share their mean.
-GRAM_BITS, CONTEXT_BITS = 22, 20
+#: N-grams, about, whose scores are broadcast at a time; more of them take further blocks over the same texts.
+BLOCK_GRAMS = 2_000_000
 #: Labelled rows, at most, on which the two numbers of the calibration are fitted.
 CALIBRATION_ROWS = 20_000
 #: Toxic occurrences at which a context counts by half.
 TRUST = 20
 #: Distinct n-grams that a task holds before it hands them on.
 TASK_GRAMS = 1_000_000
-_MIX = 0x9E3779B97F4A7C15
-
-
-def slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys * np.uint64(_MIX)) >> np.uint64(64 - bits)).astype(np.int64)
+_MIX, _PART = 0x9E3779B97F4A7C15, 1540483477
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -42,24 +39,72 @@ def grams(text: bytes) -> np.ndarray:
     return out
 
 
+class Scores:
+    """Exact scores by key: keys in the order of a hash that is one-to-one, found from the start of a bucket."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        hashed = keys.astype(np.uint64) * np.uint64(_MIX)
+        order = np.argsort(hashed)
+        self.hashed, self.values = hashed[order], values.astype(np.float32)[order]
+        self.shift = np.uint64(63 - max(1, len(keys)).bit_length())
+        self.first = np.searchsorted(self.hashed >> self.shift, np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' scores, NaN for a key that is not here."""
+        out, hashed = np.full(len(keys), np.nan), keys * np.uint64(_MIX)
+        bucket = (hashed >> self.shift).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            same = self.hashed[here] == hashed[left]
+            out[left[same]] = self.values[here[same]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
 @dataclass
 class Model:
-    grams: np.ndarray  # log-likelihood ratio of an n-gram that training met, else NaN
-    contexts: np.ndarray  # that of any other n-gram, by its context
+    blocks: list[Broadcast]  # of (Scores of n-grams that training met, Scores of others by their context)
     slope: float = 1.0
     offset: float = 0.0
 
+    @property
+    def grams(self) -> np.ndarray:
+        """The scores of all n-grams that training met."""
+        return np.concatenate([np.empty(0, np.float32), *[b.value[0].values for b in self.blocks]])
+
+    def ratios(self, parts: list[bytes]) -> np.ndarray:
+        """Toxic minus ordinary log-likelihood of each text, per byte of it and of PRIOR neutral ones.
+
+        A block holds whole contexts, so each n-gram finds its score, or its context's, in one of them;
+        of several blocks a task holds one at a time."""
+        out, n = np.zeros(len(parts)), len(self.blocks)
+        for i, block in enumerate(self.blocks):
+            met, contexts = block.value
+            for d, text in enumerate(parts):
+                keys = grams(text)
+                if n > 1:
+                    keys = keys[(keys >> np.uint64(8)) * np.uint64(_PART) // np.uint64(1 << 20) % np.uint64(n) == i]
+                found = met.get(keys)
+                missed = np.isnan(found)
+                if missed.any():
+                    found[missed] = np.nan_to_num(contexts.get(keys[missed] >> np.uint64(8)))
+                out[d] += found.sum()
+            if n > 1:
+                vars(block).pop("_value", None)
+        return out / (np.array([len(text) + 1 for text in parts]) + PRIOR)
+
     def ratio(self, text: bytes) -> float:
-        """Toxic minus ordinary log-likelihood, per byte of the text and of PRIOR neutral ones."""
-        keys = grams(text)
-        found = self.grams[slots(keys, GRAM_BITS)]
-        missed = np.isnan(found)
-        if missed.any():
-            found[missed] = self.contexts[slots(keys[missed] >> np.uint64(8), CONTEXT_BITS)]
-        return float(found.sum(dtype=np.float64) / (len(found) + PRIOR))
+        return float(self.ratios([text])[0])
+
+    def probabilities(self, parts: list[bytes]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.ratios(parts) + self.offset, -500, 500)))
 
     def score(self, text: bytes) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.ratio(text) + self.offset, -500, 500))))
+        return float(self.probabilities([text])[0])
 
 
 def known_labels(labels: DataFrame, label: str, label_id: str = "doc_id") -> DataFrame:
@@ -131,7 +176,7 @@ def shared_backoff(counts: DataFrame) -> DataFrame:
 
 
 def fit(train: DataFrame) -> Model:
-    """Both models from all of train (text, y), as one table of bounded size of their log-likelihood ratios."""
+    """Both models from all of train (text, y), as their log-likelihood ratios by n-gram and by context."""
     counts = materialize(count_grams(train), "grams").withColumn("c", F.shiftright("g", 8))
     context = counts.groupBy("c").agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1"), F.count_if(F.col("n0") > 0).alias("t0"), F.count_if(F.col("n1") > 0).alias("t1"))
     weight = lambda i: F.when(F.col(f"a{i}") > 0, DISCOUNT * F.col(f"t{i}") / F.col(f"a{i}")).otherwise(1.0)
@@ -145,23 +190,21 @@ def fit(train: DataFrame) -> Model:
     usual = seen.groupBy("c").agg(F.coalesce(F.try_divide(F.sum(F.col("n0") * F.col("ratio")), F.sum("n0").cast("double")), F.lit(0.0)).alias("usual"), (F.sum("n1") / (F.sum("n1") + TRUST)).alias("trust"))
     usual = materialize(usual, "usual")
     counted = lambda ratio: ((ratio - F.col("usual")) * F.col("trust")).alias("v")
-    seen = seen.join(usual, "c").select(F.col("g").alias("key"), counted(F.col("ratio")), (F.col("n0") + F.col("n1")).alias("n"))
-    backoff = context.join(usual, "c").select(F.col("c").alias("key"), counted(F.log(F.col("w1") / F.col("w0"))), (F.col("a0") + F.col("a1")).alias("n"))
-    return Model(_table(seen, GRAM_BITS, np.nan), _table(backoff, CONTEXT_BITS, 0.0))
+    seen = materialize(seen.join(usual, "c").select("c", F.col("g").alias("key"), counted(F.col("ratio"))), "scores")
+    backoff = materialize(context.join(usual, "c").select("c", F.col("c").alias("key"), counted(F.log(F.col("w1") / F.col("w0")))), "unmet")
+    return Model(_blocks(seen, backoff))
 
 
-def _table(values: DataFrame, bits: int, empty: float) -> np.ndarray:
-    """Means of v by slot of the key, weighted by n: at most 2**bits rows reach the driver."""
+def _blocks(*tables: DataFrame) -> list[Broadcast]:
+    """The scores of each table (c, key, v), dealt by context to blocks of about BLOCK_GRAMS rows: the driver holds one at a time."""
+    n = max(1, -(-tables[0].count() // BLOCK_GRAMS))
+    part = F.shiftright(F.col("c") * F.lit(_PART), 20) % n
 
-    def run(batches):
-        for batch in batches:
-            key = slots(batch.column("key").to_numpy().astype(np.uint64), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("v"), batch.column("n")], names=["slot", "v", "n"])
+    def scores(df: DataFrame, i: int) -> Scores:
+        rows = df.filter(part == i).select("key", F.col("v").cast("float").alias("v")).toArrow()
+        return Scores(rows["key"].to_numpy(), rows["v"].to_numpy())
 
-    rows = values.mapInArrow(run, "slot long, v double, n long").groupBy("slot").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).cast("float").alias("v")).toArrow()
-    out = np.full(1 << bits, empty, np.float32)
-    out[rows["slot"].to_numpy()] = rows["v"].to_numpy()
-    return out
+    return [tables[0].sparkSession.sparkContext.broadcast(tuple(scores(df, i) for df in tables)) for i in range(n)]
 
 
 def calibrate(model: Model, rows: list[tuple[float, int]]) -> Model:
@@ -189,8 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: in
     fold = remainder(F.col("_id"), folds)
     model = fit(labelled(docs, known.filter(~fold.isin(held_out, calibration)), **how))
     sample = labelled(docs, label_sample(known.filter(fold == calibration), CALIBRATION_ROWS), **how)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = append_columns(sample, [T.StructField("x", T.DoubleType())], lambda: lambda batch: [pa.array([shared.value.ratio(t) for t in texts(batch)], pa.float64())], ["text"])
+    rows = append_columns(sample, [T.StructField("x", T.DoubleType())], lambda: lambda batch: [pa.array(model.ratios(texts(batch)))], ["text"])
     return calibrate(model, [tuple(r) for r in rows.select("x", "y").collect()])
 
 
@@ -200,8 +242,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str =
     Every text is scored whole, an empty or null one by the edges of a text alone; a model of an empty
     training set gives 0.5. Copies score alike; other columns pass through.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return append_columns(docs, [T.StructField(name, T.DoubleType())], lambda: lambda batch: [pa.array([shared.value.score(t) for t in texts(batch, text_col)], pa.float64())], [text_col])
+    return append_columns(docs, [T.StructField(name, T.DoubleType())], lambda: lambda batch: [pa.array(model.probabilities(texts(batch, text_col)))], [text_col])
 
 
 def clean(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -72,6 +72,25 @@ def test_ratio_against_brute_force(spark):
         assert model.ratio(text.encode()) == pytest.approx(brute_ratio(train, text), abs=2e-5)
 
 
+def test_every_ngram_keeps_its_score(spark, monkeypatch):
+    """More n-grams than slots of any fixed table would keep apart, in one block and in several."""
+    keys = np.arange(3_000_000, dtype=np.uint64) * np.uint64(7919)
+    table = toxicity.Scores(keys, np.arange(len(keys)) % 1000)
+    assert (table.get(keys) == np.arange(len(keys)) % 1000).all() and np.isnan(table.get(keys + np.uint64(1))).all()
+    rng = random.Random(3)
+    train = [("".join(rng.choice("abcdefgh ") for _ in range(300)), i % 3 == 0) for i in range(60)]
+    train, said = spark.createDataFrame([(t, int(y)) for t, y in train], "text string, y int"), [train[0][0], "", "never met: xyz", "abc def"]
+    whole = toxicity.fit(train)
+    monkeypatch.setattr(toxicity, "BLOCK_GRAMS", 2000)
+    parts = toxicity.fit(train)
+    n = len(whole.grams)
+    assert len(whole.blocks) == 1 and len(parts.blocks) == -(-n // 2000) > 2 and len(parts.grams) == n == toxicity.count_grams(train).count()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "doc_id int, text string")
+    for model in (whole, parts):
+        got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+        assert [got[i] for i in range(len(said))] == pytest.approx([whole.score(t.encode()) for t in said], abs=1e-6)
+
+
 def test_scores_and_edges(spark, docs, none):
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(100)] + [(None, 1, 1), (3, None, None), (7, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels)
