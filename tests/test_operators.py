@@ -288,6 +288,19 @@ def test_aliases_and_layers(spark):
     assert O.top_aliases(O.alias_candidates(sample, target), 1).filter("left_name = 'acme widgets'").count() == 1
 
 
+def test_names_meet_for_every_row(spark):
+    rows = [(i, "b", name) for i, name in enumerate(["acme steel", "acme steel", "acme brass", "other", "steel acme wire"] + ["common wire"] * 40)] + [(99, "c", "acme steel"), (100, None, "acme steel")]
+    got = sorted((r.id, r.other, round(r.jaccard, 6), r.members) for r in O.name_similarity(spark.createDataFrame(rows, "id long, block string, name string"), "id", "name", ["block"]).collect())
+    want = []
+    for i, block, name in rows:
+        for other in {n for _, b, n in rows if b == block and b is not None}:
+            a, b = set(name.split()), set(other.split())
+            members = sum(b == block and n == other and j != i for j, b, n in rows)
+            if a & b and members:
+                want.append((i, other, round(len(a & b) / len(a | b), 6), members))
+    assert got == sorted(want) and len(got) < 45 * 5
+
+
 def test_guards(spark):
     a, b = spark.range(3), spark.range(1, 4)
     assert {(r.id, r.only_in) for r in G.same_members(a, b).collect()} == {(0, "left"), (3, "right")}
