@@ -666,10 +666,9 @@ def token_jaccard_names(spark, sf):
 
 @query()
 def alias_topk(spark, sf):
-    """Names of customers' nations and suppliers as aliases: no SQL has the sequence ratio; tests hold it against difflib."""
-    part = A.table(spark, sf, "part").select(F.col("p_brand").alias("period_end"), F.lower("p_name").alias("borrower_norm"))
-    sample = part.filter("period_end in ('Brand#1', 'Brand#2')").distinct()
-    return O.top_aliases(O.alias_candidates(sample, part).filter(F.col("right_name").isNotNull()))
+    """Names of parts as aliases, 30 drawn in each brand: no SQL has the sequence ratio; tests hold it against difflib."""
+    part = A.table(spark, sf, "part").select(F.col("p_brand").alias("period_end"), F.lower("p_name").alias("borrower_norm")).distinct()
+    return O.top_aliases(O.alias_candidates(S.block_sample(part, "borrower_norm", "period_end", 30, 20260813), part))
 
 
 @query(WITH + "SELECT facility_row_id, concat_ws(',', CASE lien WHEN 'lien_a' THEN 'first lien' WHEN 'lien_n' THEN 'second lien' END, CASE facility_type WHEN 'economy' THEN 'revolver' WHEN 'small' THEN 'term loan' END) AS words FROM fac")

@@ -301,6 +301,33 @@ def test_names_meet_for_every_row(spark):
     assert got == sorted(want) and len(got) < 45 * 5
 
 
+def test_alias_query_searches_every_block(spark):
+    import difflib
+
+    from ledgerloom.plans.registry import queries
+
+    sf = "/root/testdata/sf0.001"
+    names: dict = {}
+    for r in spark.read.parquet(f"{sf}/part.parquet").collect():
+        names.setdefault(r.p_brand, set()).add(r.p_name.lower())
+    rows = queries()["alias_topk"](spark, sf).collect()
+    found: dict = {}
+    for r in rows:
+        found.setdefault((r.period_end, r.left_name), []).append(r)
+    per = {b: sum(k[0] == b for k in found) for b in names}
+    assert per == {b: min(30, len(own)) for b, own in names.items()}
+    for (block, left), own in found.items():
+        near = [n for n in names[block] if difflib.SequenceMatcher(None, left, n).ratio() >= 0.72]
+        assert len(own) >= min(12, len(near)) and sorted(r["rank"] for r in own) == list(range(1, len(own) + 1))
+
+
+def test_rows_without_alias_stay_and_blocks_rank_apart(spark):
+    sample = spark.createDataFrame([("p", "acme widgets"), ("q", "acme widgets"), ("q", "zzzz")], "period_end string, borrower_norm string")
+    target = spark.createDataFrame([("q", "acme widgets one"), ("p", "acme widgets two")], "period_end string, borrower_norm string")
+    got = {(r.period_end, r.left_name, r.right_name) for r in O.top_aliases(O.alias_candidates(sample, target), 1).collect()}
+    assert got == {("p", "acme widgets", "acme widgets two"), ("q", "acme widgets", "acme widgets one"), ("q", "zzzz", None)}
+
+
 def test_guards(spark):
     a, b = spark.range(3), spark.range(1, 4)
     assert {(r.id, r.only_in) for r in G.same_members(a, b).collect()} == {(0, "left"), (3, "right")}
