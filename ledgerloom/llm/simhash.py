@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,15 +94,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     row. Null ids get the component of their fingerprint (null if no id is reachable). An empty table
     gives an empty one. Other columns are not looked at.
     """
+    return _grouped(docs, id_col, text_col, shingle).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """near_duplicates with root, the component's smallest fingerprint, which no other component shares."""
     named = columns(docs, **{id_col: "doc_id", text_col: "text"})
     rows = materialize(fingerprints(named, "text", "fp", shingle).select("doc_id", "fp"), "prints")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     joined = components(links(prints.select("fp")))
     groups = materialize(prints.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "groups")
     roots = materialize(groups.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
-    of = materialize(groups.join(roots, "root").select(F.col("fp").alias("print"), "component_id"), "of")
+    of = materialize(groups.join(roots, "root").select(F.col("fp").alias("print"), "root", "component_id"), "of")
     # both sides are read from tables, so Spark can split the fingerprint of a large group of copies
-    return rows.join(of, F.col("fp") == F.col("print"), "left").select("doc_id", "fp", "component_id")
+    return rows.join(of, F.col("fp") == F.col("print"), "left").select("doc_id", "fp", "root", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -112,14 +117,19 @@ def hexadecimal(fp: Column) -> Column:
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One document of each group, the one with the smallest id, with its own columns.
 
-    Rows without an id are kept, as nothing tells them apart. Of rows that repeat an id, one stays.
+    Rows without an id are kept, as nothing tells them apart. Rows that repeat an id count by their own
+    texts: one stays in each group of which the id is the smallest, by fingerprint and a hash of the text.
     """
-    found = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle), "found")
-    gone = materialize(found.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    own = F.col(f"`{id_col}`")
-    kept = docs.join(broadcast_if_small(gone), own == F.col("_gone"), "left_anti")
-    again = materialize(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    found = materialize(_grouped(docs, id_col, text_col, shingle), "found")
+    fate = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    fate = materialize(fate.filter("n > 1 or not stays"), "fate")
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    kept = docs.join(broadcast_if_small(fate.filter("not stays").select(F.col("doc_id").alias("_gone"))), own == F.col("_gone"), "left_anti")
+    again = fate.filter("stays").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
         return kept
     few = broadcast_if_small(again)
-    return kept.join(few, own == F.col("_again"), "left_anti").unionByName(kept.join(few, own == F.col("_again"), "left_semi").dropDuplicates([id_col]))
+    least = found.filter("doc_id = component_id").join(few, F.col("doc_id") == F.col("_again"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_print"), F.col("root").alias("_root")).distinct()
+    rows = fingerprints(kept.join(few, own == F.col("_again"), "left_semi"), text_col, "_fp", shingle).join(least, (own == F.col("_id")) & (F.col("_fp") == F.col("_print")))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_root").orderBy("_fp", F.xxhash64(text), text))).filter("_n = 1")
+    return kept.join(few, own == F.col("_again"), "left_anti").unionByName(rows.select(*[F.col(f"`{c}`") for c in docs.columns]))

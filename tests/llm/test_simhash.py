@@ -81,3 +81,14 @@ def test_deduplicate(docs, rows, none):
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert ids == sorted(i for i, c in found.items() if i == c)
     assert simhash.deduplicate(none).count() == 0 and simhash.near_duplicates(none).count() == 0
+
+
+def test_repeated_ids_count_by_their_own_text(spark):
+    """An id with two texts, one of them in the group of a smaller id; and two unrelated texts of one id."""
+    rng = random.Random(9)
+    one, two, three, four = (" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(4))
+    rows = [(1, one), (5, one), (5, two), (7, two), (8, three), (8, four), (8, four), (9, four), (None, one)]
+    want = [(1, one), (5, two), (8, three), (8, four), (None, one)]
+    for order in (rows, rows[::-1]):
+        kept = simhash.deduplicate(spark.createDataFrame(order, "doc_id long, text string").repartition(4)).collect()
+        assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
