@@ -2,39 +2,48 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.shared import materialize
 
-#: Vectors, at most, on which the index (rotation, lists, widths) is fitted; every vector is indexed.
-SAMPLE_ROWS = 20_000
-LISTS, PROBES = 64, 38
-#: Lists are scanned in so many bins, each with all that a query probes in it, so that a query travels and
-#: answers once for a bin. Vectors and queries of a bin are dealt to blocks of about these sizes.
-BINS, VECTORS, QUERIES = 8, 16_384, 2048
-#: Vectors of the sample whose distances give a query its first bound.
-PILOT = 1024
-#: Vectors that a scan takes on before it draws its bound closer.
-STRIDE = 2048
+#: Vectors, at most, on which the index (rotation, lists, bounds) is fitted, and so many for each list; every vector is indexed.
+SAMPLE_ROWS, SAMPLE_PER_LIST = 65_536, 64
+#: Lists for each root of the number of vectors, and vectors that a list has on average at least.
+LISTS_PER_ROOT, LIST_ROWS = 0.5, 256
+#: Share of the sample's own nearest neighbours that the probed lists must hold, and vectors asked to measure it.
+RECALL, TRIED = 0.93, 256
+#: Lists are scanned in cells of about so many vectors; a list of over MOST is dealt to several cells.
+VECTORS, MOST = 8192, 32_768
+#: One in so many vectors gives a query its first bound (they are no candidates for that).
+PILOT = 8
+#: Vectors by queries that a scan takes on before it draws its bounds closer.
+STRIDE, ASKED = 2048, 512
 #: Dimensions that a scan adds before each test, and the slack of the test (larger: fewer wrong rejections).
 COLUMNS, SLACK = 16, 2.1
+#: Pairs of a tile, as a share, below which the scan goes on pair by pair.
+DENSE = 0.1
 SEED = 17
 
 
+def lists_for(n: int) -> int:
+    return max(1, round(min(LISTS_PER_ROOT * math.sqrt(n), n / LIST_ROWS)))
+
+
 @dataclass
 class Index:
     rotation: np.ndarray
     centres: np.ndarray
     longest: float  # of the norms of all vectors
-    pilot: np.ndarray  # rotated, augmented vectors from the sample
-    pilot_vectors: np.ndarray  # the same as they are in the table
-    pilot_keys: np.ndarray
+    pilot: np.ndarray  # rotated, augmented vectors of the sample
+    probes: int
+    cells: list[tuple[int, int]]  # of each list: the first of its cells and how many they are
 
     def place(self, x: np.ndarray) -> np.ndarray:
         """Rotated vectors with one more number that makes them equally long: then the largest inner
@@ -46,60 +55,116 @@ class Index:
         return np.column_stack([q, np.zeros(len(q))]) @ self.rotation
 
     def lists(self, x: np.ndarray, n: int) -> np.ndarray:
-        far = (self.centres**2).sum(axis=1) - 2 * (x @ self.centres.T)
-        n = min(n, len(self.centres))
-        near = np.argpartition(far, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable"), axis=1)
+        """Of each vector the n lists with the nearest centres, nearest first."""
+        n, out = min(n, len(self.centres)), []
+        for at in range(0, len(x), ASKED):
+            far = (self.centres**2).sum(axis=1) - 2 * (x[at : at + ASKED] @ self.centres.T)
+            near = np.argpartition(far, n - 1, axis=1)[:, :n]
+            out.append(np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable"), axis=1))
+        return np.concatenate(out) if out else np.empty((0, n), np.int64)
+
+    def bounds(self, q: np.ndarray, k: int) -> np.ndarray:
+        """Of each query the k-th least distance in the pilot, which bounds that in the whole table."""
+        out = np.full(len(q), np.inf)
+        if len(self.pilot) >= k:
+            size = (self.pilot**2).sum(axis=1)
+            for at in range(0, len(q), ASKED):
+                own = q[at : at + ASKED]
+                far = (own * own).sum(axis=1)[:, None] + size - 2 * own @ self.pilot.T
+                out[at : at + ASKED] = np.maximum(0, np.partition(far, k - 1, axis=1)[:, k - 1])
+        return out * (1 + 1e-9) + 1e-9
 
 
-def fit(sample: np.ndarray, keys: np.ndarray, longest: float, lists: int = LISTS, rounds: int = 12) -> Index:
-    """A random rotation, and lists around k-means centres of the sample."""
+def fit(sample: np.ndarray, longest: float, n: int, k: int, lists: int | None = None, probes: int | None = None, recall: float = RECALL, rounds: int = 8) -> Index:
+    """A random rotation, lists around k-means centres of the sample, and their cells for n vectors.
+
+    Without a number of probes, the least is taken with which the sample's k nearest to some of its own
+    vectors are found at the wanted share. In a larger table the nearest are nearer, and so found sooner."""
     rng = np.random.default_rng(SEED)
     d = sample.shape[1] + 1
-    index = Index(np.linalg.qr(rng.normal(size=(d, d)))[0], np.zeros((1, d)), longest, np.zeros((0, d)), sample[:PILOT], keys[:PILOT])
+    index = Index(np.linalg.qr(rng.normal(size=(d, d)))[0], np.zeros((1, d)), longest, np.zeros((0, d)), 1, [])
     x = index.place(sample)
-    index.pilot = x[:PILOT]
-    centres = x[rng.permutation(len(x))[:lists]]
+    index.pilot = x[: n // PILOT]
+    index.centres = x[rng.permutation(len(x))[: lists or lists_for(n)]]
     for _ in range(rounds):
-        index.centres = centres
         own = index.lists(x, 1)[:, 0]
-        n = np.bincount(own, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
-        centres = np.where(n[:, None] > 0, sums / np.maximum(1, n)[:, None], centres)
-    index.centres = centres
+        order = np.argsort(own, kind="stable")
+        used, first = np.unique(own[order], return_index=True)
+        index.centres[used] = np.add.reduceat(x[order], first, axis=0) / np.diff([*first, len(x)])[:, None]
+    own = index.lists(x, 1)[:, 0]
+    index.probes = probes or _probes(index, sample, x, own, k, recall)
+    # lists are packed into cells in their order; the sample tells how many vectors each will hold
+    size = np.bincount(own, minlength=len(index.centres)) * (n / len(x))
+    cell, filled = 0, 0.0
+    for held in size:
+        if held > MOST:
+            cell += filled > 0
+            index.cells.append((cell, math.ceil(held / MOST)))
+            cell, filled = cell + index.cells[-1][1], 0.0
+            continue
+        if filled and filled + held > VECTORS:
+            cell, filled = cell + 1, 0.0
+        index.cells.append((cell, 1))
+        filled += held
     return index
 
 
-def scan(vectors: np.ndarray, query: np.ndarray, bound: float, k: int, ranges: list[tuple[int, int]] | None = None, slack: float = SLACK, columns: int = COLUMNS) -> np.ndarray:
-    """Rows of vectors (all, or those of some ranges) that may be among the k nearest, found by blocks of
-    columns and STRIDE rows at a time.
+def _probes(index: Index, sample: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, recall: float) -> int:
+    tried = sample[:TRIED]
+    score = tried @ sample.T
+    score[np.arange(len(tried)), np.arange(len(tried))] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return len(index.centres)
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    place = np.argsort(index.lists(index.ask(tried), len(index.centres)), axis=1)
+    return int(np.quantile(np.take_along_axis(place, own[near], axis=1), recall, method="higher")) + 1
 
-    After each block of columns, the squared distance over the d of D rotated dimensions seen so far,
-    times D / d, estimates the whole one. A vector is given up once that is so far above the bound
-    that the hypothesis of its being nearer is rejected. What reaches the last block has its whole
-    distance; the k-th least of those so far is the bound of the rows that follow.
-    """
-    full, rows, whole = vectors.shape[1], [], []
-    for first, last in ((a, min(a + STRIDE, end)) for start, end in ranges or [(0, len(vectors))] for a in range(start, end, STRIDE)):
-        alive = np.arange(first, last)
-        part = np.zeros(len(alive))
-        for at in range(0, full, columns):
-            step = vectors[alive, at : at + columns] - query[at : at + columns]
-            part = part + np.einsum("ij,ij->i", step, step)
-            seen = min(full, at + columns)
-            limit = bound if seen == full else bound * seen / full * (1 + slack / np.sqrt(seen)) ** 2
-            stay = part <= limit
-            alive, part = alive[stay], part[stay]
-            if not len(alive):
-                break
-        if len(alive):
-            rows, whole = np.concatenate([rows, alive]).astype(np.int64), np.concatenate([whole, part])
-            if len(rows) > k:
-                # distances as near as rounding tells stay, for the exact scores to settle
-                bound = min(bound, np.partition(whole, k - 1)[k - 1] * (1 + 1e-9) + 1e-9)
-                rows, whole = rows[whole <= bound], whole[whole <= bound]
-    return np.asarray(rows, np.int64)
+
+def scan(vectors: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, slack: float = SLACK, columns: int = COLUMNS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, distance) of the pairs that may be among a query's k nearest; bounds are drawn closer in place.
+
+    Tiles of vectors by queries add block after block of columns. The squared distance over the d of D
+    rotated dimensions seen so far, times D / d, estimates the whole one; a pair is given up once that is
+    so far above the query's bound that the hypothesis of its being nearer is rejected. While many pairs
+    of a tile are left, a block is one product of matrices; then it goes on with those that are left. What
+    reaches the last block has its whole distance, and the k-th least so far is the query's bound."""
+    full = vectors.shape[1]
+    held = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for to in range(0, len(queries), ASKED):
+        asked, bound = queries[to : to + ASKED], bounds[to : to + ASKED]
+        mine = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for first in range(0, len(vectors), STRIDE):
+            tile = vectors[first : first + STRIDE]
+            part, stay, pairs = np.zeros((len(asked), len(tile))), np.ones((len(asked), len(tile)), bool), None
+            for at in range(0, full, columns):
+                a, b, seen = asked[:, at : at + columns], tile[:, at : at + columns], min(full, at + columns)
+                limit = bound if seen == full else bound * seen / full * (1 + slack / math.sqrt(seen)) ** 2
+                if pairs is None:
+                    part += (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
+                    stay &= part <= limit[:, None]
+                    if seen == full or stay.mean() < DENSE:
+                        i, j = np.nonzero(stay)
+                        pairs = i, j, part[i, j]
+                else:
+                    i, j, far = pairs
+                    step = a[i] - b[j]
+                    far = far + np.einsum("ij,ij->i", step, step)
+                    left = far <= limit[i]
+                    pairs = i[left], j[left], far[left]
+                if pairs and not len(pairs[0]):
+                    break
+            i, j, far = (np.concatenate(x) for x in zip(mine, (pairs[0], pairs[1] + first, pairs[2]), strict=True))
+            order = np.lexsort((far, i))
+            i, j, far = i[order], j[order], far[order]
+            begin = np.searchsorted(i, np.arange(len(asked)))
+            enough = np.flatnonzero(np.diff([*begin, len(i)]) >= k)
+            # distances as near as rounding tells stay, for the exact scores to settle
+            bound[enough] = np.minimum(bound[enough], far[begin[enough] + k - 1] * (1 + 1e-9) + 1e-9)
+            left = far <= bound[i]
+            mine = i[left], j[left], far[left]
+        held = tuple(np.concatenate(x) for x in zip(held, (mine[0] + to, *mine[1:]), strict=True))
+    return held
 
 
 def _usable(vector: Column) -> Column:
@@ -107,16 +172,33 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, lists: int = LISTS, probes: int = PROBES) -> DataFrame:
+def _matrix(column) -> np.ndarray:
+    """A list column whose lists are equally long."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+FOUND = {"q1": pa.int64(), "q2": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "score": pa.float64()}
+
+
+def search(
+    table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20,
+    lists: int | None = None, probes: int | None = None, recall: float = RECALL, slack: float = SLACK,
+) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by inner product, ties to smaller ids.
 
+    Lists grow with the root of the table, and the probed share is measured on the sample; given numbers
+    override both. With probes = lists and an infinite slack the search is exact. All results come from
+    the probed lists; a query that finds fewer than k there while there are more looks through all lists.
+
     Null or zero vectors, ones with a null or non-finite number, and null ids take no part; vectors of
-    another length than the most frequent one do not either. A query is no candidate of its own. Equal
-    vectors are searched once: of them, the k + 1 smallest ids can be results, which is exact, and
-    queries that share a vector share its search. Rows that repeat an id with the same vector are one.
-    Each query is compared by the lists near it, bin by bin; a bin is dealt to blocks of VECTORS by
-    QUERIES, so a full list costs more tasks, not longer ones. Scores are inner products of the
-    original vectors in double precision. An empty table gives an empty one; other columns are not read.
+    another length than the most frequent one do not either. A query is no candidate of its own. Rows
+    that repeat an id with the same vector are one; of different vectors of one id, one takes part, the
+    least by a hash of its numbers. Equal vectors are searched once: of them, the k + 1 smallest ids can
+    be results, which is exact, and queries that share a vector share its search. Vectors are shuffled
+    once, by the cell of their list, and a query goes once to each cell that it probes; a list of many
+    vectors is dealt to several cells. Scores are inner products of the original vectors in double
+    precision. An empty table gives an empty one; other columns are not read.
     """
     spark = table.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -125,76 +207,96 @@ def search(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector
     if common is None:
         return spark.createDataFrame([], out)
     rows = rows.filter(F.size("v") == common.d).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
+    whole = materialize(rows.groupBy("id").agg(F.min(F.struct("k1", "k2", "v", "q")).alias("x")).select("id", "x.*"), "vectors")
     least = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
-    kept = materialize(rows.dropDuplicates(["id", "k1", "k2"]).withColumn("_n", least).filter(F.col("_n") <= k + 1), "candidates")
-    asking = materialize(rows.filter("q").select("id", "k1", "k2").distinct(), "queries")
-    distinct = kept.filter("_n = 1").select("k1", "k2", "v")
+    kept = materialize(whole.select("id", "k1", "k2", "v", least.alias("_n")).filter(F.col("_n") <= k + 1), "candidates")
+    asking, distinct = whole.filter("q").select("id", "k1", "k2"), kept.filter("_n = 1").select("k1", "k2", "v")
 
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    longest = distinct.agg(F.max(norm)).first()[0]
-    sample = distinct.orderBy(F.xxhash64("k1", "k2"), "k1", "k2").limit(SAMPLE_ROWS).select("v", "k1", "k2").toArrow()
-    index = fit(np.array(sample["v"].to_pylist()), np.column_stack([sample["k1"].to_numpy(), sample["k2"].to_numpy()]), longest, lists)
+    n, longest = distinct.agg(F.count(F.lit(1)), F.max(norm)).first()
+    most = min(SAMPLE_ROWS, SAMPLE_PER_LIST * (lists or lists_for(n)))
+    # about as many rows by a hash, so that no task sorts more than its share of them
+    share = math.ceil(1.2 * most / n * (1 << 30))
+    sample = distinct.filter(F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 30)) < share).orderBy(F.xxhash64("k2", "k1"), "k1", "k2").limit(most).select("v").toArrow()
+    index = fit(_matrix(sample["v"]), longest, n, k + 1, lists, probes, recall) if sample.num_rows else fit(_matrix(distinct.limit(1).select("v").toArrow()["v"]), longest, n, k + 1, lists, probes, recall)
     shared = spark.sparkContext.broadcast(index)
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = shared.value.place(np.stack(pdf["v"].to_numpy()))
-            yield pdf.assign(list=shared.value.lists(x, 1)[:, 0].astype(np.int32))
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        for pdf in batches:
-            q = index.ask(np.stack(pdf["v"].to_numpy()))
-            near = index.lists(q, probes)
-            # the (k + 1)-th least distance in the pilot bounds that in the whole table
-            far = (q * q).sum(axis=1)[:, None] + (index.pilot**2).sum(axis=1) - 2 * q @ index.pilot.T
-            bound = np.partition(far, k, axis=1)[:, k] if far.shape[1] > k else np.full(len(q), np.inf)
-            for b in range(BINS):
-                probed = [own[own % BINS == b].tolist() for own in near]
-                some = np.array([bool(x) for x in probed], bool)
-                if some.any():
-                    yield pdf[some].assign(bin=np.int32(b), lists=[x for x in probed if x], bound=np.maximum(0, bound[some]) * (1 + 1e-9) + 1e-9)
-
-    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        for pdf in batches:
-            for a1, a2, v in zip(pdf["k1"], pdf["k2"], pdf["v"], strict=True):
-                scores = (index.pilot_vectors * v).sum(axis=1)
-                at = np.flatnonzero(scores >= np.partition(scores, -min(k + 1, len(scores)))[-min(k + 1, len(scores))])
-                yield pd.DataFrame({"q1": a1, "q2": a2, "k1": index.pilot_keys[at, 0], "k2": index.pilot_keys[at, 1], "score": scores[at]})
-
-    listed = materialize(distinct.mapInPandas(deal, "k1 long, k2 long, v array<double>, list int"), "lists")
-    once = materialize(distinct.join(asking.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi"), "once")
-    asked = materialize(once.mapInPandas(ask, "k1 long, k2 long, v array<double>, bin int, lists array<int>, bound double"), "asked")
-    listed = listed.withColumn("bin", F.col("list") % BINS)
-    sizes = listed.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / VECTORS).alias("vs")).join(asked.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("qs")), "bin")
-    sizes = F.broadcast(sizes)  # a row for each bin
-    cell = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "k1", "k2"), F.col(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = listed.join(sizes, "bin").withColumn("vb", cell("vs", 2)).withColumn("qb", each("qs")).select("bin", "vb", "qb", "k1", "k2", "v", "list")
-    right = asked.join(sizes, "bin").withColumn("qb", cell("qs", 3)).withColumn("vb", each("vs")).select("bin", "vb", "qb", "k1", "k2", "v", "lists", "bound")
-
-    def compare(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        index, found = shared.value, []
-        if len(vectors) and len(queries):
-            vectors = vectors.sort_values("list", kind="stable")
-            x, q, own = np.stack(vectors["v"].to_numpy()), np.stack(queries["v"].to_numpy()), vectors["list"].to_numpy()
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                index = shared.value
+                own = index.lists(index.place(_matrix(batch.column("v"))), 1)[:, 0]
+                first, cells = np.array(index.cells)[own].T
+                cell = first + (batch.column("k1").to_numpy() % cells)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array(cell, pa.int32())], names=["k1", "k2", "v", "list", "cell"])
+
+    def ask(all_lists: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, ASKED):
+                    index, batch = shared.value, whole.slice(at, ASKED)
+                    q = index.ask(_matrix(batch.column("v")))
+                    near = index.lists(q, len(index.centres) if all_lists else index.probes)
+                    bound = np.full(len(q), np.inf) if all_lists else index.bounds(q, k + 1)
+                    row, cell, probed = [], [], []
+                    for i, own in enumerate(near.tolist()):
+                        by_cell: dict[int, list[int]] = {}
+                        for one in own:
+                            for c in range(index.cells[one][1]):
+                                by_cell.setdefault(index.cells[one][0] + c, []).append(one)
+                        row += [i] * len(by_cell)
+                        cell += by_cell
+                        probed += by_cell.values()
+                    took = batch.take(pa.array(row, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cell, pa.int32()), pa.array(probed, pa.list_(pa.int32())), pa.array(bound[row])], names=["k1", "k2", "v", "cell", "lists", "bound"])
+
+        return run
+
+    def compare(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = []
+        if vectors.num_rows and queries.num_rows:
+            index = shared.value
+            own = vectors["list"].to_numpy()
+            x, q, bounds = _matrix(vectors["v"]), _matrix(queries["v"]), queries["bound"].to_numpy().copy()
             placed, asked = index.place(x), index.ask(q)
-            v1, v2 = vectors["k1"].to_numpy(), vectors["k2"].to_numpy()
-            for i, (a1, a2, lists, bound) in enumerate(zip(queries["k1"], queries["k2"], queries["lists"], queries["bound"], strict=True)):
-                ranges = [tuple(np.searchsorted(own, [n, n + 1])) for n in lists]
-                at = scan(placed, asked[i], bound, k + 1, ranges)
-                scores = (x[at] * q[i]).sum(axis=1)
-                found.append(pd.DataFrame({"q1": a1, "q2": a2, "k1": v1[at], "k2": v2[at], "score": scores}))
-        columns = ["q1", "q2", "k1", "k2", "score"]
-        return pd.concat(found)[columns] if found else pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in columns})
-
-    met = left.groupBy("bin", "vb", "qb").cogroup(right.groupBy("bin", "vb", "qb")).applyInPandas(compare, "q1 long, q2 long, k1 long, k2 long, score double")
-    # the pilot's nearest set the bounds, and so are candidates themselves
-    met = met.unionByName(once.mapInPandas(begin, "q1 long, q2 long, k1 long, k2 long, score double")).dropDuplicates(["q1", "q2", "k1", "k2"])
+            probed = queries["lists"].combine_chunks()
+            who = np.repeat(np.arange(len(q)), np.diff(probed.offsets.to_numpy()))
+            which = probed.flatten().to_numpy()
+            pairs = []
+            for one in np.unique(own):
+                at, by = np.flatnonzero(own == one), who[which == one]
+                if len(by):
+                    closer = bounds[by]
+                    i, j, far = scan(placed[at], asked[by], closer, k + 1, slack)
+                    bounds[by] = closer
+                    pairs.append((by[i], at[j], far))
+            if pairs:
+                i, j, far = map(np.concatenate, zip(*pairs, strict=True))
+                left = far <= bounds[i]
+                i, j = i[left], j[left]
+                k1, k2, q1, q2 = (t[c].to_numpy() for t in (vectors, queries) for c in ("k1", "k2"))
+                for to in range(0, len(i), 1 << 16):
+                    a, b = i[to : to + (1 << 16)], j[to : to + (1 << 16)]
+                    found.append([q1[a], q2[a], k1[b], k2[b], (x[b] * q[a]).sum(axis=1)])
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0)] * len(FOUND)
+        return pa.table([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, FOUND.values(), strict=True)], names=list(FOUND))
+
+    left = distinct.mapInArrow(deal, "k1 long, k2 long, v array<double>, list int, cell int")
+    kind = "k1 long, k2 long, v array<double>, cell int, lists array<int>, bound double"
     # vectors as near as the (k + 1)-th, which may hold smaller ids, stay: rank() leaves ties in
     near = F.rank().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score")))
-    top = materialize(met.withColumn("_r", near).filter(F.col("_r") <= k + 1), "top")
+
+    def best(queries: DataFrame, all_lists: bool) -> DataFrame:
+        met = left.groupBy("cell").cogroup(queries.mapInArrow(ask(all_lists), kind).groupBy("cell")).applyInArrow(compare, ", ".join(f"{c} {'double' if c == 'score' else 'long'}" for c in FOUND))
+        return materialize(met.withColumn("_r", near).filter(F.col("_r") <= k + 1), "top")
+
+    once = distinct.join(asking.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    top = best(once, False)
+    done = top.groupBy("q1", "q2").count().filter(F.col("count") >= min(k + 1, n)).select(F.col("q1").alias("k1"), F.col("q2").alias("k2"))
+    short = materialize(once.join(done, ["k1", "k2"], "left_anti"), "short")
+    if not short.isEmpty():
+        again = F.broadcast(short.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"))) if short.count() <= SAMPLE_ROWS else short.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"))
+        top = top.join(again, ["q1", "q2"], "left_anti").unionByName(best(short, True))
     ids = top.join(kept.select("k1", "k2", "id"), ["k1", "k2"])
     order = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "id")
     ids = materialize(ids.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1).groupBy("q1", "q2").agg(F.array_sort(F.collect_list(F.struct("_r", "id", "score"))).alias("near")), "near")

@@ -40,6 +40,33 @@ def test_against_brute_force(spark):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-9) and [i for i, _ in got[q]] == [i for i, _ in want[q]]
 
 
+def test_ids_with_two_vectors(spark):
+    """Of an id's different vectors one takes part, so ranks stay unique."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(i, rng.normal(size=4).tolist()) for i in (0, 7, 20)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(table, F.col("vec_id") % 20 == 0).collect()
+    assert len({(r.query_id, r.rank) for r in got}) == len({(r.query_id, r.vec_id) for r in got}) == len(got) == 3 * 20
+    assert {(r.query_id, r.rank, r.vec_id) for r in got} == {(r.query_id, r.rank, r.vec_id) for r in neighbours.search(table.repartition(5), F.col("vec_id") % 20 == 0).collect()}
+
+
+def test_all_probes_are_exact_and_short_queries_look_further(spark, monkeypatch):
+    """With every list and no test the search is exact; with one list of many, all k results still come."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 12)) * 5
+    rows = [(i, (centres[i % 40] + rng.normal(size=12)).tolist()) for i in range(4000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 20)
+    monkeypatch.setattr(neighbours, "VECTORS", 300)
+    monkeypatch.setattr(neighbours, "MOST", 120)
+    for how, least in (({"lists": 30, "probes": 30, "slack": float("inf")}, 1.0), ({"lists": 400, "probes": 1}, 0.0), ({}, 0.9)):
+        got: dict = {}
+        for r in neighbours.search(table, F.col("vec_id") % 20 == 0, **how).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert {q: len(v) for q, v in got.items()} == {q: 20 for q in want}
+        assert np.mean([len(set(got[q]) & {i for i, _ in want[q]}) / 20 for q in want]) >= least
+
+
 def test_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], schema)
@@ -57,7 +84,7 @@ def test_scan_keeps_the_nearest():
         q = rng.normal(size=33)
         far = ((x - q) ** 2).sum(axis=1)
         near = set(np.argsort(far)[:10].tolist())
-        assert len(near & set(neighbours.scan(x, q, np.inf, 10).tolist())) >= 9
+        assert len(near & set(neighbours.scan(x, q[None], np.array([np.inf]), 10)[1].tolist())) >= 9
 
 
 def test_recall(spark):
