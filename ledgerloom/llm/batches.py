@@ -38,12 +38,20 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(kind).to_pylist()]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of the table has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], start: Callable[[], Callable], inputs: list[str]) -> DataFrame:
     """df with columns that Python computes batch by batch, without a shuffle.
 
     start() runs once in each task and returns a function from a RecordBatch with the inputs (the
     first is the text) to the new Arrow arrays. Every other column passes through untouched,
-    whatever its name; a column of the same name as a new one is replaced by it.
+    whatever its name; a column of the same name as a new one (in any case) is replaced by it.
     """
     names = [f"c{i}" for i in range(len(df.columns))]
     new = [f"r{i}" for i in range(len(fields))]
@@ -61,8 +69,8 @@ def append_columns(df: DataFrame, fields: list[T.StructField], start: Callable[[
 
     assert first in df.columns
     made = flat.mapInArrow(run, schema)
-    own = {f.name for f in fields}
-    kept = [made[n].alias(c) for n, c in zip(names, df.columns, strict=True) if c not in own]
+    own = {f.name.lower() for f in fields}
+    kept = [made[n].alias(c) for n, c in zip(names, df.columns, strict=True) if c.lower() not in own]
     return made.select(*kept, *[made[n].alias(f.name) for n, f in zip(new, fields, strict=True)])
 
 

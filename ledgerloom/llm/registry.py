@@ -69,6 +69,21 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATE_SQL = f"""
+WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+place AS (SELECT item, w, least(len(w), {decontaminate.WINDOW}) AS k, unnest(generate_series(1, greatest(len(w) - {decontaminate.WINDOW - 1}, 1))) AS i FROM item WHERE len(w) > 0),
+pattern AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS said FROM place),
+doc AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+spot AS (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM doc, (SELECT DISTINCT k FROM pattern) WHERE len(w) >= k),
+met AS (SELECT doc_id, i, k, item FROM (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS said FROM spot) JOIN pattern USING (k, said)),
+hit AS (SELECT doc_id, count(DISTINCT word_at) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS word_at FROM met) GROUP BY doc_id),
+own AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM met) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     kept = line_dedup.remove_boilerplate(docs, text_col="text", site_col="source", sites=line_dedup.SITES)
@@ -106,4 +121,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": LINE_DEDUP_SQL}
+    return {"op7_decontaminate": DECONTAMINATE_SQL, "op8_line_dedup": LINE_DEDUP_SQL}

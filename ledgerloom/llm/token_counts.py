@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -16,6 +17,8 @@ MARK = "▁"  # stands for a space, and for the start of a text
 UNKNOWN_PENALTY = 10.0
 #: Distinct pieces between spaces whose count a Python worker remembers.
 MEMO = 400_000
+#: Characters, about, that are cut into words at a time.
+PART = 1 << 20
 
 _memo: dict[str, dict[str, int]] = {}
 
@@ -41,43 +44,37 @@ class Counter:
             self.automaton.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.bytes = {p for p, _ in pieces} >= {f"<0x{b:02X}>" for b in range(256)}
+        self.longest = max((len(p) for p, _ in pieces), default=1) or 1
 
     def count(self, text: str) -> int:
         """Pieces on the best path. Matches come by their end, the longest first, as ends are settled in
-        order; a later start must be strictly better, and the unknown character comes last of all."""
-        n = len(text)
-        if not n:
-            return 0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        known = [False] * n
-        if self.usable:
-            for end, (size, score) in self.automaton.iter(text):
-                ends[end].append((end + 1 - size, score))
-                if size == 1:
-                    known[end] = True
-        best, came, pieces = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for end in range(n):
-            top = None
-            for start, score in sorted(ends[end]):
-                value = score + best[start]
+        order; a later start must be strictly better, and the unknown character comes last of all.
+
+        A piece reaches back no further than the longest, so only so many places are remembered."""
+        size = self.longest + 1
+        best, pieces = [0.0] * size, [0] * size
+        matches = self.automaton.iter(text) if self.usable and text else iter(())
+        match, after_unknown, n = next(matches, None), False, 0
+        for end in range(len(text)):
+            top, known = None, False
+            while match is not None and match[0] == end:
+                length, score = match[1]
+                at = (end + 1 - length) % size
+                value = score + best[at]
                 if top is None or value > top:
-                    top, at = value, start
+                    top, n = value, pieces[at] + 1
+                known = known or length == 1
+                match = next(matches, None)
             unknown = False
-            if not known[end]:
-                value = self.unknown + best[end]
+            if not known:
+                at = end % size
+                value = self.unknown + best[at]
                 if top is None or value > top:
-                    top, at, unknown = value, end, True
-            best[end + 1], came[end + 1] = top, at
-            # a run of unknown characters is one piece, or the bytes of its characters
-            if not unknown:
-                pieces[end + 1] = pieces[at] + 1
-                continue
-            came[end + 1] = -1
-            if self.bytes:
-                pieces[end + 1] = pieces[end] + len(text[end].encode())
-            else:
-                pieces[end + 1] = pieces[end] + (not (end and came[end] == -1))
-        return pieces[n]
+                    # a run of unknown characters is one piece, or the bytes of its characters
+                    top, unknown = value, True
+                    n = pieces[at] + (len(text[end].encode("utf-8", "surrogatepass")) if self.bytes else not after_unknown)
+            best[(end + 1) % size], pieces[(end + 1) % size], after_unknown = top, n, unknown
+        return n
 
 
 @functools.cache
@@ -85,6 +82,15 @@ def _counter(path: str) -> Counter:
     return Counter(vocabulary(path))
 
 
+def _words(marked: str) -> Iterator[str]:
+    """What split(MARK) gives, of a part of the text at a time."""
+    at = 0
+    while (cut := marked.find(MARK, at + PART)) >= 0:
+        yield from marked[at:cut].split(MARK)
+        at = cut + 1
+    yield from marked[at:].split(MARK)
+
+
 def count_text(counter: Counter, text: str, memo: dict[str, int]) -> int:
     """Pieces of a whole text: spaces become marks, one stands before the text, and each mark begins a
     piece of its own, so words are counted one by one and a frequent word once."""
@@ -92,7 +98,7 @@ def count_text(counter: Counter, text: str, memo: dict[str, int]) -> int:
         return 0
     marked = text.replace(" ", MARK)
     total = 0
-    for word in marked.removeprefix(MARK).split(MARK):
+    for word in _words(marked.removeprefix(MARK)):
         n = memo.get(word)
         if n is None:
             n = counter.count(MARK + word)
@@ -105,7 +111,8 @@ def count_text(counter: Counter, text: str, memo: dict[str, int]) -> int:
 def count_tokens(docs: DataFrame, model: str, *, text_col: str = "text", name: str = "n_tokens") -> DataFrame:
     """docs with the number of tokens of each whole text, in a map without a shuffle.
 
-    A null or empty text has none. Copies count alike, an empty table gives an empty one, and other
+    A null or empty text has none. Beside the text itself, a word without a space takes no more memory
+    the longer it is. Copies count alike, an empty table gives an empty one, and other
     columns pass through. model is a sentencepiece file; its pieces and scores are read as those of a
     unigram vocabulary.
     """

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -44,3 +48,27 @@ def test_table(spark, docs, rows, none, real):
     got = sorted((str(r.doc_id), r.n_tokens) for r in tc.count_tokens(docs, PATH).collect())
     want = sorted((str(r[0]), len(real[1].encode(r[1] or "", add_special_tokens=False).ids)) for r in rows)
     assert got == want and tc.count_tokens(none, PATH).count() == 0
+
+
+def test_words():
+    for text in ("", "▁", "a▁b", "▁▁a▁", "x" * 50 + "▁" + "y" * 50 + "▁▁z"):
+        whole, tc.PART = tc.PART, 7
+        try:
+            assert list(tc._words(text)) == text.split("▁")
+        finally:
+            tc.PART = whole
+
+
+def test_unbroken_text_in_bounded_memory():
+    """Five million characters without a space take little beside the text."""
+    code = """
+import resource, sys
+from ledgerloom.llm import token_counts as t
+counter = t._counter(sys.argv[1])
+text = "漢字かな交じり文abc9" * 400_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = t.count_text(counter, text, {})
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024, n)
+"""
+    out = subprocess.run([sys.executable, "-c", code, PATH], cwd=os.path.join(os.path.dirname(__file__), "..", ".."), check=True, capture_output=True, text=True).stdout.split()
+    assert float(out[0]) < 100 and int(out[1]) > 400_000
