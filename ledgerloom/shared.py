@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only below this many rows, counted first.
@@ -15,17 +17,47 @@ BROADCAST_ROWS = 1_000_000
 
 @functools.cache
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-ledgerloom-", dir="/tmp")
+    folder = tempfile.mkdtemp(prefix="spark-ledgerloom-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where that is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names. Where that is unset, a local master has one of its own;
+    on a cluster, whose executors could not read it, that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or _own_folder()
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/ledgerloom/{spark.sparkContext.applicationId}"
+
+
+def _files(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@functools.cache
+def _delete_at_the_end(spark: SparkSession, folder: str) -> None:
+    path, system = _files(spark, folder)
+    system.deleteOnExit(path)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/ledgerloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A new path among this application's scratch tables, which go when it ends, or by release()."""
+    folder = _application_folder(spark)
+    _delete_at_the_end(spark, folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that have not been written or collected are lost with them."""
+    path, system = _files(spark, _application_folder(spark))
+    system.delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -40,28 +72,33 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def with_position(df: DataFrame, keys: list[Column], label: str, amount: Column | None = None, position: str = "position") -> DataFrame:
-    """Add the 0-based place of each row in the order of keys (or the sum of amount over the rows before it).
+def with_position(df: DataFrame, keys: list[Column], label: str, position: str = "position") -> DataFrame:
+    """Add the 0-based place of each row in the order of keys."""
+    return running_totals(df, keys, label, {position: F.lit(1)})
 
-    Rows are dealt by range and sorted inside each partition; only one figure per partition meets in
-    one place. Rows with equal keys come in any order, so keys should settle ties that matter.
-    """
-    step = F.lit(1) if amount is None else amount
-    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    dealt = materialize(dealt.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id(), "_step": step.cast("long")}), label)
-    if amount is None:
-        inside = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    else:
-        from pyspark.sql import Window
 
-        inside = F.sum("_step").over(Window.partitionBy("_part").orderBy("_row")) - F.col("_step")
-    return dealt.join(part_offsets(dealt, "_part", F.col("_step")), "_part").withColumn(position, F.col("_offset") + inside).drop("_part", "_row", "_step", "_offset")
+def running_totals(df: DataFrame, keys: list[Column], label: str, amounts: dict[str, Column]) -> DataFrame:
+    """Add for each name the sum of its (whole) amount over all rows before this one in the order of keys.
+
+    Rows are dealt by range and sorted inside each partition; only one figure per partition and amount
+    meets in one place. Rows with equal keys come in any order, so keys should settle ties that matter.
+    """
+    steps = {f"_step{i}": amount.cast("long") for i, amount in enumerate(amounts.values())}
+    dealt = df.withColumns(steps).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = materialize(dealt.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), label)
+    order = Window.partitionBy("_part").orderBy("_row")
+    out = dealt
+    for i, name in enumerate(amounts):
+        out = out.withColumn(name, F.sum(f"_step{i}").over(order) - F.col(f"_step{i}"))
+    totals = dealt.groupBy("_part").agg(*[F.sum(f"_step{i}").alias(f"_sum{i}") for i in range(len(amounts))])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_sum{i}").over(before), F.lit(0)).alias(f"_offset{i}") for i in range(len(amounts))])
+    out = out.join(offsets, "_part").withColumns({name: F.col(name) + F.col(f"_offset{i}") for i, name in enumerate(amounts)})
+    return out.drop("_part", "_row", *steps, *[f"_offset{i}" for i in range(len(amounts))])
 
 
 def part_offsets(df: DataFrame, part: str, amount: Column) -> DataFrame:
     """For each partition number the sum of amount over all smaller ones; a row per partition."""
-    from pyspark.sql import Window
-
     totals = df.groupBy(part).agg(F.sum(amount).alias("_sum"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(part, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
