@@ -38,12 +38,15 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(kind).to_pylist()]
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A name like this one that no column of the table has, in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def apart(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """(df under the names c0, c1, …, the name that each column has there, and the way back to df's own
+    columns), so that columns which an operator adds meanwhile clash with none of the caller's."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+
+    def back(made: DataFrame) -> DataFrame:
+        return made.select(*[made[n].alias(c) for c, n in names.items()])
+
+    return df.toDF(*names.values()), names, back
 
 
 def append_columns(df: DataFrame, fields: list[T.StructField], start: Callable[[], Callable], inputs: list[str]) -> DataFrame:

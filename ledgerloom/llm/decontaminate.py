@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.batches import append_columns, columns, fresh, texts
+from ledgerloom.llm.batches import append_columns, apart, columns, texts
 from ledgerloom.llm.words import plain_words
 
 WINDOW = 10
@@ -195,15 +195,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
     id are one item. Copies of a document are marked alike. Empty tables give no rows, or no hits. Other
     columns pass through; a column named like a new one (in any case) is replaced by it.
     """
-    return _marked(docs, benchmark, [f.name for f in FIELDS], text_col, item_id, item_text, window, block_bytes)
-
-
-def _marked(docs: DataFrame, benchmark: DataFrame, names: list[str], text_col: str, item_id: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
     items = columns(benchmark, **{item_id: "item", item_text: "text"}).filter("item is not null and text is not null")
     items = items.select(F.col("item").cast("string").alias("item"), "text")
     blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
-    fields = [T.StructField(n, f.dataType) for n, f in zip(names, FIELDS, strict=True)]
-    _, _, old_spans, old_items = names
     out = docs
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
@@ -214,7 +208,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, names: list[str], text_col: s
                 rows: tuple[list, ...] = ([], [], [], [])
                 words = [plain_words(t) for t in texts(batch, text_col)]
                 found = shared.value.search_all(words)
-                before = zip(batch.column(old_spans).to_pylist(), batch.column(old_items).to_pylist(), strict=True) if more else ((None, None) for _ in words)
+                before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True) if more else ((None, None) for _ in words)
                 for own, (spans, ids), (old, old_ids) in zip(words, found, before, strict=True):
                     if old:
                         spans, ids = spans + list(zip(old[::2], old[1::2], strict=True)), ids | set(old_ids)
@@ -225,7 +219,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, names: list[str], text_col: s
 
             return compute
 
-        out = append_columns(out, fields, start, [text_col, *([old_spans, old_items] if k else [])])
+        out = append_columns(out, FIELDS, start, [text_col, *(["spans", "items"] if k else [])])
     return out
 
 
@@ -234,14 +228,13 @@ def items_digest(items):
     return F.sha2(F.concat_ws(",", items), 256)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
     """The documents that share no window with the benchmark, with their own columns, whatever those are called.
 
     Null, empty and wordless texts are kept, as are null ids; repeated rows are kept or go together. An
     empty benchmark keeps all, an empty table gives an empty one."""
-    names = [fresh(docs, f.name) for f in FIELDS]
-    marked = _marked(docs, benchmark, names, text_col, item_id, item_text, window, block_bytes)
-    return marked.filter(F.col(names[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    flat, at, back = apart(docs)
+    return back(mark(flat, benchmark, text_col=at[text_col], **how).filter("n_hit = 0"))
 
 
 def digest(hit_ids: list[str]) -> str:

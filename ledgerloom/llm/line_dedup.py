@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerloom.llm.batches import append_columns
+from ledgerloom.llm.batches import apart
 from ledgerloom.shared import broadcast_if_small, materialize
 
 #: A line on at least so many sites is boilerplate.
@@ -19,8 +14,6 @@ SITES = 8
 LG_K = 10
 #: Estimates within so many errors of the threshold are counted exactly.
 ERRORS = 5
-#: Spread lines that are broadcast, at most (24 bytes each); a larger table is joined by a shuffle.
-FEW = 500_000
 #: White space at the ends of a line does not tell lines apart.
 BLANK = " \t\x0b\x0c\r"
 
@@ -31,27 +24,29 @@ def line_key(line: Column) -> list[Column]:
     return [F.xxhash64(own).alias("h1"), F.crc32(own.cast("binary")).alias("h2")]
 
 
-def python_key(line: str) -> tuple[int, int]:
-    """The same in Python."""
-    own = line.strip(BLANK).encode()
-    h = xxhash.xxh64_intdigest(own, 42)
-    return h - (1 << 64) if h >> 63 else h, zlib.crc32(own)
-
-
 def _lines(text_col: str) -> Column:
     return F.split(F.col(f"`{text_col}`"), "\n", -1)
 
 
+def _keys(text_col: str) -> Column:
+    """The key of each line of a text, null for one of white space."""
+    return F.transform(_lines(text_col), lambda x: F.when(F.btrim(x, F.lit(BLANK)) != "", F.struct(*line_key(x))))
+
+
 def spread(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
-    """h1, h2, n_sites, exact: the lines on at least `sites` distinct sites.
+    """h1, h2, n_sites, exact: the lines on at least `sites` distinct sites. A null site is no site."""
+    return _spread(docs.select(F.col(f"`{site_col}`").cast("string").alias("site"), _keys(text_col).alias("keys")), sites)
+
+
+def _spread(rows: DataFrame, sites: int) -> DataFrame:
+    """The same of site and keys of the lines.
 
     Lines are counted by hash first: one that does not occur `sites` times cannot be on as many sites,
     and is let go before any sketch. Sketches merge by aggregation, with a partial one in each task, so
     the most frequent line costs a sketch per task. Estimates near the threshold give way to exact
-    distinct counts. A null site is no site.
+    distinct counts.
     """
-    text = docs.select(F.col(f"`{site_col}`").cast("string").alias("site"), F.explode(_lines(text_col)).alias("line"))
-    keyed = text.filter(F.col("site").isNotNull() & (F.btrim("line", F.lit(BLANK)) != "")).select("site", *line_key(F.col("line")))
+    keyed = rows.filter("site is not null").select("site", F.explode("keys").alias("key")).filter("key is not null").select("site", "key.*")
     often = materialize(keyed.groupBy("h1", "h2").count().filter(F.col("count") >= sites).select("h1", "h2"), "often")
     asked = keyed.join(broadcast_if_small(often), ["h1", "h2"])
     sketched = materialize(asked.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n_sites")), "sketched")
@@ -63,38 +58,37 @@ def spread(docs: DataFrame, *, text_col: str = "text", site_col: str = "source",
     return materialize(far.unionByName(counted).filter(F.col("n_sites") >= sites), "spread")
 
 
-FIELDS = [T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
+def _removed(flat: DataFrame, text_col: str, site_col: str, sites: int) -> DataFrame:
+    """flat (whose columns are c0, c1, …) with kept, n_lines and n_removed.
+
+    Lines are hashed once, into a table beside their rows; what is looked for in it reads no text. The
+    places of spread lines go back to their rows, broadcast if a count finds them few."""
+    rows = materialize(flat.withColumns({"row": F.monotonically_increasing_id(), "keys": _keys(text_col)}), "rows")
+    found = _spread(rows.select(F.col(site_col).cast("string").alias("site"), "keys"), sites).select("h1", "h2")
+    places = rows.select("row", F.posexplode("keys").alias("at", "key")).filter("key is not null").select("row", "at", "key.*")
+    gone = materialize(places.join(broadcast_if_small(found), ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_set("at").alias("gone")), "gone")
+    met = rows.drop("keys").join(broadcast_if_small(gone), "row", "left")
+    kept = F.filter(_lines(text_col), lambda x, i: ~F.array_contains(F.col("gone"), i))
+    whole = F.col("gone").isNull()
+    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(_lines(text_col))).cast("long")
+    return met.withColumns({"kept": F.when(whole, F.col(text_col)).otherwise(F.array_join(kept, "\n")), "n_lines": n, "n_removed": F.when(whole, 0).otherwise(F.size("gone")).cast("long")}).drop("row", "gone")
 
 
-def remove_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", sites: int = SITES, few: int = FEW) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
     """docs with kept (the text without its spread lines), n_lines and n_removed.
 
     Lines end at a line feed; lines of white space alone stay. Null text has no lines and stays null, an
     empty one has one line; a text of boilerplate alone becomes empty. Every row counts, copies and null
-    ids too. A counted, small table of spread lines is broadcast and the documents are only mapped over.
-    Beyond `few` lines, the hashes of lines are shuffled to the table and the places found go back to
-    their documents. An empty table gives an empty one; other columns pass through.
+    ids too. An empty table gives an empty one; other columns pass through, and a column named like a new
+    one (in any case) is replaced by it; clean() keeps all.
     """
-    found = spread(docs, text_col=text_col, site_col=site_col, sites=sites).select("h1", "h2")
-    if found.count() <= few:
-        shared = docs.sparkSession.sparkContext.broadcast({(r.h1, r.h2) for r in found.collect()})
-
-        def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            bad, kept, lines, removed = shared.value, [], [], []
-            for text in batch.column(text_col).to_pylist():
-                own = [] if text is None else text.split("\n")
-                stay = [x for x in own if not x.strip(BLANK) or python_key(x) not in bad]
-                kept.append(None if text is None else "\n".join(stay))
-                lines.append(len(own))
-                removed.append(len(own) - len(stay))
-            return [pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())]
-
-        return append_columns(docs, FIELDS, lambda: compute, [text_col])
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    places = rows.select("_row", F.posexplode(_lines(text_col)).alias("_at", "line")).filter(F.btrim("line", F.lit(BLANK)) != "").select("_row", "_at", *line_key(F.col("line")))
-    gone = places.join(found, ["h1", "h2"], "left_semi").groupBy("_row").agg(F.collect_set("_at").alias("_gone"))
-    met = rows.join(gone, "_row", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    kept = F.filter(_lines(text_col), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    met = met.withColumns({"kept": F.array_join(kept, "\n"), "n_lines": F.coalesce(F.size(_lines(text_col)), F.lit(0)).cast("long"), "n_removed": F.size("_gone").cast("long")})
-    met = met.withColumn("n_lines", F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.col("n_lines")))
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("kept", "n_lines", "n_removed")], "kept", "n_lines", "n_removed")
+    flat, at, _ = apart(docs)
+    made = _removed(flat, at[text_col], at[site_col], sites)
+    new = ["kept", "n_lines", "n_removed"]
+    return made.select(*[made[n].alias(c) for c, n in at.items() if c.lower() not in new], *new)
+
+
+def clean(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
+    """docs with their texts freed of spread lines, and all their own columns, whatever those are called."""
+    flat, at, back = apart(docs)
+    return back(_removed(flat, at[text_col], at[site_col], sites).withColumn(at[text_col], F.col("kept")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.shared import broadcast_if_small, materialize, with_position
+from ledgerloom.llm.batches import apart
+from ledgerloom.shared import broadcast_if_small, materialize, running_totals, with_position
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 20_240_601
@@ -44,24 +45,20 @@ aggregate(
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """Add weight and target to (source, source_size): all sizes shared by weight, none above cap times its size.
 
-    Sources are ranked by code point, null last, and weigh 1, 2, 3, repeating. Each round of the loop
-    is one aggregate over the sources; it ends when no further source meets its cap.
+    Sources are ranked by code point, null last, and weigh 1, 2, 3, repeating. In the order of cap by
+    weight, a source meets its cap if its share of what those before it leave is no less; so running
+    totals tell all that do, however many rounds of resharing that stands for.
     """
     ranked = with_position(sources, [F.col("source").isNull(), F.col("source")], "sources")
-    ranked = materialize(ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("position") % len(weights) + 1).cast("int"))), "ranked")
-    limit, level, met = F.col("source_size") * cap, 0.0, -1
-    while True:
-        full = (limit <= F.lit(level) * F.col("weight")) if met >= 0 else F.lit(False)
-        now = ranked.agg(
-            F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"),
-            F.coalesce(F.sum(F.when(full, limit)), F.lit(0)).alias("full"),
-            F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).alias("weight"),
-            F.count_if(full).alias("met"),
-        ).first()
-        if now.met == met or not now.weight:
-            break
-        level, met = (now.total - now.full) / now.weight, now.met
-    return ranked.withColumn("target", F.least(F.lit(level) * F.col("weight"), limit.cast("double"))).drop("position")
+    ranked = ranked.withColumns({"weight": F.element_at(F.array(*map(F.lit, weights)), (F.col("position") % len(weights) + 1).cast("int")), "cap": (F.col("source_size") * cap).cast("long")}).drop("position")
+    keys = [F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source")]
+    run = materialize(running_totals(ranked, keys, "caps", {"capped": F.col("cap"), "weights": F.col("weight")}), "ranked")
+    whole = run.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"), F.coalesce(F.sum("weight"), F.lit(0)).alias("every"))
+    share = (F.col("total") - F.col("capped")) / (F.col("every") - F.col("weights"))
+    full = run.crossJoin(F.broadcast(whole)).filter(F.col("cap") <= share * F.col("weight"))  # one row
+    met = full.agg(F.coalesce(F.sum("cap"), F.lit(0)).alias("met"), F.coalesce(F.sum("weight"), F.lit(0)).alias("met_weight"))
+    level = whole.crossJoin(met).select(F.coalesce(F.try_divide((F.col("total") - F.col("met")).cast("double"), F.col("every") - F.col("met_weight")), F.lit(0.0)).alias("level"))
+    return run.crossJoin(F.broadcast(level)).withColumn("target", F.least(F.col("level") * F.col("weight"), F.col("cap").cast("double"))).select(*sources.columns, "weight", "target")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block: int = BLOCK) -> DataFrame:
@@ -121,20 +118,23 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def repeat(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: each row of docs as often as mix() says, all columns kept; rows without a copy go."""
-    from pyspark.sql import Window
+    """The mix itself: each row of docs as often as mix() says, all its columns kept, whatever those are called.
 
+    Rows without a copy go: those of null or empty text always do. Rows that agree in id, source and size
+    share out their unit's copies in the order of a hash of the text. Null ids and sources are values like
+    any other. An empty table gives an empty one."""
     chosen = materialize(mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).filter("copies > 0"), "mixed")
-    chosen = chosen.select(F.struct("doc_id", "source", "size").alias("_unit"), F.col("nth").alias("_nth"), F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
-    words = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), words.alias("size"))
-    keyed = docs.withColumn("_unit", key)
+    chosen = chosen.select(F.struct("doc_id", "source", "size").alias("unit"), "nth", "copies", "rows")
+    flat, at, back = apart(docs)
+    text = F.col(at[text_col])
+    words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    keyed = flat.withColumn("unit", F.struct(F.col(at[id_col]).alias("doc_id"), F.col(at[source_col]).cast("string").alias("source"), words.alias("size")))
     # only rows that share id, source and size with another need a number of their own
-    many = materialize(chosen.filter("_rows > 1").select("_unit").distinct(), "repeated")
-    numbered = keyed.withColumn("_nth", F.lit(1).cast("long"))
+    many = materialize(chosen.filter("rows > 1").select("unit").distinct(), "repeated")
+    numbered = keyed.withColumn("nth", F.lit(1).cast("long"))
     if not many.isEmpty():
-        same = keyed.join(many, "_unit", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_unit").orderBy(F.xxhash64(F.col(f"`{text_col}`")))).cast("long"))
-        numbered = numbered.join(many, "_unit", "left_anti").unionByName(same)
+        same = keyed.join(many, "unit", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("unit").orderBy(F.xxhash64(text))).cast("long"))
+        numbered = numbered.join(many, "unit", "left_anti").unionByName(same)
     # only the rows of the mix travel if a count finds them few; else texts are shuffled once, by their key
-    taken = numbered.join(broadcast_if_small(chosen), ["_unit", "_nth"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = numbered.join(broadcast_if_small(chosen), ["unit", "nth"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return back(taken)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.batches import append_columns, columns, texts
+from ledgerloom.llm.batches import append_columns, apart, columns, texts
 from ledgerloom.llm.components import components
 from ledgerloom.llm.words import spaced_words
 from ledgerloom.shared import broadcast_if_small, materialize
@@ -115,21 +115,23 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One document of each group, the one with the smallest id, with its own columns.
+    """One document of each group, the one with the smallest id, with its own columns, whatever those are called.
 
     Rows without an id are kept, as nothing tells them apart. Rows that repeat an id count by their own
     texts: one stays in each group of which the id is the smallest, by fingerprint and a hash of the text.
+    Null and wordless texts are one group. An empty table gives an empty one.
     """
     found = materialize(_grouped(docs, id_col, text_col, shingle), "found")
     fate = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
     fate = materialize(fate.filter("n > 1 or not stays"), "fate")
-    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    kept = docs.join(broadcast_if_small(fate.filter("not stays").select(F.col("doc_id").alias("_gone"))), own == F.col("_gone"), "left_anti")
-    again = fate.filter("stays").select(F.col("doc_id").alias("_again"))
+    flat, at, back = apart(docs)
+    own, text = F.col(at[id_col]), F.col(at[text_col])
+    kept = flat.join(broadcast_if_small(fate.filter("not stays").select(F.col("doc_id").alias("gone"))), own == F.col("gone"), "left_anti")
+    again = fate.filter("stays").select(F.col("doc_id").alias("again"))
     if again.isEmpty():
-        return kept
+        return back(kept)
     few = broadcast_if_small(again)
-    least = found.filter("doc_id = component_id").join(few, F.col("doc_id") == F.col("_again"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_print"), F.col("root").alias("_root")).distinct()
-    rows = fingerprints(kept.join(few, own == F.col("_again"), "left_semi"), text_col, "_fp", shingle).join(least, (own == F.col("_id")) & (F.col("_fp") == F.col("_print")))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_root").orderBy("_fp", F.xxhash64(text), text))).filter("_n = 1")
-    return kept.join(few, own == F.col("_again"), "left_anti").unionByName(rows.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    least = found.filter("doc_id = component_id").join(few, F.col("doc_id") == F.col("again"), "left_semi").select(F.col("doc_id").alias("id"), F.col("fp").alias("print"), "root").distinct()
+    rows = fingerprints(kept.join(few, own == F.col("again"), "left_semi"), at[text_col], "fp", shingle).join(least, (own == F.col("id")) & (F.col("fp") == F.col("print")))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("id", "root").orderBy("fp", F.xxhash64(text), text))).filter("n = 1")
+    return back(kept.join(few, own == F.col("again"), "left_anti").unionByName(rows.select(*at.values())))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.batches import append_columns, chunks, columns, remainder, texts
+from ledgerloom.llm.batches import append_columns, apart, chunks, columns, remainder, texts
 from ledgerloom.llm.words import LOWER
 from ledgerloom.shared import broadcast_if_small, materialize
 
@@ -23,8 +23,8 @@ PRIOR = 100
 BLOCK_GRAMS = 2_000_000
 #: Labelled rows, at most, on which the two numbers of the calibration are fitted.
 CALIBRATION_ROWS = 20_000
-#: Toxic occurrences at which a context counts by half.
-TRUST = 20
+#: Occurrences that the ordinary model is worth to the toxic one in each context, beside what discounting leaves to it.
+PRIOR_COUNT = 500.0
 #: Distinct n-grams that a task holds before it hands them on.
 TASK_GRAMS = 1_000_000
 _MIX, _PART = 0x9E3779B97F4A7C15, 1540483477
@@ -70,6 +70,7 @@ class Model:
     blocks: list[Broadcast]  # of (Scores of n-grams that training met, Scores of others by their context)
     slope: float = 1.0
     offset: float = 0.0
+    learned: bool = False  # a calibration has seen both classes
 
     @property
     def grams(self) -> np.ndarray:
@@ -176,23 +177,24 @@ def shared_backoff(counts: DataFrame) -> DataFrame:
 
 
 def fit(train: DataFrame) -> Model:
-    """Both models from all of train (text, y), as their log-likelihood ratios by n-gram and by context."""
+    """Both models from all of train (text, y), as their log-likelihood ratios by n-gram and by context.
+
+    The ordinary model of a context backs off to shorter contexts, whose counts the classes share; the
+    toxic one to the ordinary one of the same context, and so to the same counts. Where toxic texts have
+    shown little, as in a language that is rare among them, both say nearly the same, and neither wins by
+    the language alone."""
     counts = materialize(count_grams(train), "grams").withColumn("c", F.shiftright("g", 8))
     context = counts.groupBy("c").agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1"), F.count_if(F.col("n0") > 0).alias("t0"), F.count_if(F.col("n1") > 0).alias("t1"))
-    weight = lambda i: F.when(F.col(f"a{i}") > 0, DISCOUNT * F.col(f"t{i}") / F.col(f"a{i}")).otherwise(1.0)
-    context = materialize(context.select("c", "a0", "a1", weight(0).alias("w0"), weight(1).alias("w1")), "contexts")
-    p = lambda i: F.when(F.col(f"a{i}") > 0, F.greatest(F.col(f"n{i}") - DISCOUNT, F.lit(0.0)) / F.col(f"a{i}")).otherwise(0.0) + F.col(f"w{i}") * F.col("p")
+    w0 = F.when(F.col("a0") > 0, DISCOUNT * F.col("t0") / F.col("a0")).otherwise(1.0)
+    w1 = (PRIOR_COUNT + DISCOUNT * F.col("t1")) / (PRIOR_COUNT + F.col("a1"))
+    context = materialize(context.select("c", "a0", "a1", w0.alias("w0"), w1.alias("w1")), "contexts")
+    less = lambda n: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))
     met = counts.join(context, "c").join(shared_backoff(counts).withColumnRenamed("s", "short"), F.col("g").bitwiseAND(F.lit((1 << 8 * (ORDER - 1)) - 1)) == F.col("short"))
-    # Ordinary text in a language that is rare among toxic ones would lose on every byte; so a ratio counts
-    # by what it exceeds the mean ratio of ordinary text in its context, and by how much toxic text has
-    # shown of the context.
-    seen = materialize(met.select("g", counts["c"], "n0", "n1", F.log(p(1) / p(0)).alias("ratio")), "ratios")
-    usual = seen.groupBy("c").agg(F.coalesce(F.try_divide(F.sum(F.col("n0") * F.col("ratio")), F.sum("n0").cast("double")), F.lit(0.0)).alias("usual"), (F.sum("n1") / (F.sum("n1") + TRUST)).alias("trust"))
-    usual = materialize(usual, "usual")
-    counted = lambda ratio: ((ratio - F.col("usual")) * F.col("trust")).alias("v")
-    seen = materialize(seen.join(usual, "c").select("c", F.col("g").alias("key"), counted(F.col("ratio"))), "scores")
-    backoff = materialize(context.join(usual, "c").select("c", F.col("c").alias("key"), counted(F.log(F.col("w1") / F.col("w0")))), "unmet")
-    return Model(_blocks(seen, backoff))
+    p0 = F.coalesce(F.try_divide(less("n0"), F.col("a0")), F.lit(0.0)) + F.col("w0") * F.col("p")
+    p1 = less("n1") / (PRIOR_COUNT + F.col("a1")) + F.col("w1") * p0
+    seen = materialize(met.select(counts["c"], F.col("g").alias("key"), F.log(p1 / p0).alias("v")), "scores")
+    # what no text has shown in a context falls to the ordinary model, by the toxic one's weight of it
+    return Model(_blocks(seen, context.select("c", F.col("c").alias("key"), F.log("w1").alias("v"))))
 
 
 def _blocks(*tables: DataFrame) -> list[Broadcast]:
@@ -223,16 +225,21 @@ def calibrate(model: Model, rows: list[tuple[float, int]]) -> Model:
     spread = max(1e-6, float(np.mean(np.abs(x - cut))))
     model.slope = 4.0 / spread
     model.offset = -model.slope * cut
+    model.learned = True
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 5, held_out: int = 0, calibration: int = 1, **how) -> Model:
-    """Fit on the labelled documents of all folds but held_out (and, for the counts, but calibration)."""
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 5, held_out: int | None = None, calibration: int = 1, **how) -> Model:
+    """Fit on the labelled documents of all folds but held_out. Of one fold, at most CALIBRATION_ROWS rows
+    set the two numbers of the calibration and are left out of the counts."""
     known = materialize(known_labels(labels, label), "labels")
     fold = remainder(F.col("_id"), folds)
-    model = fit(labelled(docs, known.filter(~fold.isin(held_out, calibration)), **how))
-    sample = labelled(docs, label_sample(known.filter(fold == calibration), CALIBRATION_ROWS), **how)
-    rows = append_columns(sample, [T.StructField("x", T.DoubleType())], lambda: lambda batch: [pa.array(model.ratios(texts(batch)))], ["text"])
+    if held_out is not None:
+        known = known.filter(fold != held_out)
+    asked = label_sample(known.filter(fold == calibration), CALIBRATION_ROWS)
+    # a bounded number of ids
+    model = fit(labelled(docs, known.join(F.broadcast(asked.select("_id")), "_id", "left_anti"), **how))
+    rows = append_columns(labelled(docs, asked, **how), [T.StructField("x", T.DoubleType())], lambda: lambda batch: [pa.array(model.ratios(texts(batch)))], ["text"])
     return calibrate(model, [tuple(r) for r in rows.select("x", "y").collect()])
 
 
@@ -245,7 +252,14 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str =
     return append_columns(docs, [T.StructField(name, T.DoubleType())], lambda: lambda batch: [pa.array(model.probabilities(texts(batch, text_col)))], [text_col])
 
 
-def clean(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents that are not called toxic, with their own columns."""
-    model = train(docs, labels, **how)
-    return score(docs, model, text_col=how.get("text_col", "text"), name="_toxic").filter("_toxic < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+def clean(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents that are not called toxic, with their own columns, whatever those are called.
+
+    Every row is judged by its own text: repeated rows are kept or go together, null and empty texts are
+    judged by the edges of a text alone, null ids like any other. An empty table gives an empty one;
+    where labels do not show both classes, nothing can be learned and all documents stay."""
+    model = train(docs, labels, id_col=id_col, text_col=text_col, **how)
+    if not model.learned:
+        return docs
+    flat, at, back = apart(docs)
+    return back(score(flat, model, text_col=at[text_col]).filter("score < 0.5"))

@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import pytest
 
+from ledgerloom import shared
 from ledgerloom.llm import line_dedup as ld
 
 
@@ -25,18 +26,27 @@ ROWS += [(100, None, "site1"), (101, "", "site1"), (102, "shared by all", None),
 ROWS += [(200 + i, "one site only", "site0") for i in range(30)]
 
 
-@pytest.mark.parametrize("few", [ld.FEW, 0])
+@pytest.mark.parametrize("few", [10**6, 0])
 @pytest.mark.parametrize("sites", [1, 3, 7, 8])
-def test_against_brute_force(spark, few, sites):
+def test_against_brute_force(spark, monkeypatch, few, sites):
+    monkeypatch.setattr(ld, "broadcast_if_small", lambda df: shared.broadcast_if_small(df, few))
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string").repartition(3)
-    got = ld.remove_boilerplate(docs, sites=sites, few=few).collect()
+    got = ld.remove_boilerplate(docs, sites=sites).collect()
     assert sorted([(str(r.doc_id), r.kept, r.n_lines, r.n_removed) for r in got], key=str) == brute(ROWS, sites)
 
 
-def test_keys_agree(spark):
-    lines = ["a", " a\t", "é漢字", "🙂 x", "\x0b y \r"]
-    got = spark.createDataFrame([(x,) for x in lines], "l string").select(*ld.line_key(ld.F.col("l"))).collect()
-    assert [(r.h1, r.h2) for r in got] == [ld.python_key(x) for x in lines]
+def test_the_callers_columns(spark):
+    """Columns that are called like the operator's own ones keep their values."""
+    names = ["row", "keys", "gone", "at", "h1", "c0", "_row", "n_sites"]
+    docs = spark.createDataFrame([(*r, *[f"{n} {k}" for n in names], f"mine {k}", k) for k, r in enumerate(ROWS)], ["doc_id", "text", "source", *names, "Kept", "n_lines"])
+    made = ld.remove_boilerplate(docs, sites=3).collect()
+    assert sorted(repr([r[n] for n in ["doc_id", "text", "source", *names]]) for r in made) == sorted(repr([r[n] for n in ["doc_id", "text", "source", *names]]) for r in docs.collect())
+    clean = ld.clean(docs, sites=3)
+    assert clean.columns == docs.columns
+    kept = [next(x[1] for x in brute([*ROWS[:k], (f"this {k}", *r[1:]), *ROWS[k + 1 :]], 3) if x[0] == f"this {k}") for k, r in enumerate(ROWS)]
+    for r in clean.collect():
+        k = int(r.row.split()[1])
+        assert r.text == kept[k] and r.Kept == f"mine {k}" and r.n_lines == k and r.source == ROWS[k][2]
 
 
 def test_far_from_the_threshold_a_sketch_decides(spark):

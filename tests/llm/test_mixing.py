@@ -78,5 +78,17 @@ def test_repeat_takes_the_copies(docs, rows):
     assert got == +want
 
 
+def test_the_callers_columns(spark):
+    """Columns that are called like the operator's own ones keep their values."""
+    names = ["_unit", "unit", "_nth", "nth", "_copies", "copies", "_rows", "rows", "copy", "c2", "Size"]
+    docs = spark.createDataFrame([(k % 50, "w " * (k % 7), f"s{k % 3}", *[f"{n} {k}" for n in names]) for k in range(120)], ", ".join(["doc_id long", "text string", "source string", *[f"`{n}` string" for n in names]]))
+    mixed = mixing.repeat(docs)
+    assert mixed.columns == docs.columns
+    own = {r["unit"]: r for r in docs.collect()}
+    rows = mixed.collect()
+    assert all(r == own[r["unit"]] for r in rows)
+    assert len(rows) == sum(r.copies for r in mixing.mix(docs).collect())
+
+
 def test_empty(none):
     assert mixing.mix(none).count() == 0 and mixing.repeat(none).count() == 0

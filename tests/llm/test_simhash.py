@@ -92,3 +92,15 @@ def test_repeated_ids_count_by_their_own_text(spark):
     for order in (rows, rows[::-1]):
         kept = simhash.deduplicate(spark.createDataFrame(order, "doc_id long, text string").repartition(4)).collect()
         assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
+def test_the_callers_columns(spark):
+    """Columns that are called like the operator's own ones keep their values, with and without repeated ids."""
+    names = ["_gone", "gone", "again", "fp", "root", "print", "id", "n", "c1", "component_id", "FINGERPRINT"]
+    texts = ["a b c d e", "a b c d e", "x y z", "x y z", None, "", "k l m n", "o p q"]
+    for ids in (range(8), [0, 0, 2, 2, 4, 4, 6, 6]):
+        docs = spark.createDataFrame([(i, t, *[f"{n} {k}" for n in names]) for k, (i, t) in enumerate(zip(ids, texts))], ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+        kept = simhash.deduplicate(docs)
+        assert kept.columns == docs.columns
+        rows, own = kept.collect(), {r["id"]: r for r in docs.collect()}
+        assert len(rows) == 5 and all(r == own[r["id"]] for r in rows)

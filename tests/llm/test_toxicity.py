@@ -37,29 +37,22 @@ def brute_ratio(train, text):
         k = len(g)
         return (max(cont[k][g] - d, 0) + d * types[g[:-1], k] * shared(g[1:])) / total[g[:-1], k]
 
-    def one(y, g):
-        own = [(h, c) for h, c in counts[y].items() if h[:-1] == g[:-1]]
-        a = sum(c for _, c in own)
-        w = d * len(own) / a if a else 1.0
-        return (max(counts[y][g] - d, 0) / a if a else 0.0), w
+    def one(y, g, below):
+        own = [c for h, c in counts[y].items() if h[:-1] == g[:-1]]
+        more = toxicity.PRIOR_COUNT if y else 0.0
+        if not own:
+            return below, 1.0
+        w = (more + d * len(own)) / (more + sum(own))
+        return max(counts[y][g] - d, 0) / (more + sum(own)) + w * below, w
 
     def ratio(g):
-        (p0, w0), (p1, w1) = one(0, g), one(1, g)
-        if g in kinds[n]:
-            q = shared(g[1:])
-            return math.log((p1 + w1 * q) / (p0 + w0 * q))
-        return math.log(w1 / w0)
-
-    def usual(c):
-        own = [g for g in kinds[n] if g[:-1] == c]
-        total, toxic = (sum(n[g] for g in own) for n in counts)
-        return sum(counts[0][g] * ratio(g) for g in own) / total if total else 0.0, toxic / (toxic + toxicity.TRUST)
+        if g not in kinds[n]:
+            return math.log(one(1, g, 1.0)[1])
+        p0, _ = one(0, g, shared(g[1:]))
+        return math.log(one(1, g, p0)[0] / p0)
 
     seen = {g[:-1] for g in kinds[n]}
-    out = []
-    for g in cut(text):
-        mean, trust = usual(g[:-1]) if g[:-1] in seen else (0.0, 0.0)
-        out.append((ratio(g) - mean) * trust)
+    out = [ratio(g) if g[:-1] in seen else 0.0 for g in cut(text)]
     return sum(out) / (len(out) + toxicity.PRIOR)
 
 
@@ -98,6 +91,11 @@ def test_scores_and_edges(spark, docs, none):
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(none, model).count() == 0
     assert toxicity.clean(none, labels).count() == 0
+    for named in ("score", "_toxic"):  # every value of the caller's own columns comes back
+        own = docs.withColumnRenamed("score", named).withColumnRenamed("n_chars", "Score" if named != "score" else "n_chars")
+        kept = toxicity.clean(own, labels).collect()
+        assert Counter(map(repr, kept)) == Counter(repr(r) for r in own.collect() if model.score((r.text or "").encode()) < 0.5) and 0 < len(kept)
+    assert toxicity.clean(docs, labels.limit(0)).count() == docs.count()
     blank = toxicity.train(none, labels)
     assert np.isnan(blank.grams).all() and blank.score(b"x") == 0.5
     assert toxicity.train(docs, labels.limit(0)).score(b"x") == 0.5
@@ -105,7 +103,7 @@ def test_scores_and_edges(spark, docs, none):
 
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.01', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.train(docs, labels)
+    model = toxicity.train(docs, labels, folds=5, held_out=0)
     known = toxicity.labelled(docs, toxicity.known_labels(labels, "toxic")).filter(toxicity.remainder(toxicity.F.col("doc_id"), 5) == 0)
     rows = toxicity.score(known, model).join(docs.select("doc_id", "lang"), "doc_id").filter("lang = 'en'").select("y", "score").collect()
     hit = sum((r.score >= 0.5) == (r.y == 1) for r in rows)
