@@ -63,31 +63,45 @@ def debt_equity(*values: Column) -> Column:
     return F.when(text.rlike(EQUITY_WORDS), "equity").when(text.rlike(DEBT_WORDS), "debt").otherwise("unknown")
 
 
+# The kinds, liens and funding of a facility, and words or patterns (between slashes) that tell each, in the order of the tests.
+KINDS = {
+    "delayed_draw": ("delayed draw", "ddtl"),
+    "revolver": ("revolver", "revolving"),
+    "term_loan": ("term loan", "unitranche"),
+    "note_or_bond": (r"/\b(note|bond)\b/",),
+    "preferred_equity": ("preferred",),
+    "common_equity": (r"/\b(common|equity|unit|partnership interest)\b/",),
+    "warrant": ("warrant",),
+}
+LIENS = {
+    "first_lien": (r"/\b(first|1st) lien\b/",),
+    "second_lien": (r"/\b(second|2nd) lien\b/",),
+    "subordinated": ("subordinated", "junior"),
+    "unsecured": ("unsecured",),
+    "secured_unspecified": ("secured",),
+}
+FUNDING = {"unfunded": ("unfunded", "commitment"), "unknown": ("delayed draw",)}
+RESTRUCTURED = "restructur|amend|default"
+
+
+def _told_by(text: Column, table: dict[str, tuple[str, ...]]) -> Column:
+    """The first name of a table that one of its words tells; null for none."""
+    out = F.when(F.lit(False), "")
+    for name, words in table.items():
+        test = F.lit(False)
+        for w in words:
+            test = test | (text.rlike(w.strip("/")) if w.startswith("/") else text.contains(w))
+        out = out.when(test, name)
+    return out
+
+
 def facility_type(*values: Column) -> Column:
     text = joined(*values)
-    return (
-        F.when(text.contains("delayed draw") | text.contains("ddtl"), "delayed_draw")
-        .when(text.contains("revolver") | text.contains("revolving"), "revolver")
-        .when(text.contains("term loan") | text.contains("unitranche"), "term_loan")
-        .when(text.rlike(r"\b(note|bond)\b"), "note_or_bond")
-        .when(text.contains("preferred"), "preferred_equity")
-        .when(text.rlike(r"\b(common|equity|unit|partnership interest)\b"), "common_equity")
-        .when(text.contains("warrant"), "warrant")
-        .when(~text.rlike(EQUITY_WORDS) & text.rlike(DEBT_WORDS), "other_debt")
-        .otherwise("unknown")
-    )
+    return F.coalesce(_told_by(text, KINDS), F.when(~text.rlike(EQUITY_WORDS) & text.rlike(DEBT_WORDS), "other_debt"), F.lit("unknown"))
 
 
 def lien_category(*values: Column) -> Column:
-    text = joined(*values)
-    return (
-        F.when(text.rlike(r"\b(first|1st) lien\b"), "first_lien")
-        .when(text.rlike(r"\b(second|2nd) lien\b"), "second_lien")
-        .when(text.contains("subordinated") | text.contains("junior"), "subordinated")
-        .when(text.contains("unsecured"), "unsecured")
-        .when(text.contains("secured"), "secured_unspecified")
-        .otherwise("unknown")
-    )
+    return F.coalesce(_told_by(joined(*values), LIENS), F.lit("unknown"))
 
 
 def reference_rate(*values: Column) -> Column:
@@ -99,8 +113,7 @@ def reference_rate(*values: Column) -> Column:
 
 
 def funded_status(*values: Column) -> Column:
-    text = joined(*values)
-    return F.when(text.contains("unfunded") | text.contains("commitment"), "unfunded").when(text.contains("delayed draw"), "unknown").otherwise("funded")
+    return F.coalesce(_told_by(joined(*values), FUNDING), F.lit("funded"))
 
 
 def non_accrual(tag: Column, text: Column) -> Column:
@@ -108,7 +121,7 @@ def non_accrual(tag: Column, text: Column) -> Column:
 
 
 def restructuring(text: Column) -> Column:
-    return F.coalesce(F.lower(text).rlike("restructur|amend|default"), F.lit(False))
+    return F.coalesce(F.lower(text).rlike(RESTRUCTURED), F.lit(False))
 
 
 # What tells the families of an official reference-rate member, in the order of the tests.
@@ -165,10 +178,19 @@ def canonical_tranche_text(identifier: Column, borrower: Column, row_id: Column)
     return F.coalesce(F.nullif(F.array_join(own, " "), F.lit("")), F.concat(F.lit("ROW:"), row_id))
 
 
+def _unescape(text: str | None) -> str | None:
+    return html.unescape(text) if text and "&" in text else text
+
+
 @F.pandas_udf(T.StringType())
 def unescape(values: pd.Series) -> pd.Series:
     """HTML character references, of which there are too many for an expression."""
-    return values.map(lambda x: None if x is None else html.unescape(x))
+    return values.map(_unescape)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unescape_each(values: pd.Series) -> pd.Series:
+    return values.map(lambda x: None if x is None else [_unescape(t) for t in x])
 
 
 def strip_tags(value: Column) -> Column:
@@ -186,14 +208,16 @@ def compact_text(value: Column) -> Column:
 
 
 def submission_documents(raw: Column) -> Column:
-    """The documents of a submission file as an array of type, filename, description and text (of HTML)."""
+    """The documents of a submission file as an array of type, filename, description and text (of HTML,
+    its character references decoded)."""
     blocks = F.regexp_extract_all(raw, F.lit(r"(?is)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1))
 
     def tag(block: Column, name: str) -> Column:
         return F.trim(F.regexp_extract(block, rf"(?i)<{name}>([^\r\n<]+)", 1))
 
     body = lambda b: F.when(b.rlike("(?is)<TEXT>"), F.regexp_extract(b, r"(?is)<TEXT>(.*)", 1)).otherwise(b)
-    return F.transform(blocks, lambda b: F.struct(tag(b, "TYPE").alias("type"), tag(b, "FILENAME").alias("filename"), tag(b, "DESCRIPTION").alias("description"), strip_tags(body(b)).alias("text")))
+    plain = unescape_each(F.transform(blocks, lambda b: strip_tags(body(b))))
+    return F.zip_with(blocks, plain, lambda b, t: F.struct(tag(b, "TYPE").alias("type"), tag(b, "FILENAME").alias("filename"), tag(b, "DESCRIPTION").alias("description"), squeeze(t).alias("text")))
 
 
 # Wording of announcements, payouts, figures and releases, for lower-cased text.

@@ -43,18 +43,22 @@ def prior_matches(facilities: DataFrame, same_fund: bool = True) -> DataFrame:
     return M.all_matches(s, p, keys, ["s_economic_facility_id", "p_ticker"], M.strict_same_facility("s_", "p_"))
 
 
-def _priors(facilities: DataFrame, results: DataFrame, columns: tuple[str, ...] = FACILITY) -> DataFrame:
-    """Unique prior matches in every fund, from one join by quarter and borrower."""
-    return prior_matches(with_results(facilities.select(*columns, "is_current_period"), results), same_fund=False).filter("match_count = 1")
+def match_table(facilities: DataFrame, results: DataFrame) -> DataFrame:
+    """All prior matches of current rows in any fund (s_*, p_*, match_count), both sides with the times at
+    which they were public. What else looks at prior quarters reads this table, so it is worth storing."""
+    flags = [c for c in ("pik_rate", "non_accrual", "restructuring_flag") if c in facilities.columns]
+    return prior_matches(with_results(facilities.select(*FACILITY, *flags, "is_current_period"), results), same_fund=False)
 
 
-def eligible(facilities: DataFrame, results: DataFrame, listed: DataFrame, excluded: DataFrame | None = None, quarantined: DataFrame | None = None, prefix: str = "SN3X_") -> DataFrame:
+def eligible(facilities: DataFrame, results: DataFrame, listed: DataFrame, excluded: DataFrame | None = None, quarantined: DataFrame | None = None, prefix: str = "SN3X_", matches: DataFrame | None = None) -> DataFrame:
     """Observations (source row, target fund) that could be predicted from what was public before the target's results.
 
     The source has one prior row of its own fund; so has the target, and both were public before the
     source, which in turn was public before the target's results. The target's current row is never read.
-    listed holds the tickers of targets, excluded borrower names and quarantined 4-part keys to leave out."""
-    priors = _priors(facilities, results).filter(F.col("s_results_ts").isNotNull())
+    listed holds the tickers of targets, excluded borrower names and quarantined 4-part keys to leave out;
+    matches is match_table(), where that has been stored."""
+    matches = match_table(facilities, results) if matches is None else matches
+    priors = matches.filter((F.col("match_count") == 1) & F.col("s_results_ts").isNotNull())
     if excluded is not None:
         priors = priors.join(excluded.select(F.col("borrower_norm").alias("s_borrower_norm")), "s_borrower_norm", "left_anti")
     own = priors.filter((F.col("s_ticker") == F.col("p_ticker")) & (F.col("p_public_ts") < F.col("s_public_ts")))
@@ -79,9 +83,15 @@ def eligible(facilities: DataFrame, results: DataFrame, listed: DataFrame, exclu
     return out.dropDuplicates(["observation_id"])
 
 
-def movements(facilities: DataFrame, threshold: float = MOVEMENT) -> DataFrame:
+def own_priors(facilities: DataFrame | None, matches: DataFrame | None = None) -> DataFrame:
+    """Current rows with their unique prior row in the same fund."""
+    met = prior_matches(facilities) if matches is None else matches.filter("s_ticker = p_ticker")
+    return met.filter("match_count = 1")
+
+
+def movements(facilities: DataFrame, threshold: float = MOVEMENT, matches: DataFrame | None = None) -> DataFrame:
     """Current rows whose mark moved since their unique prior row in the same fund."""
-    met = prior_matches(facilities).filter("match_count = 1")
+    met = own_priors(facilities, matches)
     now, before = (V.mark(None, F.col(f"{x}_fair_value"), F.col(f"{x}_principal")) for x in ("s", "p"))
     return met.withColumn("delta", now - before).filter(F.abs("delta") >= threshold)
 
@@ -98,25 +108,32 @@ def movement_summary(observations: DataFrame) -> DataFrame:
     )
 
 
-def losses(facilities: DataFrame, results: DataFrame, listed: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+#: Listed funds that losses() pairs every row with, at most.
+FUNDS = 10_000
+
+
+def losses(facilities: DataFrame, results: DataFrame, listed: DataFrame, excluded: DataFrame | None = None, matches: DataFrame | None = None) -> DataFrame:
     """Each current row by every other listed fund, with the first reason why it gives no observation, or eligible.
 
-    The funds are a dimension of a known, small number of rows, so pairing rows with them is a broadcast,
-    and everything else about a pair is an equality join; only counts of matches are carried along."""
+    The funds are counted, and more than FUNDS refused: their tickers are one array that every row
+    unfolds. Everything else about a pair is an equality join; only counts of matches are carried along."""
     rows = with_results(facilities.select(*FACILITY, "is_current_period").filter("is_current_period"), results)
     if excluded is not None:
         rows = rows.join(excluded.select("borrower_norm"), "borrower_norm", "left_anti")
     rows = rows.withColumn("prior_end", V.previous_quarter_end(F.col("period_end"))).withColumn("ready", M.tagging_ready())
     held = facilities.filter("is_current_period").select(F.col("period_end").alias("prior_end"), "borrower_norm", F.col("ticker").alias("target")).distinct()
     held = held.join(listed.select(F.col("ticker").alias("target")), "target", "left_semi")
-    matches = _priors(facilities, results)
+    matches = (match_table(facilities, results) if matches is None else matches).filter("match_count = 1")
     own = matches.filter("s_ticker = p_ticker").select(F.col("s_economic_facility_id").alias("economic_facility_id"), F.lit(True).alias("own_prior"))
     other = matches.filter("s_ticker != p_ticker").select(F.col("s_economic_facility_id").alias("economic_facility_id"), F.col("p_ticker").alias("target"), F.col("p_economic_facility_id").alias("target_prior_id"), F.col("p_public_ts").alias("target_public"))
     overlap = held.groupBy("prior_end", "borrower_norm").agg(F.collect_set("target").alias("holders"))
-    targets = listed.select(F.col("ticker").alias("target"))
+    n_funds = listed.count()
+    if n_funds > FUNDS:
+        raise ValueError(f"{n_funds} listed funds where {FUNDS} at most are expected")
+    targets = listed.agg(F.array_sort(F.collect_set("ticker")).alias("_targets"))  # one row
     cutoffs = results.select(F.col("ticker").alias("target"), "period_end", F.col("results_ts").alias("cutoff"))
     pairs = rows.join(own, "economic_facility_id", "left").join(overlap, ["prior_end", "borrower_norm"], "left")
-    pairs = pairs.join(F.broadcast(targets), F.col("ticker") != F.col("target")).join(cutoffs, ["target", "period_end"], "left").join(other, ["economic_facility_id", "target"], "left")
+    pairs = pairs.crossJoin(F.broadcast(targets)).withColumn("target", F.explode(F.filter("_targets", lambda t: t != F.col("ticker")))).drop("_targets").join(cutoffs, ["target", "period_end"], "left").join(other, ["economic_facility_id", "target"], "left")
     others = F.size(F.filter(F.coalesce("holders", F.array().cast("array<string>")), lambda h: h != F.col("ticker")))
     early = (F.col("target_public") < F.col("public_ts")) & (F.col("public_ts") < F.col("cutoff"))
     code = (
@@ -146,10 +163,25 @@ def completeness(rows: DataFrame, by: list[str], columns: list[str]) -> DataFram
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *shown)
 
 
-def bottlenecks(facilities: DataFrame, pairs: DataFrame, coded: DataFrame, observations: DataFrame, calendar_rows: DataFrame, fields: list[str]) -> DataFrame:
-    """A row for each fund and period of the calendar with what it holds, enters, matches and loses; no gap stays null."""
+def opportunities(results: DataFrame, sources: DataFrame, listed: DataFrame) -> DataFrame:
+    """For each fund and period (ticker, period_end, public_ts) the listed funds whose results were still to come."""
+    late = results.join(listed.select("ticker"), "ticker", "left_semi").select(F.col("ticker").alias("target"), "period_end", F.col("results_ts").alias("cutoff"))
+    met = sources.join(late, "period_end", "left")
+    return met.groupBy("ticker", "period_end").agg(F.count_if((F.col("target") != F.col("ticker")) & (F.col("public_ts") < F.col("cutoff"))).alias("opportunities"))
+
+
+def bottlenecks(facilities: DataFrame, pairs: DataFrame, coded: DataFrame, observations: DataFrame, calendar_rows: DataFrame, listed: DataFrame, fields: list[str]) -> DataFrame:
+    """A row for each fund and period of the calendar with what it holds, enters, matches and loses; no gap stays null.
+
+    A source counts as public with its first current row, and its opportunities are the listed funds whose
+    verified results came later. The first loss is the most frequent one."""
     grid = calendar_rows.select("ticker", "cik", "period_end").distinct()
     key = ["ticker", "period_end"]
+    results = calendar(calendar_rows)
+    status = listed.select("ticker", F.lit("listed").alias("listed_status"))
+    first = facilities.filter("is_current_period").groupBy(*key).agg(F.min("accepted").alias("_accepted")).join(results, key)
+    timing = opportunities(results, first.select(*key, V.later(F.col("results_ts"), F.col("_accepted")).alias("public_ts")), listed)
+    verified = results.select(*key, F.lit(True).alias("verified_reporting_order_available"))
     held = facilities.groupBy(*key).agg(F.count(F.lit(1)).alias("aggregated_facilities"), F.count_if("is_current_period").alias("current_facilities"))
     shown = completeness(facilities.filter("is_current_period"), key, fields).drop("n_rows")
     sides = pairs.select("period_end", "informative_matches", "predicted_label", "match_confidence", F.explode(F.array(*[F.struct(F.col(f"{s}_ticker").alias("ticker"), F.col(f"{s}_facility_row_id").alias("id")) for s in ("left", "right")])).alias("s"))
@@ -161,27 +193,32 @@ def bottlenecks(facilities: DataFrame, pairs: DataFrame, coded: DataFrame, obser
     ready = observations.groupBy(F.col("source_ticker").alias("ticker"), "period_end").agg(F.count(F.lit(1)).alias("eligible"), F.count_if("movement_eligible").alias("moved"))
     lost = modal_loss(coded).select(*key, F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in LOSSES.items() for x in p]), F.col("loss_code")), F.lit("none")).alias("first_loss"))
     out = grid
-    for part in (held, shown, entering, source, target, ready, lost):
+    for part in (held, shown, entering, source, target, ready, lost, timing.withColumnRenamed("opportunities", "source_before_target_opportunities"), verified):
         out = out.join(part, key, "left")
     counts = [c for c, t in out.dtypes if t in ("bigint", "int", "double") and c not in ("cik",)]
     none = F.when(F.coalesce(F.col("current_facilities"), F.lit(0)) == 0, "no_current_period_facilities").otherwise("none")
-    return out.fillna(0, counts).withColumn("first_loss", F.coalesce("first_loss", none))
+    out = out.join(status, "ticker", "left").fillna(0, counts).fillna({"listed_status": "not_listed", "verified_reporting_order_available": False})
+    first_loss = F.coalesce("first_loss", none)
+    return out.withColumns({"first_loss": first_loss, "dominant_exclusion_reason": first_loss, "quarter": V.quarter_label(F.col("period_end"))})
 
 
-def as_of(events: DataFrame, history: DataFrame, keys: list[str], time: str, value: Column, event_id: str) -> DataFrame:
+def as_of(events: DataFrame, history: DataFrame, keys: list[str], time: str, value: Column, event_id: str, carry: Column | None = None) -> DataFrame:
     """events with the value of the latest earlier row of history with the same keys, if that is a single value.
 
     Both are sorted once by key and time: the union is walked by a running maximum, so no event meets
-    more than one row, however many share its key. status tells apart found, none and ambiguous."""
-    latest = history.withColumn("_v", value).groupBy(*keys, time).agg(F.collect_set("_v").alias("_values"))
-    both = events.select(*keys, F.col(time).alias("_t"), F.col(event_id).alias("_id"), F.lit(None).cast(latest.schema["_values"].dataType).alias("_values")).unionByName(
-        latest.select(*keys, F.col(time).alias("_t"), F.lit(None).cast(events.schema[event_id].dataType).alias("_id"), "_values"))
+    more than one row, however many share its key. status tells apart found, none and ambiguous; of what
+    is to be carried along, the largest of that time comes as prior_carry."""
+    latest = history.withColumns({"_v": value, "_c": F.lit(None).cast("string") if carry is None else carry}).groupBy(*keys, time).agg(F.collect_set("_v").alias("_values"), F.max("_c").alias("_carry"))
+    kinds = latest.schema
+    both = events.select(*keys, F.col(time).alias("_t"), F.col(event_id).alias("_id"), F.lit(None).cast(kinds["_values"].dataType).alias("_values"), F.lit(None).cast(kinds["_carry"].dataType).alias("_carry")).unionByName(
+        latest.select(*keys, F.col(time).alias("_t"), F.lit(None).cast(events.schema[event_id].dataType).alias("_id"), "_values", "_carry"))
     # of the same time, events come first: only strictly earlier rows count
     order = Window.partitionBy(*keys).orderBy("_t", F.col("_id").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = both.withColumn("_prior", F.last(F.when(F.col("_values").isNotNull(), F.struct("_t", "_values")), ignorenulls=True).over(order)).filter(F.col("_id").isNotNull())
+    run = both.withColumn("_prior", F.last(F.when(F.col("_values").isNotNull(), F.struct("_t", "_values", "_carry")), ignorenulls=True).over(order)).filter(F.col("_id").isNotNull())
     n = F.size("_prior._values")
     status = F.when(F.col("_prior").isNull(), "none").when(n == 1, "found").otherwise("ambiguous")
-    return run.select(F.col("_id").alias(event_id), *keys, F.col("_t").alias(time), F.col("_prior._t").alias("prior_time"), F.when(n == 1, F.get("_prior._values", F.lit(0))).alias("prior_value"), status.alias("status"))
+    out = run.select(F.col("_id").alias(event_id), *keys, F.col("_t").alias(time), F.col("_prior._t").alias("prior_time"), F.when(n == 1, F.get("_prior._values", F.lit(0))).alias("prior_value"), F.col("_prior._carry").alias("prior_carry"), status.alias("status"))
+    return out if carry is not None else out.drop("prior_carry")
 
 
 def exact_time(events: DataFrame, records: DataFrame, keys: list[str], event_id: str) -> DataFrame:

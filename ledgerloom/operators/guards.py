@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,26 @@ def ids_digest(ids: DataFrame, column: str) -> DataFrame:
     return ids.agg(F.count(column).alias("n"), F.sum(h).alias("digest"))
 
 
+#: Ids, at most, whose list is hashed as one text.
+LISTED_IDS = 1_000_000
+
+
+def id_list_digest(ids: DataFrame, column: str, most: int = LISTED_IDS) -> str:
+    """SHA-256 of the sorted ids as one JSON list; as that is one text, more than `most` ids are refused."""
+    own = [r[0] for r in ids.select(F.col(column).cast("string")).limit(most + 1).collect()]
+    if len(own) > most:
+        raise ValueError(f"more than {most} ids: use ids_digest")
+    return hashlib.sha256(json.dumps(sorted(own), ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
+def require_ids(ids: DataFrame, column: str, expected: str) -> DataFrame:
+    """ids, refused unless they are those of a frozen hash."""
+    found = id_list_digest(ids, column)
+    if found != expected:
+        raise RuntimeError(f"ids changed after freeze: frozen={expected} current={found}")
+    return ids
+
+
 def require_hash(content: bytes, expected: str) -> str:
     """The hash of a script or file that must not have changed since it was frozen."""
     found = hashlib.sha256(content).hexdigest()

@@ -87,7 +87,7 @@ def compare(pairs: DataFrame) -> DataFrame:
 def unique_matches(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_id: list[str], predicate: Column) -> DataFrame:
     """Each left row with its one right row that meets the keys and the predicate; rows with none or several go.
 
-    How many match is counted after the predicate, for each left row, with partial sums before the shuffle."""
+    How many match is counted after the predicate, in a window over each left row's matches."""
     return all_matches(left, right, keys, left_id, predicate).filter("match_count = 1")
 
 

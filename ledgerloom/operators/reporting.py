@@ -94,8 +94,28 @@ def earliest_or_default(rows: DataFrame, known: DataFrame, keys: list[str], time
     return least.join(known.select(*keys, F.col(time).alias("_known")), keys, "full").select(*keys, F.coalesce("_known", "_least").alias(time))
 
 
-def opportunities(calendar: DataFrame, sources: DataFrame, listed: DataFrame) -> DataFrame:
-    """For each fund and period the listed funds whose results were still to come when its rows were public."""
-    late = calendar.join(listed.select("ticker"), "ticker", "left_semi").select(F.col("ticker").alias("target"), "period_end", F.col("results_ts").alias("cutoff"))
-    met = sources.join(late, "period_end", "left")
-    return met.groupBy("ticker", "period_end").agg(F.count_if((F.col("target") != F.col("ticker")) & (F.col("public_ts") < F.col("cutoff"))).alias("opportunities"))
+def exhibit_marks(exhibits: DataFrame, facilities: DataFrame) -> DataFrame:
+    """ticker, period_end, accepted, accession, filename, economic_facility_id: current facilities whose fair
+    value an exhibit of their fund and period shows beside their borrower's name."""
+    now = facilities.filter("is_current_period").select("ticker", "period_end", "economic_facility_id", "borrower_norm", "fair_value", "lien", "facility_type")
+    plain = exhibits.select("ticker", "period_end", "accepted", "accession", "filename", X.compact_text(F.col("text")).alias("plain")).filter(F.col("plain").contains("schedule of investments"))
+    met = plain.join(now, ["ticker", "period_end"])
+    return met.filter(X.facility_mark_in_text(F.col("plain"), F.col("borrower_norm"), F.col("fair_value"), F.col("lien"), F.col("facility_type"))).select("ticker", "period_end", "accepted", "accession", "filename", "economic_facility_id").distinct()
+
+
+def fallback_audit(fallbacks: DataFrame, disclosures: DataFrame, marks: DataFrame) -> DataFrame:
+    """Periodic fallbacks (ticker, period_end, acceptance_timestamp_utc) with the earliest time at which
+    results, and marks of single facilities, were public in other filings (ticker, period_end, accepted)."""
+    key, original = ["ticker", "period_end"], F.col("acceptance_timestamp_utc")
+    results = disclosures.groupBy(*key).agg(F.min("accepted").alias("_results"), F.count(F.lit(1)).alias("disclosures"))
+    shown = marks.groupBy(*key).agg(F.min("accepted").alias("_marks"), F.array_sort(F.collect_set("economic_facility_id")).alias("exact_facility_ids"))
+    met = fallbacks.join(results, key, "left").join(shown, key, "left").fillna(0, ["disclosures"])
+    met = met.withColumns({"target_results_public_ts": F.coalesce("_results", original), "source_mark_public_ts": F.coalesce("_marks", original), "exact_facility_ids": F.coalesce("exact_facility_ids", F.array().cast("array<string>"))})
+    target, source = F.col("target_results_public_ts"), F.col("source_mark_public_ts")
+    return met.withColumns({"target_cutoff_shifted_earlier": target < original, "source_mark_timestamp_shifted_earlier": source < original, "target_and_source_timestamps_differ": target != source, "exact_facility_mark_present": F.size("exact_facility_ids") > 0}).drop("_results", "_marks")
+
+
+def movement_guard(before: DataFrame, after: DataFrame, development: str, guard: int = 20) -> DataFrame:
+    """Moved facilities outside the development quarter in two movement summaries, and whether enough are left."""
+    total = lambda df, name: df.filter(F.col("quarter") != development).agg(F.coalesce(F.sum("moved_facilities"), F.lit(0)).alias(name))
+    return total(before, "before").crossJoin(total(after, "after")).withColumn("guard_met", F.col("after") >= guard)  # one row each

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import values as V
+from ledgerloom.operators import eligibility as E
 
 METRICS = ("revenue", "operating_profit", "ordinary_profit", "net_income")
 # The columns of each horizon and basis, in the order in which they are tried.
@@ -47,6 +48,20 @@ def disclosures(records: DataFrame) -> DataFrame:
     )
 
 
+def same_fiscal_period(left: Column, right: Column) -> Column:
+    """Both ends of a fiscal year are told, and equal."""
+    return F.coalesce((left != "") & (left == right), F.lit(False))
+
+
+def attempt(source_type: Column, url: Column, result: Column, note: Column, status: Column | None = None, size: Column | None = None, at: Column | None = None) -> Column:
+    """A row of the log of attempts."""
+    none = F.lit(None)
+    return F.struct(
+        source_type.alias("source_type"), url.alias("source_url"), V.utc_text(F.current_timestamp() if at is None else at).alias("attempted_utc"),
+        (none if status is None else status).cast("int").alias("http_status"), F.coalesce((none if size is None else size).cast("long"), F.lit(0).cast("long")).alias("content_bytes"), result.alias("result"), note.alias("evidence_note"),
+    )
+
+
 def reconstruct(events: DataFrame, records: DataFrame, approved: list[str], window_start: str = "2024-09-01") -> DataFrame:
     """A row for each event (event_id, code, ts to the minute) with its status and, if recovered, old and new values.
 
@@ -57,11 +72,10 @@ def reconstruct(events: DataFrame, records: DataFrame, approved: list[str], wind
     one = now.groupBy("code", "minute").agg(F.count(F.lit(1)).alias("n"), *[F.any_value(c).alias(c) for c in ("disc_no", "doc_type", "ts", "p", "fiscal_start", "fiscal_end", "period_length_days")])
     ev = events.select("event_id", "code", F.substring("ts", 1, 16).alias("minute")).join(one, ["code", "minute"], "left").fillna(0, ["n"])
     full = lambda p: F.forall(F.array(*[F.col(f"{p}.{m}") for m in METRICS]), lambda x: x.isNotNull())
-    old = told.select("code", F.col("ts").alias("old_ts"), F.col("p").alias("old"), F.col("disc_no").alias("old_disc_no"), F.col("fiscal_start").alias("_s"), F.col("fiscal_end").alias("_e")).filter(F.col("old").isNotNull())
-    same = (F.col("o.code") == F.col("c.code")) & F.col("o._s").eqNullSafe(F.col("c.fiscal_start")) & F.col("o._e").eqNullSafe(F.col("c.fiscal_end")) & (F.col("o.old.horizon") == F.col("c.p.horizon")) & (F.col("o.old.basis") == F.col("c.p.basis")) & (F.col("o.old_ts") < F.col("c.ts"))
-    met = ev.filter("n = 1").alias("c").join(old.alias("o"), same).select("event_id", "old_ts", "old", "old_disc_no")
-    latest = met.withColumn("_r", F.rank().over(Window.partitionBy("event_id").orderBy(F.desc("old_ts")))).filter("_r = 1")
-    last = latest.groupBy("event_id").agg(F.count_distinct(F.to_json("old")).alias("n_old"), F.max_by("old", "old_disc_no").alias("old"), F.max("old_disc_no").alias("old_disc_no"), F.max("old_ts").alias("old_ts"))
+    signature = ["code", "fiscal_start", "fiscal_end", "horizon", "basis"]
+    signed = lambda df: df.filter(F.col("p").isNotNull() & same_fiscal_period(F.col("fiscal_end"), F.col("fiscal_end"))).withColumns({"horizon": F.col("p.horizon"), "basis": F.col("p.basis")})
+    found = E.as_of(signed(ev.filter("n = 1")), signed(told), signature, "ts", F.col("p"), "event_id", F.col("disc_no"))
+    last = found.filter("status != 'none'").select("event_id", F.when(F.col("status") == "found", 1).otherwise(2).alias("n_old"), F.col("prior_value").alias("old"), F.col("prior_carry").alias("old_disc_no"), F.col("prior_time").alias("old_ts"))
     out = ev.join(last, "event_id", "left")
     status = (
         F.when(F.col("n") == 0, "revision_record_not_found").when(F.col("n") > 1, "ambiguous_revision_record")

@@ -21,6 +21,7 @@ from ledgerloom.operators import projections as P
 from ledgerloom.operators import sampling as S
 from ledgerloom.operators import variants as VA
 from ledgerloom.plans import adapters as A
+from ledgerloom.shared import materialize
 from ledgerloom.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,10 +40,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from ledgerloom.plans import parsing  # adds its own
+
+    assert parsing
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -196,15 +201,29 @@ def prior_quarter_match(spark, sf):
     return E.prior_matches(A.positions(spark, sf)).select(F.col("s_economic_facility_id").alias("s_id"), F.col("p_economic_facility_id").alias("p_id"), "match_count")
 
 
-def observations(spark, sf):
-    pos = A.positions(spark, sf)
-    cal = A.calendar(pos)
-    return pos, cal, E.eligible(pos, E.calendar(cal), A.listed(cal))
+class Stored:
+    """What the point-in-time queries share, each computed once: one scan of the facts for all of a query."""
+
+    def __init__(self, spark, sf):
+        self.positions = materialize(A.positions(spark, sf), "positions")
+        self.calendar = materialize(A.calendar(self.positions), "calendar")
+        self.results, self.listed = E.calendar(self.calendar), A.listed(self.calendar)
+        self.matches = materialize(E.match_table(self.positions, self.results), "matches")
+
+    def eligible(self, **how) -> DataFrame:
+        return E.eligible(self.positions, self.results, self.listed, matches=self.matches, **how)
+
+    def losses(self) -> DataFrame:
+        return E.losses(self.positions, self.results, self.listed, matches=self.matches)
+
+
+def observations(spark, sf) -> DataFrame:
+    return Stored(spark, sf).eligible()
 
 
 @query(ELIGIBLE + "SELECT observation_id, source_ticker, target_ticker, CAST(source_information_ts AS VARCHAR) AS source_information_ts, CAST(target_cutoff_ts AS VARCHAR) AS target_cutoff_ts, round(window_days, 6) AS window_days, round(source_delta, 8) AS source_delta, movement_eligible FROM elig")
 def eligible_observations(spark, sf):
-    return observations(spark, sf)[2].select("observation_id", "source_ticker", "target_ticker", *text("source_information_ts", "target_cutoff_ts"), near("window_days"), near("source_delta", 8), "movement_eligible")
+    return observations(spark, sf).select("observation_id", "source_ticker", "target_ticker", *text("source_information_ts", "target_cutoff_ts"), near("window_days"), near("source_delta", 8), "movement_eligible")
 
 
 @query(PRIOR + "SELECT s_id, round(s_mark - p_mark, 8) AS delta FROM met WHERE s_ticker = p_ticker AND match_count = 1 AND abs(s_mark - p_mark) >= 0.005::DOUBLE")
@@ -216,7 +235,7 @@ def movement(spark, sf):
   count(DISTINCT CASE WHEN movement_eligible THEN source_ticker || '/' || source_facility_id END) AS moved_facilities, count(DISTINCT CASE WHEN movement_eligible THEN borrower_norm END) AS moved_borrowers,
   round(quantile_cont(window_days, 0.25), 6) AS p25, round(quantile_cont(window_days, 0.5), 6) AS median, round(quantile_cont(window_days, 0.75), 6) AS p75 FROM elig GROUP BY 1""")
 def movement_summary(spark, sf):
-    return E.movement_summary(observations(spark, sf)[2]).select("quarter", "eligible", "computable", "moved", "moved_facilities", "moved_borrowers", near("p25"), near("median"), near("p75"))
+    return E.movement_summary(observations(spark, sf)).select("quarter", "eligible", "computable", "moved", "moved_facilities", "moved_borrowers", near("p25"), near("median"), near("p75"))
 
 
 @query(PRIOR + "SELECT s_id, round(s_mark, 8) AS mark, round(s_mark + (s_mark - p_mark), 8) AS b1 FROM met WHERE s_ticker = p_ticker AND match_count = 1")
@@ -230,12 +249,12 @@ VOTES = """, votes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 
 @query(ELIGIBLE + VOTES + "SELECT observation_id, source_ticker FROM votes")
 def one_fund_one_vote(spark, sf):
-    return EV.one_fund_one_vote(observations(spark, sf)[2], ["period_end", "target_ticker", "target_prior_facility_id"]).select("observation_id", "source_ticker")
+    return EV.one_fund_one_vote(observations(spark, sf), ["period_end", "target_ticker", "target_prior_facility_id"]).select("observation_id", "source_ticker")
 
 
 @query(ELIGIBLE + VOTES + "SELECT target_prior_facility_id, target_ticker, round(median(source_mark), 8) AS b2, round(arg_min(source_mark, (source_information_ts, source_ticker)), 8) AS b3, count(*) AS n_votes FROM votes WHERE source_mark IS NOT NULL GROUP BY period_end, target_ticker, target_prior_facility_id")
 def coholder_median(spark, sf):
-    return EV.coholders(observations(spark, sf)[2]).select("target_prior_facility_id", "target_ticker", near("b2", 8), near("b3", 8), "n_votes")
+    return EV.coholders(observations(spark, sf)).select("target_prior_facility_id", "target_ticker", near("b2", 8), near("b3", 8), "n_votes")
 
 
 LENDERS = f""", len1 AS (SELECT s.economic_facility_id AS id, p.ticker AS lender, p.fair_value / nullif(p.principal, 0) AS m, count(*) OVER (PARTITION BY s.economic_facility_id, p.ticker) AS c
@@ -263,8 +282,8 @@ err AS (SELECT *, abs(b0 - actual) * 100 AS b0_error_pp, abs(b1 - actual) * 100
 
 
 def evaluated(spark, sf):
-    pos, _, obs = observations(spark, sf)
-    return EV.evaluate(pos, obs)
+    own = Stored(spark, sf)
+    return EV.evaluate(own.positions, materialize(own.eligible(), "eligible"), matches=own.matches)
 
 
 @query(ELIGIBLE + VOTES + EVAL + "SELECT observation_id, round(b0, 8) AS b0, round(b1, 8) AS b1, round(b2, 8) AS b2, round(b3, 8) AS b3, round(b4, 8) AS b4, round(adjusted, 8) AS adjusted, round(actual, 8) AS actual, matches, disappeared, non_accrual_transition FROM err")
@@ -304,7 +323,7 @@ def degenerate_rows(spark, sf):
 
 @query(ELIGIBLE + "SELECT CASE WHEN window_days * 24 <= 24 THEN '<=1d' WHEN window_days * 24 <= 72 THEN '1-3d' ELSE '>3d' END AS bucket, count(*) AS n FROM elig GROUP BY 1")
 def window_bucket(spark, sf):
-    return observations(spark, sf)[2].groupBy(V.window_bucket(F.col("window_days") * 24).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return observations(spark, sf).groupBy(V.window_bucket(F.col("window_days") * 24).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 LOSS = f""", tgt AS (SELECT DISTINCT ticker AS target FROM cal WHERE cik < {A.LISTED}),
@@ -323,9 +342,7 @@ coded AS (SELECT x.economic_facility_id, x.ticker, x.period_end, t.target, own.s
 
 
 def coded(spark, sf):
-    pos = A.positions(spark, sf)
-    cal = A.calendar(pos)
-    return E.losses(pos, E.calendar(cal), A.listed(cal))
+    return Stored(spark, sf).losses()
 
 
 @query(ELIGIBLE + LOSS + "SELECT loss_code, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 3) AS pct FROM coded GROUP BY loss_code")
@@ -344,20 +361,34 @@ def completeness(spark, sf):
     return E.completeness(A.facilities(spark, sf), ["ticker"], ["lien", "reference_rate", "spread", "maturity", "principal"])
 
 
-@query(PAIRS.replace("WITH", "WITH", 1) + A.CALENDAR + A.PRIOR + A.ELIGIBLE + LOSS + """, h AS (SELECT ticker, period_end, count(*) AS aggregated_facilities, count(*) FILTER (WHERE is_current_period) AS current_facilities FROM pos GROUP BY ALL),
+SHOWN = ("borrower_norm", "debt_equity", "facility_type", "lien", "currency", "reference_rate", "spread", "maturity", "funded_status", "principal", "fair_value")
+_PCT = ", ".join(f"round(100.0::DOUBLE * count(CASE WHEN CAST({c} AS VARCHAR) NOT IN ('', 'unknown', 'UNKNOWN') THEN 1 END) / count(*), 3) AS pct_{c}" for c in SHOWN)
+_LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.LOSSES.items())
+
+
+@query(PAIRS + A.CALENDAR + A.PRIOR + A.ELIGIBLE + LOSS + f""", h AS (SELECT ticker, period_end, count(*) AS aggregated_facilities, count(*) FILTER (WHERE is_current_period) AS current_facilities FROM pos GROUP BY ALL),
 sd AS (SELECT period_end, ticker, facility_row_id AS id, informative_matches, predicted_label FROM pairs UNION ALL SELECT period_end, r_ticker, r_id, informative_matches, predicted_label FROM pairs),
 en AS (SELECT ticker, period_end, count(DISTINCT id) AS entering, count(*) AS pairs, count(*) FILTER (WHERE informative_matches >= 3) AS informative_pairs, count(*) FILTER (WHERE predicted_label = 'same_facility') AS predicted_same FROM sd GROUP BY ALL),
 so AS (SELECT ticker, period_end, count(DISTINCT CASE WHEN own_prior THEN economic_facility_id END) AS with_prior FROM coded GROUP BY ALL),
 ta AS (SELECT target AS ticker, period_end, count(DISTINCT target_prior_id) AS target_priors FROM coded WHERE loss_code IN ('F', 'eligible') GROUP BY ALL),
-el AS (SELECT source_ticker AS ticker, period_end, count(*) AS eligible, count(*) FILTER (WHERE movement_eligible) AS moved FROM elig GROUP BY ALL)
-SELECT ticker, CAST(period_end AS VARCHAR) AS period_end, coalesce(aggregated_facilities, 0) AS aggregated_facilities, coalesce(current_facilities, 0) AS current_facilities, coalesce(entering, 0) AS entering, coalesce(pairs, 0) AS pairs, coalesce(informative_pairs, 0) AS informative_pairs,
- coalesce(predicted_same, 0) AS predicted_same, coalesce(with_prior, 0) AS with_prior, coalesce(target_priors, 0) AS target_priors, coalesce(eligible, 0) AS eligible, coalesce(moved, 0) AS moved
-FROM (SELECT DISTINCT ticker, period_end FROM cal) g LEFT JOIN h USING (ticker, period_end) LEFT JOIN en USING (ticker, period_end) LEFT JOIN so USING (ticker, period_end) LEFT JOIN ta USING (ticker, period_end) LEFT JOIN el USING (ticker, period_end)""")
+el AS (SELECT source_ticker AS ticker, period_end, count(*) AS eligible, count(*) FILTER (WHERE movement_eligible) AS moved FROM elig GROUP BY ALL),
+sh AS (SELECT ticker, period_end, {_PCT} FROM pos WHERE is_current_period GROUP BY ALL),
+md AS (SELECT ticker, period_end, loss_code FROM (SELECT ticker, period_end, loss_code, row_number() OVER (PARTITION BY ticker, period_end ORDER BY count(*) DESC, loss_code) AS r FROM coded GROUP BY ticker, period_end, loss_code) t WHERE r = 1),
+pb AS (SELECT c.ticker, c.period_end, greatest(r.results_ts, min(c.accepted)) AS public_ts FROM cur c JOIN res r ON r.ticker = c.ticker AND r.period_end = c.period_end GROUP BY c.ticker, c.period_end, r.results_ts),
+op AS (SELECT s.ticker, s.period_end, count(*) FILTER (WHERE t.ticker <> s.ticker AND s.public_ts < t.results_ts) AS opportunities FROM pb s LEFT JOIN (SELECT res.* FROM res SEMI JOIN tgt ON res.ticker = tgt.target) t ON t.period_end = s.period_end GROUP BY ALL),
+gr AS (SELECT g.ticker, g.period_end, g.cik, h.*, en.*, so.*, ta.*, el.*, sh.*, op.opportunities, res.results_ts AS r_ts, tgt.target AS is_listed,
+  coalesce(CASE md.loss_code {_LABELS} WHEN 'eligible' THEN 'none' END, CASE WHEN coalesce(current_facilities, 0) = 0 THEN 'no_current_period_facilities' ELSE 'none' END) AS first_loss
+ FROM (SELECT DISTINCT ticker, period_end, cik FROM cal) g LEFT JOIN h USING (ticker, period_end) LEFT JOIN en USING (ticker, period_end) LEFT JOIN so USING (ticker, period_end) LEFT JOIN ta USING (ticker, period_end) LEFT JOIN el USING (ticker, period_end)
+ LEFT JOIN sh USING (ticker, period_end) LEFT JOIN md USING (ticker, period_end) LEFT JOIN op USING (ticker, period_end) LEFT JOIN res USING (ticker, period_end) LEFT JOIN tgt ON tgt.target = g.ticker)
+SELECT ticker, CAST(period_end AS VARCHAR) AS period_end, CAST(year(period_end) AS VARCHAR) || 'Q' || CAST(quarter(period_end) AS VARCHAR) AS quarter, CASE WHEN is_listed IS NULL THEN 'not_listed' ELSE 'listed' END AS listed_status, r_ts IS NOT NULL AS verified_reporting_order_available,
+ first_loss, first_loss AS dominant_exclusion_reason, coalesce(aggregated_facilities, 0) AS aggregated_facilities, coalesce(current_facilities, 0) AS current_facilities, coalesce(entering, 0) AS entering, coalesce(pairs, 0) AS pairs, coalesce(informative_pairs, 0) AS informative_pairs,
+ coalesce(predicted_same, 0) AS predicted_same, coalesce(with_prior, 0) AS with_prior, coalesce(target_priors, 0) AS target_priors, coalesce(eligible, 0) AS eligible, coalesce(moved, 0) AS moved, coalesce(opportunities, 0) AS source_before_target_opportunities, {", ".join(f"coalesce(pct_{c}, 0) AS pct_{c}" for c in SHOWN)} FROM gr""")
 def bottleneck_grid(spark, sf):
-    pos, cal, obs = observations(spark, sf)
-    results = E.calendar(cal)
-    out = E.bottlenecks(pos, pairs(spark, sf), E.losses(pos, results, A.listed(cal)), obs, cal, ["lien", "spread"])
-    return out.select("ticker", *text("period_end"), *[count(c) for c in ("aggregated_facilities", "current_facilities", "entering", "pairs", "informative_pairs", "predicted_same", "with_prior", "target_priors", "eligible", "moved")])
+    own = Stored(spark, sf)
+    met = materialize(M.compare(M.candidate_pairs(own.positions, block="part")), "pairs")
+    out = E.bottlenecks(own.positions, met, materialize(own.losses(), "losses"), own.eligible(), own.calendar, own.listed, list(SHOWN))
+    numbers = ("aggregated_facilities", "current_facilities", "entering", "pairs", "informative_pairs", "predicted_same", "with_prior", "target_priors", "eligible", "moved", "source_before_target_opportunities")
+    return out.select("ticker", *text("period_end"), "quarter", "listed_status", "verified_reporting_order_available", "first_loss", "dominant_exclusion_reason", *[count(c) for c in numbers], *[f"pct_{c}" for c in SHOWN])
 
 
 # ---- calendar
@@ -505,9 +536,9 @@ def exclude_dev_anti(spark, sf):
 
 @query(ELIGIBLE + "SELECT observation_id FROM elig e WHERE NOT EXISTS (SELECT 1 FROM elig x WHERE x.borrower_norm = e.borrower_norm AND x.source_ticker = e.source_ticker AND x.target_ticker = e.target_ticker AND x.period_end = e.period_end AND x.source_cik % 4 = 0)")
 def contaminated_anti(spark, sf):
-    pos, cal, obs = observations(spark, sf)
-    keys = obs.filter("source_cik % 4 = 0").select("borrower_norm", "source_ticker", "target_ticker", "quarter").distinct()
-    return E.eligible(pos, E.calendar(cal), A.listed(cal), quarantined=keys).select("observation_id")
+    own = Stored(spark, sf)
+    keys = own.eligible().filter("source_cik % 4 = 0").select("borrower_norm", "source_ticker", "target_ticker", "quarter").distinct()
+    return own.eligible(quarantined=keys).select("observation_id")
 
 
 @query("SELECT event_type, count(*) AS n FROM (SELECT event_id, event_type FROM events WHERE value > 30 UNION SELECT event_id, event_type FROM events WHERE user_id % 5 = 0 UNION SELECT event_id, event_type FROM events WHERE event_type = 'signup') t GROUP BY event_type")
@@ -609,13 +640,15 @@ def layer_share(spark, sf):
 
 @query(PRIOR + """, now AS (SELECT * FROM pos WHERE is_current_period), b AS (SELECT cik, count(*) AS current, count(DISTINCT period_end) AS periods, round((avg((lien <> 'unknown')::INT) + avg((reference_rate <> 'UNKNOWN')::INT) + avg((spread IS NOT NULL)::INT)) * 100.0::DOUBLE / 3, 6) AS completeness FROM now GROUP BY cik),
 ex AS (SELECT period_end, borrower_norm, cik FROM now WHERE cik < 15), p AS (SELECT n.cik, count(*) FILTER (WHERE ex.cik <> n.cik) AS pair_potential, count(DISTINCT n.borrower_norm) AS overlap_borrowers FROM now n JOIN ex USING (period_end, borrower_norm) GROUP BY n.cik),
-m AS (SELECT s_cik AS cik, count(*) AS movements FROM met WHERE s_ticker = p_ticker AND match_count = 1 AND abs(s_mark - p_mark) >= 0.005::DOUBLE GROUP BY 1)
-SELECT b.cik, current, periods, completeness, CAST(coalesce(pair_potential, 0) AS BIGINT) AS pair_potential, coalesce(overlap_borrowers, 0) AS overlap_borrowers, coalesce(movements, 0) AS movements FROM b LEFT JOIN p USING (cik) LEFT JOIN m USING (cik)""")
+m AS (SELECT s_cik AS cik, count(*) AS movements FROM met WHERE s_ticker = p_ticker AND match_count = 1 AND abs(s_mark - p_mark) >= 0.005::DOUBLE GROUP BY 1),
+f AS (SELECT b.cik, current, periods, completeness, CAST(coalesce(pair_potential, 0) AS BIGINT) AS pair_potential, coalesce(overlap_borrowers, 0) AS overlap_borrowers, coalesce(movements, 0) AS movements, b.cik < 15 AS inside FROM b LEFT JOIN p USING (cik) LEFT JOIN m USING (cik))
+SELECT * EXCLUDE (inside), NOT inside AND current >= 100 AND periods >= 4 AND pair_potential > 0 AND movements > 0 AND completeness >= 40 AS recommended,
+ concat_ws(' | ', CASE WHEN inside THEN 'already in existing universe' END, CASE WHEN current < 100 THEN 'fewer than 100 current-period facilities' END, CASE WHEN periods < 4 THEN 'fewer than four position periods' END, CASE WHEN pair_potential = 0 THEN 'no borrower overlap' END, CASE WHEN movements = 0 THEN 'no movements' END) AS exclusion_reason FROM f""")
 def fund_profile(spark, sf):
-    pos = A.positions(spark, sf)
+    pos = materialize(A.positions(spark, sf), "positions")
     moved = E.movements(pos).select(F.col("s_cik").alias("cik"))
     out = O.fund_profile(pos, moved, pos.filter("is_current_period and cik < 15"), ["lien", "reference_rate", "spread"])
-    return out.select("cik", "current", "periods", near("completeness"), count("pair_potential"), "overlap_borrowers", "movements")
+    return out.select("cik", "current", "periods", near("completeness"), count("pair_potential"), "overlap_borrowers", "movements", "recommended", "exclusion_reason")
 
 
 # ---- text
@@ -666,7 +699,8 @@ def token_jaccard_names(spark, sf):
 
 @query()
 def alias_topk(spark, sf):
-    """Names of parts as aliases, 30 drawn in each brand: no SQL has the sequence ratio; tests hold it against difflib."""
+    """Names of parts as aliases, 30 drawn in each brand as the sample that the operator asks for: no SQL
+    has the sequence ratio; tests hold it against difflib."""
     part = A.table(spark, sf, "part").select(F.col("p_brand").alias("period_end"), F.lower("p_name").alias("borrower_norm")).distinct()
     return O.top_aliases(O.alias_candidates(S.block_sample(part, "borrower_norm", "period_end", 30, 20260813), part))
 
@@ -703,15 +737,20 @@ def prior_identifier(spark, sf):
     return VA.identifier_prior(A.positions(spark, sf)).select(F.col("economic_facility_id").alias("id"), "n_prior", near("prior_mark", 8))
 
 
-@query(ELIGIBLE + f""", v AS (SELECT period_end, target_ticker, target_prior_facility_id, median(source_mark) AS b2 FROM elig GROUP BY ALL),
+@query(ELIGIBLE + LENDERS + f""", v AS (SELECT period_end, target_ticker, target_prior_facility_id, median(source_mark) AS b2 FROM elig GROUP BY ALL),
 nxt AS (SELECT s.economic_facility_id AS id, CASE WHEN count(*) = 1 THEN any_value(p.fair_value / nullif(p.principal, 0)) END AS actual
-  FROM cur s JOIN cur p ON last_day(s.period_end + INTERVAL 3 MONTH) = p.period_end AND s.borrower_norm = p.borrower_norm AND s.ticker = p.ticker WHERE {A.strict_sql("s", "p")} GROUP BY 1)
-SELECT observation_id, round(p.fair_value / nullif(p.principal, 0), 8) AS b0, round(b2, 8) AS b2, round(source_mark, 8) AS b3, round(source_mark + (p.fair_value / nullif(p.principal, 0) - source_prior_mark), 8) AS adjusted, round(abs(source_mark - actual) * 100, 6) AS b3_error_pp
-FROM elig e JOIN pos p ON p.economic_facility_id = e.target_prior_facility_id LEFT JOIN v ON v.period_end = e.period_end AND v.target_ticker = e.target_ticker AND v.target_prior_facility_id = e.target_prior_facility_id LEFT JOIN nxt ON nxt.id = e.target_prior_facility_id""")
+  FROM cur s JOIN cur p ON last_day(s.period_end + INTERVAL 3 MONTH) = p.period_end AND s.borrower_norm = p.borrower_norm AND s.ticker = p.ticker WHERE {A.strict_sql("s", "p")} GROUP BY 1),
+ipr AS (SELECT s.economic_facility_id AS id, s.fair_value / nullif(s.principal, 0) AS now, sum(p.fair_value) / nullif(sum(p.principal), 0) AS before FROM cur s JOIN (SELECT * FROM pos WHERE NOT is_current_period) p ON s.prior_end = p.observation_date AND s.cik = p.cik AND s.investment_identifier = p.investment_identifier AND s.borrower_norm = p.borrower_norm
+  WHERE p.accepted <= s.accepted AND {A.strict_sql("s", "p")} GROUP BY s.economic_facility_id, s.fair_value, s.principal)
+SELECT observation_id, round(p.fair_value / nullif(p.principal, 0), 8) AS b0, round(ipr.now + (ipr.now - ipr.before), 8) AS b1, round(b2, 8) AS b2, round(source_mark, 8) AS b3, round(b4, 8) AS b4, round(source_mark + (p.fair_value / nullif(p.principal, 0) - source_prior_mark), 8) AS adjusted, round(abs(source_mark - actual) * 100, 6) AS b3_error_pp,
+  CASE WHEN window_days * 24 <= 24 THEN '<=1d' WHEN window_days * 24 <= 72 THEN '1-3d' ELSE '>3d' END AS bucket
+FROM elig e JOIN pos p ON p.economic_facility_id = e.target_prior_facility_id LEFT JOIN v ON v.period_end = e.period_end AND v.target_ticker = e.target_ticker AND v.target_prior_facility_id = e.target_prior_facility_id LEFT JOIN nxt ON nxt.id = e.target_prior_facility_id
+LEFT JOIN ipr ON ipr.id = e.target_prior_facility_id LEFT JOIN len ON len.id = e.target_prior_facility_id""")
 def nowcast_eval_first(spark, sf):
-    pos, _, obs = observations(spark, sf)
-    marks = pos.select("economic_facility_id", V.mark(None, F.col("fair_value"), F.col("principal")).alias("mark"))
-    return VA.evaluate(obs, EV.outcomes(pos), marks).select("observation_id", near("b0", 8), near("b2", 8), near("b3", 8), near("adjusted", 8), near("b3_error_pp"))
+    own = Stored(spark, sf)
+    marks = own.positions.select("economic_facility_id", V.mark(None, F.col("fair_value"), F.col("principal")).alias("mark"))
+    out = VA.evaluate(own.eligible(), EV.outcomes(own.positions, own.matches), marks, VA.momentum(own.positions), EV.prior_lenders(own.positions))
+    return out.select("observation_id", *[near(b, 8) for b in ("b0", "b1", "b2", "b3", "b4", "adjusted")], near("b3_error_pp"), "bucket")
 
 
 @query(WITH + "SELECT label, count(*) AS n FROM (SELECT 'all' AS label FROM fac UNION ALL SELECT 'non_accrual' FROM fac WHERE non_accrual UNION ALL SELECT 'restructured' FROM fac WHERE restructuring_flag) t GROUP BY label")
@@ -735,4 +774,4 @@ def timing_opportunities(spark, sf):
     results = E.calendar(cal)
     now = pos.filter("is_current_period").groupBy("ticker", "period_end").agg(F.min("accepted").alias("accepted")).join(results, ["ticker", "period_end"])
     sources = now.select("ticker", "period_end", V.later(F.col("results_ts"), F.col("accepted")).alias("public_ts"))
-    return R.opportunities(results, sources, A.listed(cal)).select("ticker", *text("period_end"), "opportunities")
+    return E.opportunities(results, sources, A.listed(cal)).select("ticker", *text("period_end"), "opportunities")

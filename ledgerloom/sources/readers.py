@@ -7,10 +7,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions import values as V
+
 #: Columns by which the members of an archive are told apart.
 SUBMISSION = {"adsh", "cik", "name", "form", "period", "accepted", "filed"}
 HOLDINGS = {"adsh", "ddate"}
@@ -48,20 +50,25 @@ def identify_members(headers: dict[str, list[str]]) -> dict[str, str]:
     return {k: v[0] for k, v in found.items()}
 
 
-def zip_rows(spark: SparkSession, path: str, role: str) -> DataFrame:
+def zip_rows(spark: SparkSession, path: str, role: str, expected: dict[str, str] | None = None) -> DataFrame:
     """archive_id, sha256, member, line_number and fields (a map) of one role's rows in many archives.
 
     Each archive is opened where Spark reads it and its rows are handed on in batches; line numbers count
-    from the header as 1."""
+    from the header as 1. One archive is one task's work and memory, so archives should stay below some
+    hundred MB. expected has the hash that each archive must have; another one, or one that it does not
+    name, is refused."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, sha, content in zip(batch["path"], batch["sha256"], batch["content"], strict=True):
+                archive_id = name.rsplit("/", 1)[-1].removesuffix(".zip")
+                if expected is not None and expected.get(archive_id) != sha:
+                    raise ValueError(f"archive {archive_id} has hash {sha} where {expected.get(archive_id)} is expected")
                 member = identify_members(member_headers(content))[role]
                 with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(member) as raw:
                     rows = pd.read_csv(raw, sep="\t", dtype=str, keep_default_na=False, encoding="utf-8-sig", chunksize=10_000)
                     for part in rows:
-                        yield pd.DataFrame({"archive_id": name.rsplit("/", 1)[-1].removesuffix(".zip"), "sha256": sha, "member": member, "line_number": part.index + 2, "fields": part.to_dict("records")})
+                        yield pd.DataFrame({"archive_id": archive_id, "sha256": sha, "member": member, "line_number": part.index + 2, "fields": part.to_dict("records")})
 
     files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "content")
     return files.mapInPandas(unpack, "archive_id string, sha256 string, member string, line_number long, fields map<string,string>")
@@ -72,13 +79,21 @@ def widen(rows: DataFrame, columns: list[str], field: str = "fields") -> DataFra
     return rows.select(*[c for c in rows.columns if c != field], *[F.nullif(F.try_element_at(field, F.lit(c)), F.lit("")).alias(c) for c in columns])
 
 
-def submissions(rows: DataFrame, universe: DataFrame) -> DataFrame:
-    """Quarterly and annual reports of the universe (cik, ticker)."""
-    from ledgerloom.functions import values as V
+def submissions(rows: DataFrame, universe: DataFrame | None = None) -> DataFrame:
+    """Quarterly and annual reports of the universe (cik, ticker), or of all filers, whose ticker is then CIK and the number."""
+    number = lambda c: F.regexp_replace(c.cast("string"), "^0+", "")
+    own = rows.filter(F.col("form").isin(*FORMS)).withColumn("cik", number(F.col("cik"))).filter("cik != ''")
+    if universe is None:
+        own = own.withColumn("ticker", F.concat(F.lit("CIK"), "cik"))
+    else:
+        own = own.join(universe.select(number(F.col("cik")).alias("cik"), "ticker"), "cik")
+    return own.select("adsh", "cik", "ticker", F.col("name").alias("filer_name"), "form", "filed", V.iso_date(F.col("period")).alias("period_end"), V.timestamp(F.col("accepted")).alias("accepted"))
+
 
-    own = rows.filter(F.col("form").isin(*FORMS)).withColumn("cik", F.regexp_replace("cik", "^0+", ""))
-    return own.join(universe.select(F.regexp_replace(F.col("cik").cast("string"), "^0+", "").alias("cik"), "ticker"), "cik").select(
-        "adsh", "cik", "ticker", F.col("name").alias("filer_name"), "form", "filed", V.iso_date(F.col("period")).alias("period_end"), V.timestamp(F.col("accepted")).alias("accepted"))
+def entities(rows: DataFrame) -> DataFrame:
+    """cik, name (the last seen) and archives of all filers of quarterly and annual reports (rows of zip_rows, widened)."""
+    own = rows.filter(F.col("form").isin(*FORMS)).withColumn("cik", F.regexp_replace(F.col("cik").cast("string"), "^0+", "")).filter("cik != ''")
+    return own.groupBy("cik").agg(F.max_by("name", F.struct("archive_id", "line_number")).alias("name"), F.array_sort(F.collect_set("archive_id")).alias("archives"))
 
 
 def links(html: Column, pattern: str) -> Column:
@@ -112,6 +127,19 @@ def multi_map(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias(value + "s"))
 
 
+def index_probe(items: DataFrame, keyword: str, samples: int = 2) -> DataFrame:
+    """For each period how many items its index page lists, how many titles match, and whether the first
+    documents of each kind answered (period, place, title, document_alive, data_alive; null for no link)."""
+    first = lambda c: F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("place", c)))), lambda x: x[c]), 1, samples)
+    # the first of each kind are ranked in their tasks, so that no page is held whole
+    rank = lambda c: F.row_number().over(Window.partitionBy("period", F.col(c).isNull()).orderBy("place"))
+    counts = items.groupBy("period").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("title").rlike(keyword)).alias("matching"))
+    for c in ("document_alive", "data_alive"):
+        few = items.select("period", "place", c).withColumn("_n", rank(c)).filter((F.col("_n") <= samples) & F.col(c).isNotNull())
+        counts = counts.join(few.groupBy("period").agg(first(c).alias(c)), "period", "left")
+    return counts
+
+
 def alive(status: Column, size: Column) -> Column:
     return F.coalesce((status == 200) & (size > 500), F.lit(False))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, replace: bool = False) -> None:
+    """Parquet, in folders by columns; an output that exists is kept unless it is to be replaced."""
     df.write.mode("overwrite" if replace else "errorifexists").partitionBy(*(partition_by or [])).parquet(path)
 
 
@@ -23,9 +24,12 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str], order: list[str] | None = None) -> None:
-    """A delimited table of fixed columns, sorted; Spark writes as many files as the rows need."""
+    """A delimited table of fixed columns, sorted with nulls last; Spark writes as many files as the rows
+    need. A table without rows is refused."""
     rows = df.select(*fields)
-    flat(rows.orderBy(*order) if order else rows).write.mode("errorifexists").options(header=True, lineSep="\n", emptyValue="", escape='"').csv(path)
+    if rows.isEmpty():
+        raise ValueError("no rows to write")
+    flat(rows.orderBy(*[F.col(c).asc_nulls_last() for c in order]) if order else rows).write.mode("errorifexists").options(header=True, lineSep="\n", emptyValue="", escape='"').csv(path)
 
 
 def write_pair(public: DataFrame, private: DataFrame, path: str) -> None:
@@ -34,6 +38,19 @@ def write_pair(public: DataFrame, private: DataFrame, path: str) -> None:
     private.write.mode("errorifexists").parquet(f"{path}/private")
 
 
+def write_guarded(df: DataFrame, path: str, odd: Column) -> None:
+    """A table none of whose rows is odd; else nothing is written."""
+    n = df.filter(odd).count()
+    if n:
+        raise ValueError(f"{n} rows must not be written")
+    write_table(df, path)
+
+
+def write_summary(df: DataFrame, path: str, rows: int = 1000) -> None:
+    """summary_json() as a text file."""
+    df.sparkSession.createDataFrame([(summary_json(df, rows).rstrip("\n"),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
 def summary_json(df: DataFrame, rows: int = 1000) -> str:
     """A small summary as JSON with sorted keys; more rows than a summary has are refused."""
     got = df.limit(rows + 1).collect()
