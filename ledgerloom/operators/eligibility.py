@@ -43,11 +43,17 @@ def prior_matches(facilities: DataFrame, same_fund: bool = True) -> DataFrame:
     return M.all_matches(s, p, keys, ["s_economic_facility_id", "p_ticker"], M.strict_same_facility("s_", "p_"))
 
 
+#: What the match table tells of each side.
+SIDE = ("economic_facility_id", "ticker", "cik", "public_ts", "mark")
+
+
 def match_table(facilities: DataFrame, results: DataFrame) -> DataFrame:
-    """All prior matches of current rows in any fund (s_*, p_*, match_count), both sides with the times at
-    which they were public. What else looks at prior quarters reads this table, so it is worth storing."""
-    flags = [c for c in ("pik_rate", "non_accrual", "restructuring_flag") if c in facilities.columns]
-    return prior_matches(with_results(facilities.select(*FACILITY, *flags, "is_current_period"), results), same_fund=False)
+    """Current rows with their unique prior matches, at most one in each fund: s_* and p_* of SIDE, and the
+    source's period, borrower and results. What looks at unique priors reads this table, so that it is
+    worth storing: it is narrow, and has no row for matches that are not unique."""
+    rows = with_results(facilities.select(*FACILITY, "is_current_period"), results).withColumn("mark", V.mark(None, F.col("fair_value"), F.col("principal")))
+    met = prior_matches(rows, same_fund=False).filter("match_count = 1")
+    return met.select(*[f"{p}{c}" for p in ("s_", "p_") for c in SIDE], "s_period_end", "s_borrower_norm", "s_results_ts")
 
 
 def eligible(facilities: DataFrame, results: DataFrame, listed: DataFrame, excluded: DataFrame | None = None, quarantined: DataFrame | None = None, prefix: str = "SN3X_", matches: DataFrame | None = None) -> DataFrame:
@@ -58,7 +64,7 @@ def eligible(facilities: DataFrame, results: DataFrame, listed: DataFrame, exclu
     listed holds the tickers of targets, excluded borrower names and quarantined 4-part keys to leave out;
     matches is match_table(), where that has been stored."""
     matches = match_table(facilities, results) if matches is None else matches
-    priors = matches.filter((F.col("match_count") == 1) & F.col("s_results_ts").isNotNull())
+    priors = matches.filter(F.col("s_results_ts").isNotNull())
     if excluded is not None:
         priors = priors.join(excluded.select(F.col("borrower_norm").alias("s_borrower_norm")), "s_borrower_norm", "left_anti")
     own = priors.filter((F.col("s_ticker") == F.col("p_ticker")) & (F.col("p_public_ts") < F.col("s_public_ts")))
@@ -67,7 +73,7 @@ def eligible(facilities: DataFrame, results: DataFrame, listed: DataFrame, exclu
     other = other.select("s_economic_facility_id", F.col("p_economic_facility_id").alias("t_id"), F.col("p_ticker").alias("t_ticker"), F.col("p_cik").alias("t_cik"), F.col("p_public_ts").alias("t_prior_public_ts"))
     cutoffs = results.select(F.col("ticker").alias("t_ticker"), F.col("period_end").alias("s_period_end"), F.col("results_ts").alias("cutoff_ts"))
     met = own.join(other, "s_economic_facility_id").join(cutoffs, ["t_ticker", "s_period_end"]).filter(F.col("s_public_ts") < F.col("cutoff_ts"))
-    now, before = (V.mark(None, F.col(f"{x}_fair_value"), F.col(f"{x}_principal")) for x in ("s", "p"))
+    now, before = F.col("s_mark"), F.col("p_mark")
     delta = now - before
     out = met.select(
         F.concat(F.lit(prefix), V.stable_id(F.col("s_period_end"), F.col("s_economic_facility_id"), F.col("p_economic_facility_id"), F.col("t_id"), F.col("t_ticker"), length=28)).alias("observation_id"),
@@ -84,16 +90,15 @@ def eligible(facilities: DataFrame, results: DataFrame, listed: DataFrame, exclu
 
 
 def own_priors(facilities: DataFrame | None, matches: DataFrame | None = None) -> DataFrame:
-    """Current rows with their unique prior row in the same fund."""
-    met = prior_matches(facilities) if matches is None else matches.filter("s_ticker = p_ticker")
-    return met.filter("match_count = 1")
+    """Current rows with their unique prior row in the same fund, both with their marks."""
+    if matches is not None:
+        return matches.filter("s_ticker = p_ticker")
+    return prior_matches(facilities.withColumn("mark", V.mark(None, F.col("fair_value"), F.col("principal")))).filter("match_count = 1")
 
 
 def movements(facilities: DataFrame, threshold: float = MOVEMENT, matches: DataFrame | None = None) -> DataFrame:
     """Current rows whose mark moved since their unique prior row in the same fund."""
-    met = own_priors(facilities, matches)
-    now, before = (V.mark(None, F.col(f"{x}_fair_value"), F.col(f"{x}_principal")) for x in ("s", "p"))
-    return met.withColumn("delta", now - before).filter(F.abs("delta") >= threshold)
+    return own_priors(facilities, matches).withColumn("delta", F.col("s_mark") - F.col("p_mark")).filter(F.abs("delta") >= threshold)
 
 
 def movement_summary(observations: DataFrame) -> DataFrame:
@@ -123,7 +128,7 @@ def losses(facilities: DataFrame, results: DataFrame, listed: DataFrame, exclude
     rows = rows.withColumn("prior_end", V.previous_quarter_end(F.col("period_end"))).withColumn("ready", M.tagging_ready())
     held = facilities.filter("is_current_period").select(F.col("period_end").alias("prior_end"), "borrower_norm", F.col("ticker").alias("target")).distinct()
     held = held.join(listed.select(F.col("ticker").alias("target")), "target", "left_semi")
-    matches = (match_table(facilities, results) if matches is None else matches).filter("match_count = 1")
+    matches = match_table(facilities, results) if matches is None else matches
     own = matches.filter("s_ticker = p_ticker").select(F.col("s_economic_facility_id").alias("economic_facility_id"), F.lit(True).alias("own_prior"))
     other = matches.filter("s_ticker != p_ticker").select(F.col("s_economic_facility_id").alias("economic_facility_id"), F.col("p_ticker").alias("target"), F.col("p_economic_facility_id").alias("target_prior_id"), F.col("p_public_ts").alias("target_public"))
     overlap = held.groupBy("prior_end", "borrower_norm").agg(F.collect_set("target").alias("holders"))
@@ -133,15 +138,20 @@ def losses(facilities: DataFrame, results: DataFrame, listed: DataFrame, exclude
     targets = listed.agg(F.array_sort(F.collect_set("ticker")).alias("_targets"))  # one row
     cutoffs = results.select(F.col("ticker").alias("target"), "period_end", F.col("results_ts").alias("cutoff"))
     pairs = rows.join(own, "economic_facility_id", "left").join(overlap, ["prior_end", "borrower_norm"], "left")
-    pairs = pairs.crossJoin(F.broadcast(targets)).withColumn("target", F.explode(F.filter("_targets", lambda t: t != F.col("ticker")))).drop("_targets").join(cutoffs, ["target", "period_end"], "left").join(other, ["economic_facility_id", "target"], "left")
+    pairs = pairs.crossJoin(F.broadcast(targets)).withColumn("target", F.explode(F.filter("_targets", lambda t: t != F.col("ticker")))).join(cutoffs, ["target", "period_end"], "left")
     others = F.size(F.filter(F.coalesce("holders", F.array().cast("array<string>")), lambda h: h != F.col("ticker")))
-    early = (F.col("target_public") < F.col("public_ts")) & (F.col("public_ts") < F.col("cutoff"))
-    code = (
+    early = (
         F.when(F.col("results_ts").isNull() | F.col("cutoff").isNull(), "A").when(~F.col("ready"), "B").when(others == 0, "G")
-        .when(~F.coalesce(F.array_contains("holders", F.col("target")), F.lit(False)), "C").when(F.col("target_prior_id").isNull(), "D")
-        .when(F.col("own_prior").isNull(), "E").when(~F.coalesce(early, F.lit(False)), "F").otherwise("eligible")
+        .when(~F.coalesce(F.array_contains("holders", F.col("target")), F.lit(False)), "C")
     )
-    return pairs.select("economic_facility_id", "ticker", "period_end", "target", "own_prior", "target_prior_id", code.alias("loss_code"))
+    pairs = pairs.select("economic_facility_id", "ticker", "period_end", "target", "own_prior", "public_ts", "cutoff", early.alias("loss_code"))
+    # most pairs are decided by what is known of the row and the fund; only the others look for matches
+    out = ["economic_facility_id", "ticker", "period_end", "target", "own_prior"]
+    decided = pairs.filter("loss_code is not null").select(*out, F.lit(None).cast("string").alias("target_prior_id"), "loss_code")
+    asked = pairs.filter("loss_code is null").drop("loss_code").join(other, ["economic_facility_id", "target"], "left")
+    in_time = (F.col("target_public") < F.col("public_ts")) & (F.col("public_ts") < F.col("cutoff"))
+    late = F.when(F.col("target_prior_id").isNull(), "D").when(F.col("own_prior").isNull(), "E").when(~F.coalesce(in_time, F.lit(False)), "F").otherwise("eligible")
+    return decided.unionByName(asked.select(*out, "target_prior_id", late.alias("loss_code")))
 
 
 def loss_funnel(coded: DataFrame) -> DataFrame:

@@ -202,10 +202,11 @@ def prior_quarter_match(spark, sf):
 
 
 class Stored:
-    """What the point-in-time queries share, each computed once: one scan of the facts for all of a query."""
+    """What the point-in-time queries share, each computed once: one scan of the facts for all of a query,
+    of which the columns are kept that the operators read (and those named as more)."""
 
-    def __init__(self, spark, sf):
-        self.positions = materialize(A.positions(spark, sf), "positions")
+    def __init__(self, spark, sf, *more: str):
+        self.positions = materialize(A.positions(spark, sf).select(*E.FACILITY, "is_current_period", "results_ts", *more), "positions")
         self.calendar = materialize(A.calendar(self.positions), "calendar")
         self.results, self.listed = E.calendar(self.calendar), A.listed(self.calendar)
         self.matches = materialize(E.match_table(self.positions, self.results), "matches")
@@ -282,7 +283,7 @@ err AS (SELECT *, abs(b0 - actual) * 100 AS b0_error_pp, abs(b1 - actual) * 100
 
 
 def evaluated(spark, sf):
-    own = Stored(spark, sf)
+    own = Stored(spark, sf, "pik_rate", "non_accrual", "restructuring_flag")
     return EV.evaluate(own.positions, materialize(own.eligible(), "eligible"), matches=own.matches)
 
 
@@ -384,8 +385,8 @@ SELECT ticker, CAST(period_end AS VARCHAR) AS period_end, CAST(year(period_end)
  first_loss, first_loss AS dominant_exclusion_reason, coalesce(aggregated_facilities, 0) AS aggregated_facilities, coalesce(current_facilities, 0) AS current_facilities, coalesce(entering, 0) AS entering, coalesce(pairs, 0) AS pairs, coalesce(informative_pairs, 0) AS informative_pairs,
  coalesce(predicted_same, 0) AS predicted_same, coalesce(with_prior, 0) AS with_prior, coalesce(target_priors, 0) AS target_priors, coalesce(eligible, 0) AS eligible, coalesce(moved, 0) AS moved, coalesce(opportunities, 0) AS source_before_target_opportunities, {", ".join(f"coalesce(pct_{c}, 0) AS pct_{c}" for c in SHOWN)} FROM gr""")
 def bottleneck_grid(spark, sf):
-    own = Stored(spark, sf)
-    met = materialize(M.compare(M.candidate_pairs(own.positions, block="part")), "pairs")
+    own = Stored(spark, sf, "facility_row_id", "adsh", "investment_identifier", "acquisition_date", "part")
+    met = materialize(M.compare(M.candidate_pairs(own.positions, block="part")).select("period_end", "left_ticker", "right_ticker", "left_facility_row_id", "right_facility_row_id", "informative_matches", "predicted_label", "match_confidence"), "pairs")
     out = E.bottlenecks(own.positions, met, materialize(own.losses(), "losses"), own.eligible(), own.calendar, own.listed, list(SHOWN))
     numbers = ("aggregated_facilities", "current_facilities", "entering", "pairs", "informative_pairs", "predicted_same", "with_prior", "target_priors", "eligible", "moved", "source_before_target_opportunities")
     return out.select("ticker", *text("period_end"), "quarter", "listed_status", "verified_reporting_order_available", "first_loss", "dominant_exclusion_reason", *[count(c) for c in numbers], *[f"pct_{c}" for c in SHOWN])
@@ -747,9 +748,9 @@ SELECT observation_id, round(p.fair_value / nullif(p.principal, 0), 8) AS b0, ro
 FROM elig e JOIN pos p ON p.economic_facility_id = e.target_prior_facility_id LEFT JOIN v ON v.period_end = e.period_end AND v.target_ticker = e.target_ticker AND v.target_prior_facility_id = e.target_prior_facility_id LEFT JOIN nxt ON nxt.id = e.target_prior_facility_id
 LEFT JOIN ipr ON ipr.id = e.target_prior_facility_id LEFT JOIN len ON len.id = e.target_prior_facility_id""")
 def nowcast_eval_first(spark, sf):
-    own = Stored(spark, sf)
+    own = Stored(spark, sf, "observation_date", "investment_identifier", "pik_rate", "non_accrual", "restructuring_flag")
     marks = own.positions.select("economic_facility_id", V.mark(None, F.col("fair_value"), F.col("principal")).alias("mark"))
-    out = VA.evaluate(own.eligible(), EV.outcomes(own.positions, own.matches), marks, VA.momentum(own.positions), EV.prior_lenders(own.positions))
+    out = VA.evaluate(own.eligible(), EV.outcomes(own.positions), marks, VA.momentum(own.positions), EV.prior_lenders(own.positions))
     return out.select("observation_id", *[near(b, 8) for b in ("b0", "b1", "b2", "b3", "b4", "adjusted")], near("b3_error_pp"), "bucket")
 
 
