@@ -144,14 +144,10 @@ def losses(facilities: DataFrame, results: DataFrame, listed: DataFrame, exclude
         F.when(F.col("results_ts").isNull() | F.col("cutoff").isNull(), "A").when(~F.col("ready"), "B").when(others == 0, "G")
         .when(~F.coalesce(F.array_contains("holders", F.col("target")), F.lit(False)), "C")
     )
-    pairs = pairs.select("economic_facility_id", "ticker", "period_end", "target", "own_prior", "public_ts", "cutoff", early.alias("loss_code"))
-    # most pairs are decided by what is known of the row and the fund; only the others look for matches
-    out = ["economic_facility_id", "ticker", "period_end", "target", "own_prior"]
-    decided = pairs.filter("loss_code is not null").select(*out, F.lit(None).cast("string").alias("target_prior_id"), "loss_code")
-    asked = pairs.filter("loss_code is null").drop("loss_code").join(other, ["economic_facility_id", "target"], "left")
+    pairs = pairs.select("economic_facility_id", "ticker", "period_end", "target", "own_prior", "public_ts", "cutoff", early.alias("_early")).join(other, ["economic_facility_id", "target"], "left")
     in_time = (F.col("target_public") < F.col("public_ts")) & (F.col("public_ts") < F.col("cutoff"))
     late = F.when(F.col("target_prior_id").isNull(), "D").when(F.col("own_prior").isNull(), "E").when(~F.coalesce(in_time, F.lit(False)), "F").otherwise("eligible")
-    return decided.unionByName(asked.select(*out, "target_prior_id", late.alias("loss_code")))
+    return pairs.select("economic_facility_id", "ticker", "period_end", "target", "own_prior", "target_prior_id", F.coalesce("_early", late).alias("loss_code"))
 
 
 def loss_funnel(coded: DataFrame) -> DataFrame:
