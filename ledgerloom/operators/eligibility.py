@@ -120,34 +120,42 @@ FUNDS = 10_000
 def losses(facilities: DataFrame, results: DataFrame, listed: DataFrame, excluded: DataFrame | None = None, matches: DataFrame | None = None) -> DataFrame:
     """Each current row by every other listed fund, with the first reason why it gives no observation, or eligible.
 
-    The funds are counted, and more than FUNDS refused: their tickers are one array that every row
-    unfolds. Everything else about a pair is an equality join; only counts of matches are carried along."""
+    The funds are counted, and more than FUNDS refused: a period's funds are one array that every row of
+    it unfolds. All that a pair needs is joined to its row before, the matches in listed funds as a map by
+    ticker, so pairs are made and coded in one projection and never shuffled."""
     rows = with_results(facilities.select(*FACILITY, "is_current_period").filter("is_current_period"), results)
     if excluded is not None:
         rows = rows.join(excluded.select("borrower_norm"), "borrower_norm", "left_anti")
-    rows = rows.withColumn("prior_end", V.previous_quarter_end(F.col("period_end"))).withColumn("ready", M.tagging_ready())
-    held = facilities.filter("is_current_period").select(F.col("period_end").alias("prior_end"), "borrower_norm", F.col("ticker").alias("target")).distinct()
-    held = held.join(listed.select(F.col("ticker").alias("target")), "target", "left_semi")
-    matches = match_table(facilities, results) if matches is None else matches
-    own = matches.filter("s_ticker = p_ticker").select(F.col("s_economic_facility_id").alias("economic_facility_id"), F.lit(True).alias("own_prior"))
-    other = matches.filter("s_ticker != p_ticker").select(F.col("s_economic_facility_id").alias("economic_facility_id"), F.col("p_ticker").alias("target"), F.col("p_economic_facility_id").alias("target_prior_id"), F.col("p_public_ts").alias("target_public"))
-    overlap = held.groupBy("prior_end", "borrower_norm").agg(F.collect_set("target").alias("holders"))
-    n_funds = listed.count()
+    rows = rows.select("economic_facility_id", "ticker", "period_end", "borrower_norm", "results_ts", "public_ts", V.previous_quarter_end(F.col("period_end")).alias("prior_end"), M.tagging_ready().alias("ready"))
+    funds = listed.select(F.col("ticker").alias("target")).filter("target is not null").distinct()
+    n_funds = funds.count()
     if n_funds > FUNDS:
         raise ValueError(f"{n_funds} listed funds where {FUNDS} at most are expected")
-    targets = listed.agg(F.array_sort(F.collect_set("ticker")).alias("_targets"))  # one row
-    cutoffs = results.select(F.col("ticker").alias("target"), "period_end", F.col("results_ts").alias("cutoff"))
-    pairs = rows.join(own, "economic_facility_id", "left").join(overlap, ["prior_end", "borrower_norm"], "left")
-    pairs = pairs.crossJoin(F.broadcast(targets)).withColumn("target", F.explode(F.filter("_targets", lambda t: t != F.col("ticker")))).join(cutoffs, ["target", "period_end"], "left")
+    held = facilities.filter("is_current_period").select(F.col("period_end").alias("prior_end"), "borrower_norm", F.col("ticker").alias("target")).join(funds, "target", "left_semi")
+    overlap = held.groupBy("prior_end", "borrower_norm").agg(F.collect_set("target").alias("holders"))
+    matches = match_table(facilities, results) if matches is None else matches
+    met = matches.join(funds.withColumn("_listed", F.lit(True)), F.col("p_ticker") == F.col("target"), "left")
+    same = F.col("s_ticker") == F.col("p_ticker")
+    prior = F.struct(F.col("p_ticker"), F.struct(F.col("p_economic_facility_id").alias("id"), F.col("p_public_ts").alias("public")))
+    priors = met.filter(same | F.col("_listed")).groupBy(F.col("s_economic_facility_id").alias("economic_facility_id")).agg(
+        F.max(F.when(same, True)).alias("own_prior"), F.map_from_entries(F.collect_list(F.when(~same & F.col("_listed"), prior))).alias("_others"))
+    cutoff_type = results.schema["results_ts"].dataType
+    targets = funds.agg(F.array_sort(F.collect_list("target")).alias("_targets"))  # one row
+    cutoffs = results.select(F.col("ticker").alias("target"), "period_end", "results_ts").join(funds, "target", "left_semi")
+    cutoffs = cutoffs.groupBy("period_end").agg(F.map_from_entries(F.collect_list(F.struct("target", "results_ts"))).alias("_cutoffs")).crossJoin(F.broadcast(targets))
+    cutoffs = cutoffs.select("period_end", F.transform("_targets", lambda t: F.struct(t.alias("target"), F.try_element_at("_cutoffs", t).alias("cutoff"))).alias("_dated"))
+    undated = F.transform("_targets", lambda t: F.struct(t.alias("target"), F.lit(None).cast(cutoff_type).alias("cutoff")))
+    wide = rows.join(priors, "economic_facility_id", "left").join(overlap, ["prior_end", "borrower_norm"], "left").join(cutoffs, "period_end", "left").crossJoin(F.broadcast(targets))
+    pairs = wide.select(*rows.columns, "own_prior", "_others", "holders", F.inline(F.filter(F.coalesce("_dated", undated), lambda x: x["target"] != F.col("ticker"))))
+    prior = F.try_element_at("_others", F.col("target"))
     others = F.size(F.filter(F.coalesce("holders", F.array().cast("array<string>")), lambda h: h != F.col("ticker")))
-    early = (
+    in_time = (prior["public"] < F.col("public_ts")) & (F.col("public_ts") < F.col("cutoff"))
+    code = (
         F.when(F.col("results_ts").isNull() | F.col("cutoff").isNull(), "A").when(~F.col("ready"), "B").when(others == 0, "G")
         .when(~F.coalesce(F.array_contains("holders", F.col("target")), F.lit(False)), "C")
+        .when(prior["id"].isNull(), "D").when(F.col("own_prior").isNull(), "E").when(~F.coalesce(in_time, F.lit(False)), "F").otherwise("eligible")
     )
-    pairs = pairs.select("economic_facility_id", "ticker", "period_end", "target", "own_prior", "public_ts", "cutoff", early.alias("_early")).join(other, ["economic_facility_id", "target"], "left")
-    in_time = (F.col("target_public") < F.col("public_ts")) & (F.col("public_ts") < F.col("cutoff"))
-    late = F.when(F.col("target_prior_id").isNull(), "D").when(F.col("own_prior").isNull(), "E").when(~F.coalesce(in_time, F.lit(False)), "F").otherwise("eligible")
-    return pairs.select("economic_facility_id", "ticker", "period_end", "target", "own_prior", "target_prior_id", F.coalesce("_early", late).alias("loss_code"))
+    return pairs.select("economic_facility_id", "ticker", "period_end", "target", "own_prior", prior["id"].alias("target_prior_id"), code.alias("loss_code"))
 
 
 def loss_funnel(coded: DataFrame) -> DataFrame:
