@@ -33,12 +33,16 @@ def with_results(facilities: DataFrame, results: DataFrame) -> DataFrame:
     return met.withColumn("public_ts", V.later(F.col("results_ts"), F.col("accepted")))
 
 
-def prior_matches(facilities: DataFrame, same_fund: bool = True) -> DataFrame:
+def prior_matches(facilities: DataFrame, same_fund: bool = True, of: DataFrame | None = None) -> DataFrame:
     """Each current row (s_*) with all rows (p_*) of the quarter before that are strictly the same facility,
-    of the same fund or of any, and match_count, the number for the row and fund."""
+    of the same fund or of any, and match_count, the number for the row and fund. Given of, only rows of
+    the quarter before with one of its economic_facility_ids are met, and counted."""
     now = facilities.filter("is_current_period").withColumn("prior_end", V.previous_quarter_end(F.col("period_end")))
     s = M.side(now, "s_")
-    p = M.side(facilities.filter("is_current_period"), "p_")
+    before = facilities.filter("is_current_period")
+    if of is not None:
+        before = before.join(of.select("economic_facility_id"), "economic_facility_id", "left_semi")
+    p = M.side(before, "p_")
     keys = [("s_prior_end", "p_period_end"), ("s_borrower_norm", "p_borrower_norm"), *([("s_ticker", "p_ticker")] if same_fund else [])]
     return M.all_matches(s, p, keys, ["s_economic_facility_id", "p_ticker"], M.strict_same_facility("s_", "p_"))
 
