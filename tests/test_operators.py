@@ -169,6 +169,17 @@ def test_funnel(spark):
     assert sum(n for n, _ in funnel.values()) == 5 and sum(p for _, p in funnel.values()) == pytest.approx(100)
 
 
+def test_funnel_of_odd_tables(spark):
+    """No verified results: every pair is A. Repeated and null listed funds count once and never; without any there are no pairs."""
+    rows, r = holdings(spark), results(spark)
+    coded = lambda r, t: sorted((x.economic_facility_id, x.target, x.loss_code) for x in E.losses(rows, r, t).collect())
+    odd = spark.createDataFrame([("AAA",), ("BBB",), ("BBB",), (None,)], "ticker string")
+    assert coded(r, odd) == coded(r, tickers(spark, "AAA", "BBB"))
+    assert {c for *_, c in coded(r.limit(0), odd)} == {"A"}
+    assert coded(r, odd.limit(0)) == []
+    assert E.losses(rows.limit(0), r, odd).count() == 0
+
+
 def test_evaluation(spark):
     obs = E.eligible(holdings(spark), results(spark), tickers(spark, "AAA", "BBB"))
     (e,) = EV.evaluate(holdings(spark), obs).collect()
