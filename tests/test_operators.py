@@ -180,6 +180,17 @@ def test_funnel_of_odd_tables(spark):
     assert E.losses(rows.limit(0), r, odd).count() == 0
 
 
+def test_lookups_of_some_rows(spark):
+    """Lenders and outcomes of named rows are what those rows get among all."""
+    rows = holdings(spark, row("u1", ticker="CCC", cik=3))
+    for f in (EV.prior_lenders, EV.outcomes):
+        every = {x.economic_facility_id: x for x in f(rows).collect()}
+        assert every
+        for name in every:
+            only = spark.createDataFrame([(name,), ("absent",)], "economic_facility_id string")
+            assert f(rows, only).collect() == [every[name]]
+
+
 def test_evaluation(spark):
     obs = E.eligible(holdings(spark), results(spark), tickers(spark, "AAA", "BBB"))
     (e,) = EV.evaluate(holdings(spark), obs).collect()
