@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import values as V
 from ledgerloom.operators import matching as M
+from ledgerloom.shared import broadcast_if_small, materialize
 
 MOVEMENT = 0.005
 LOSSES = {
@@ -117,62 +120,137 @@ def movement_summary(observations: DataFrame) -> DataFrame:
     )
 
 
-#: Listed funds that losses() pairs every row with, at most.
-FUNDS = 10_000
-
+def _funds(listed: DataFrame) -> DataFrame:
+    """The listed funds as target, each once."""
+    return listed.select(F.col("ticker").alias("target")).filter("target is not null").distinct()
 
-def losses(facilities: DataFrame, results: DataFrame, listed: DataFrame, excluded: DataFrame | None = None, matches: DataFrame | None = None) -> DataFrame:
-    """Each current row by every other listed fund, with the first reason why it gives no observation, or eligible.
 
-    The funds are counted, and more than FUNDS refused: a period's funds are one array that every row of
-    it unfolds. All that a pair needs is joined to its row before, the matches in listed funds as a map by
-    ticker, so pairs are made and coded in one projection and never shuffled."""
+def _sources(facilities: DataFrame, results: DataFrame, excluded: DataFrame | None) -> DataFrame:
+    """Current rows with what their losses depend on."""
     rows = with_results(facilities.select(*FACILITY, "is_current_period").filter("is_current_period"), results)
     if excluded is not None:
         rows = rows.join(excluded.select("borrower_norm"), "borrower_norm", "left_anti")
-    rows = rows.select("economic_facility_id", "ticker", "period_end", "borrower_norm", "results_ts", "public_ts", V.previous_quarter_end(F.col("period_end")).alias("prior_end"), M.tagging_ready().alias("ready"))
-    funds = listed.select(F.col("ticker").alias("target")).filter("target is not null").distinct()
-    n_funds = funds.count()
-    if n_funds > FUNDS:
-        raise ValueError(f"{n_funds} listed funds where {FUNDS} at most are expected")
-    held = facilities.filter("is_current_period").select(F.col("period_end").alias("prior_end"), "borrower_norm", F.col("ticker").alias("target")).join(funds, "target", "left_semi")
-    overlap = held.groupBy("prior_end", "borrower_norm").agg(F.collect_set("target").alias("holders"))
-    matches = match_table(facilities, results) if matches is None else matches
-    met = matches.join(funds.withColumn("_listed", F.lit(True)), F.col("p_ticker") == F.col("target"), "left")
+    return rows.select("economic_facility_id", "ticker", "period_end", "borrower_norm", "results_ts", "public_ts", V.previous_quarter_end(F.col("period_end")).alias("prior_end"), M.tagging_ready().alias("ready"))
+
+
+def _holders(facilities: DataFrame, funds: DataFrame) -> DataFrame:
+    """prior_end, borrower_norm and target: the listed funds with a current row of the borrower in a period, each once."""
+    held = facilities.filter("is_current_period").select(F.col("period_end").alias("prior_end"), "borrower_norm", F.col("ticker").alias("target"))
+    return held.join(broadcast_if_small(funds), "target", "left_semi").distinct()
+
+
+def _matched(matches: DataFrame, cutoffs: DataFrame, excluded: DataFrame | None) -> DataFrame:
+    """The pairs of a row and another listed fund in which it has a unique prior match, where both have results, with their code.
+
+    That the fund held the borrower, and that the row is tagged (three features are known on both sides),
+    is part of being a match; what is left is a generic name, the own prior row and the times."""
     same = F.col("s_ticker") == F.col("p_ticker")
-    prior = F.struct(F.col("p_ticker"), F.struct(F.col("p_economic_facility_id").alias("id"), F.col("p_public_ts").alias("public")))
-    priors = met.filter(same | F.col("_listed")).groupBy(F.col("s_economic_facility_id").alias("economic_facility_id")).agg(
-        F.max(F.when(same, True)).alias("own_prior"), F.map_from_entries(F.collect_list(F.when(~same & F.col("_listed"), prior))).alias("_others"))
-    cutoff_type = results.schema["results_ts"].dataType
-    targets = funds.agg(F.array_sort(F.collect_list("target")).alias("_targets"))  # one row
-    cutoffs = results.select(F.col("ticker").alias("target"), "period_end", "results_ts").join(funds, "target", "left_semi")
-    cutoffs = cutoffs.groupBy("period_end").agg(F.map_from_entries(F.collect_list(F.struct("target", "results_ts"))).alias("_cutoffs")).crossJoin(F.broadcast(targets))
-    cutoffs = cutoffs.select("period_end", F.transform("_targets", lambda t: F.struct(t.alias("target"), F.try_element_at("_cutoffs", t).alias("cutoff"))).alias("_dated"))
-    undated = F.transform("_targets", lambda t: F.struct(t.alias("target"), F.lit(None).cast(cutoff_type).alias("cutoff")))
-    wide = rows.join(priors, "economic_facility_id", "left").join(overlap, ["prior_end", "borrower_norm"], "left").join(cutoffs, "period_end", "left").crossJoin(F.broadcast(targets))
-    pairs = wide.select(*rows.columns, "own_prior", "_others", "holders", F.inline(F.filter(F.coalesce("_dated", undated), lambda x: x["target"] != F.col("ticker"))))
-    prior = F.try_element_at("_others", F.col("target"))
-    others = F.size(F.filter(F.coalesce("holders", F.array().cast("array<string>")), lambda h: h != F.col("ticker")))
-    in_time = (prior["public"] < F.col("public_ts")) & (F.col("public_ts") < F.col("cutoff"))
+    met = matches.withColumn("own_prior", F.max(F.when(same, True)).over(Window.partitionBy("s_economic_facility_id")))
+    met = met.filter(~same & F.col("s_results_ts").isNotNull() & ~F.col("s_borrower_norm").isin(*M.GENERIC))
+    if excluded is not None:
+        met = met.join(excluded.select(F.col("borrower_norm").alias("s_borrower_norm")), "s_borrower_norm", "left_anti")
+    met = met.join(cutoffs.select(F.col("target").alias("p_ticker"), F.col("period_end").alias("s_period_end"), "cutoff"), ["p_ticker", "s_period_end"])
+    in_time = F.coalesce((F.col("p_public_ts") < F.col("s_public_ts")) & (F.col("s_public_ts") < F.col("cutoff")), F.lit(False))
+    code = F.when(F.col("own_prior").isNull(), "E").when(~in_time, "F").otherwise("eligible")
+    return met.select(F.col("s_economic_facility_id").alias("economic_facility_id"), F.col("s_ticker").alias("ticker"), F.col("s_period_end").alias("period_end"), F.col("p_ticker").alias("target"), F.col("p_economic_facility_id").alias("target_prior_id"), code.alias("loss_code"))
+
+
+class Losses(NamedTuple):
+    """counts: ticker, period_end, loss_code, n over all pairs of a current row and another listed fund.
+    with_prior: ticker, period_end and the number of rows with a prior of their own.
+    target_priors: the same of the target's prior rows in pairs that got as far as the times."""
+
+    counts: DataFrame
+    with_prior: DataFrame
+    target_priors: DataFrame
+
+
+def loss_counts(facilities: DataFrame, results: DataFrame, listed: DataFrame, excluded: DataFrame | None = None, matches: DataFrame | None = None) -> Losses:
+    """How many pairs of a current row and another listed fund each reason takes, without the pairs.
+
+    Rows that agree in fund, period, borrower and tagging lose the same funds, so they are counted first.
+    Of such a group's pairs, the funds without results in the period are A, of the rest all are B without
+    tagging and all G without another holder, the funds that are no holders are C; and of the holders all
+    are D but those with a match. Set sizes give each number; only matched pairs are rows, and they are
+    coded one by one. Null tickers have no pairs; repeated rows count each time, repeated listed funds once.
+    """
+    funds = _funds(listed)
+    dated = results.filter(F.col("results_ts").isNotNull()).select(F.col("ticker").alias("target"), "period_end", F.col("results_ts").alias("cutoff")).join(broadcast_if_small(funds), "target", "left_semi")
+    rows = _sources(facilities, results, excluded)
+    group = ["ticker", "period_end", "prior_end", "borrower_norm", "ready"]
+    own = rows.filter("ticker is not null").groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), F.count("results_ts").alias("with_results"))
+    own = materialize(own.join(funds.select(F.col("target").alias("ticker"), F.lit(1).alias("listed")), "ticker", "left").fillna(0, ["listed"]), "sources")
+    periods = own.select("period_end", "prior_end").distinct()
+    held = _holders(facilities, funds).join(F.broadcast(periods), "prior_end").join(dated.select("target", "period_end", F.lit(1).alias("is_dated")), ["target", "period_end"], "left")
+    held = materialize(held.select("period_end", "borrower_norm", "target", F.coalesce("is_dated", F.lit(0)).alias("is_dated")).distinct(), "held")
+    holders = held.groupBy("period_end", "borrower_norm").agg(F.count(F.lit(1)).alias("holders"), F.sum("is_dated").alias("dated_holders"))
+    itself = held.select("period_end", "borrower_norm", F.col("target").alias("ticker"), F.lit(1).alias("holds"))
+    wide = own.join(broadcast_if_small(dated.groupBy("period_end").agg(F.count(F.lit(1)).alias("dated"))), "period_end", "left").crossJoin(F.broadcast(funds.agg(F.count(F.lit(1)).alias("funds"))))
+    wide = wide.join(holders, ["period_end", "borrower_norm"], "left").join(itself, ["period_end", "borrower_norm", "ticker"], "left").fillna(0, ["dated", "holders", "dated_holders", "holds"])
+    # the row's own fund is no target; where the row has results, it is dated if listed
+    all_funds, others = F.col("funds") - F.col("listed"), F.col("holders") - F.col("holds")
+    later, held_later = F.col("dated") - F.col("listed"), F.col("dated_holders") - F.col("holds")
+    known = F.col("with_results")
+    tagged, shared = F.when(F.col("ready"), known).otherwise(0), F.col("ready") & (others > 0)
+    parts = {
+        "A": (F.col("rows") - known) * all_funds + known * (all_funds - later), "B": (known - tagged) * later, "G": F.when(others == 0, tagged * later).otherwise(0),
+        "C": F.when(shared, known * (later - held_later)).otherwise(0), "D": F.when(shared, known * held_later).otherwise(0),
+    }
+    key = ["ticker", "period_end"]
+    early = wide.select(*key, F.inline(F.array(*[F.struct(F.lit(c).alias("loss_code"), n.cast("long").alias("n")) for c, n in parts.items()]))).groupBy(*key, "loss_code").agg(F.sum("n").alias("n"))
+    matches = match_table(facilities, results) if matches is None else matches
+    coded = materialize(_matched(matches, dated, excluded), "matched_pairs")
+    late = coded.groupBy(*key, "loss_code").agg(F.count(F.lit(1)).alias("n"))
+    moved = late.groupBy(*key).agg((-F.sum("n")).alias("n")).select(*key, F.lit("D").alias("loss_code"), "n")
+    counts = early.unionByName(late).unionByName(moved).groupBy(*key, "loss_code").agg(F.sum("n").alias("n")).filter("n > 0")
+    prior = matches.filter("s_ticker = p_ticker").select(F.col("s_ticker").alias("ticker"), F.col("s_period_end").alias("period_end"), F.col("s_borrower_norm").alias("borrower_norm"), "s_economic_facility_id")
+    if excluded is not None:
+        prior = prior.join(excluded.select("borrower_norm"), "borrower_norm", "left_anti")
+    prior = prior.join(counts.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count_distinct("s_economic_facility_id").alias("with_prior"))
+    target = coded.filter(F.col("loss_code").isin("F", "eligible")).groupBy(F.col("target").alias("ticker"), "period_end").agg(F.count_distinct("target_prior_id").alias("target_priors"))
+    return Losses(counts, prior, target)
+
+
+def losses(facilities: DataFrame, results: DataFrame, listed: DataFrame, excluded: DataFrame | None = None, matches: DataFrame | None = None) -> DataFrame:
+    """Each current row by every other listed fund, with the first reason why it gives no observation, or eligible.
+
+    This is the list of pairs itself, as long as rows times funds; for counts of it take loss_counts().
+    A period's pairs are made by a join on the period with the listed funds, which Spark splits where it is skewed."""
+    rows = _sources(facilities, results, excluded)
+    funds = _funds(listed)
+    cutoffs = results.select(F.col("ticker").alias("target"), "period_end", F.col("results_ts").alias("cutoff"))
+    targets = rows.select("period_end").distinct().crossJoin(funds).join(cutoffs, ["target", "period_end"], "left")
+    held = _holders(facilities, funds)
+    holders = held.groupBy("prior_end", "borrower_norm").agg(F.count(F.lit(1)).alias("holders"))
+    itself = held.select("prior_end", "borrower_norm", F.col("target").alias("ticker"), F.lit(1).alias("holds"))
+    matches = match_table(facilities, results) if matches is None else matches
+    own = matches.filter("s_ticker = p_ticker").select(F.col("s_economic_facility_id").alias("economic_facility_id"), F.lit(True).alias("own_prior")).distinct()
+    prior = matches.filter("s_ticker <> p_ticker").select(F.col("s_economic_facility_id").alias("economic_facility_id"), F.col("p_ticker").alias("target"), F.col("p_economic_facility_id").alias("target_prior_id"), F.col("p_public_ts").alias("target_public_ts"))
+    wide = rows.join(own, "economic_facility_id", "left").join(holders, ["prior_end", "borrower_norm"], "left").join(itself, ["prior_end", "borrower_norm", "ticker"], "left").fillna(0, ["holders", "holds"])
+    pairs = wide.join(targets, "period_end").filter("ticker <> target").join(held.withColumn("target_holds", F.lit(True)), ["prior_end", "borrower_norm", "target"], "left").join(prior, ["economic_facility_id", "target"], "left")
+    in_time = (F.col("target_public_ts") < F.col("public_ts")) & (F.col("public_ts") < F.col("cutoff"))
     code = (
-        F.when(F.col("results_ts").isNull() | F.col("cutoff").isNull(), "A").when(~F.col("ready"), "B").when(others == 0, "G")
-        .when(~F.coalesce(F.array_contains("holders", F.col("target")), F.lit(False)), "C")
-        .when(prior["id"].isNull(), "D").when(F.col("own_prior").isNull(), "E").when(~F.coalesce(in_time, F.lit(False)), "F").otherwise("eligible")
+        F.when(F.col("results_ts").isNull() | F.col("cutoff").isNull(), "A").when(~F.col("ready"), "B").when(F.col("holders") == F.col("holds"), "G")
+        .when(F.col("target_holds").isNull(), "C").when(F.col("target_prior_id").isNull(), "D").when(F.col("own_prior").isNull(), "E").when(~F.coalesce(in_time, F.lit(False)), "F").otherwise("eligible")
     )
-    return pairs.select("economic_facility_id", "ticker", "period_end", "target", "own_prior", prior["id"].alias("target_prior_id"), code.alias("loss_code"))
+    return pairs.select("economic_facility_id", "ticker", "period_end", "target", "own_prior", "target_prior_id", code.alias("loss_code"))
+
+
+def _counted(coded: DataFrame) -> DataFrame:
+    """The pairs of losses() as counts; counts stay as they are."""
+    return coded if "n" in coded.columns else coded.groupBy("ticker", "period_end", "loss_code").agg(F.count(F.lit(1)).alias("n"))
 
 
 def loss_funnel(coded: DataFrame) -> DataFrame:
-    """Counts and percentages of the losses, over all pairs."""
-    n = coded.groupBy("loss_code").agg(F.count(F.lit(1)).alias("n"))
+    """Counts and percentages of the losses (pairs, or counts of them), over all pairs."""
+    n = _counted(coded).groupBy("loss_code").agg(F.sum("n").alias("n"))
     return n.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(1))), 3))
 
 
 def modal_loss(coded: DataFrame) -> DataFrame:
     """The most frequent code of each fund and period; ties go to the first by name."""
-    n = coded.groupBy("ticker", "period_end", "loss_code").agg(F.count(F.lit(1)).alias("n"))
     first = F.row_number().over(Window.partitionBy("ticker", "period_end").orderBy(F.desc("n"), "loss_code"))
-    return n.withColumn("_r", first).filter("_r = 1").drop("_r")
+    return _counted(coded).select("ticker", "period_end", "loss_code", "n").withColumn("_r", first).filter("_r = 1").drop("_r")
 
 
 def completeness(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -188,11 +266,12 @@ def opportunities(results: DataFrame, sources: DataFrame, listed: DataFrame) ->
     return met.groupBy("ticker", "period_end").agg(F.count_if((F.col("target") != F.col("ticker")) & (F.col("public_ts") < F.col("cutoff"))).alias("opportunities"))
 
 
-def bottlenecks(facilities: DataFrame, pairs: DataFrame, coded: DataFrame, observations: DataFrame, calendar_rows: DataFrame, listed: DataFrame, fields: list[str]) -> DataFrame:
+def bottlenecks(facilities: DataFrame, entering: DataFrame, lost: Losses, observations: DataFrame, calendar_rows: DataFrame, listed: DataFrame, fields: list[str]) -> DataFrame:
     """A row for each fund and period of the calendar with what it holds, enters, matches and loses; no gap stays null.
 
-    A source counts as public with its first current row, and its opportunities are the listed funds whose
-    verified results came later. The first loss is the most frequent one."""
+    entering is matching.pair_counts() of the facilities. A source counts as public with its first current
+    row, and its opportunities are the listed funds whose verified results came later. The first loss is
+    the most frequent one."""
     grid = calendar_rows.select("ticker", "cik", "period_end").distinct()
     key = ["ticker", "period_end"]
     results = calendar(calendar_rows)
@@ -202,16 +281,10 @@ def bottlenecks(facilities: DataFrame, pairs: DataFrame, coded: DataFrame, obser
     verified = results.select(*key, F.lit(True).alias("verified_reporting_order_available"))
     held = facilities.groupBy(*key).agg(F.count(F.lit(1)).alias("aggregated_facilities"), F.count_if("is_current_period").alias("current_facilities"))
     shown = completeness(facilities.filter("is_current_period"), key, fields).drop("n_rows")
-    sides = pairs.select("period_end", "informative_matches", "predicted_label", "match_confidence", F.explode(F.array(*[F.struct(F.col(f"{s}_ticker").alias("ticker"), F.col(f"{s}_facility_row_id").alias("id")) for s in ("left", "right")])).alias("s"))
-    entering = sides.select("*", "s.*").groupBy(*key).agg(
-        F.count_distinct("id").alias("entering"), F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("informative_matches") >= 3).alias("informative_pairs"),
-        F.count_if((F.col("predicted_label") == "same_facility") & (F.col("match_confidence") == "high")).alias("predicted_same"))
-    source = coded.groupBy(*key).agg(F.count_distinct(F.when(F.col("own_prior"), F.col("economic_facility_id"))).alias("with_prior"))
-    target = coded.filter(F.col("loss_code").isin("F", "eligible")).groupBy(F.col("target").alias("ticker"), "period_end").agg(F.count_distinct("target_prior_id").alias("target_priors"))
     ready = observations.groupBy(F.col("source_ticker").alias("ticker"), "period_end").agg(F.count(F.lit(1)).alias("eligible"), F.count_if("movement_eligible").alias("moved"))
-    lost = modal_loss(coded).select(*key, F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in LOSSES.items() for x in p]), F.col("loss_code")), F.lit("none")).alias("first_loss"))
+    first_lost = modal_loss(lost.counts).select(*key, F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in LOSSES.items() for x in p]), F.col("loss_code")), F.lit("none")).alias("first_loss"))
     out = grid
-    for part in (held, shown, entering, source, target, ready, lost, timing.withColumnRenamed("opportunities", "source_before_target_opportunities"), verified):
+    for part in (held, shown, entering, lost.with_prior, lost.target_priors, ready, first_lost, timing.withColumnRenamed("opportunities", "source_before_target_opportunities"), verified):
         out = out.join(part, key, "left")
     counts = [c for c, t in out.dtypes if t in ("bigint", "int", "double") and c not in ("cik",)]
     none = F.when(F.coalesce(F.col("current_facilities"), F.lit(0)) == 0, "no_current_period_facilities").otherwise("none")

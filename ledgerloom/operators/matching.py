@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import values as V
+from ledgerloom.shared import materialize
 
 CATEGORIES = ("debt_equity", "facility_type", "lien", "currency", "reference_rate", "funded_status")
 SPREAD, FAR_SPREAD, MATURITY, FAR_MATURITY = 0.0025, 0.01, 45, 120
@@ -58,8 +59,12 @@ def candidate_pairs(facilities: DataFrame, block: str = "borrower_norm") -> Data
     return pairs.filter((F.col("left_facility_row_id") < F.col("right_facility_row_id")) & (F.col("left_cik") != F.col("right_cik"))).drop("_block")
 
 
-def compare(pairs: DataFrame) -> DataFrame:
-    """Features, conflicts, label, confidence and evidence of candidate pairs."""
+#: What judge() finds of a pair, in the order of the evidence.
+FEATURES = ("debt_equity_match", "facility_type_match", "lien_match", "currency_match", "reference_rate_match", "spread_match_25bp", "maturity_match_45d", "funded_status_match")
+
+
+def judge(pairs: DataFrame) -> DataFrame:
+    """Pairs with their features, conflicts, label and confidence."""
     l, r = _of("left_"), _of("right_")  # noqa: E741
     spread = F.abs(l("spread") - r("spread"))
     days = V.days_apart(l("maturity"), r("maturity"))
@@ -76,14 +81,42 @@ def compare(pairs: DataFrame) -> DataFrame:
     label = F.when(generic, "unrelated").when(F.size(conflicts) > 0, "same_borrower_different_facility").when((matches >= 4) & near, "same_facility").otherwise("uncertain")
     hard = F.arrays_overlap(conflicts, F.array(*map(F.lit, ("debt_equity", "facility_type", "lien", "currency"))))
     confidence = F.when(generic, "high").when(F.size(conflicts) > 0, F.when(hard, "high").otherwise("medium")).when((matches >= 4) & near, "high").otherwise("low")
-    evidence = F.array_compact(F.array(*[F.when(F.col(f), f) for f in features]))
-    return out.withColumns({
+    return out.withColumns({"predicted_label": label, "match_confidence": confidence})
+
+
+def compare(pairs: DataFrame) -> DataFrame:
+    """Features, conflicts, label, confidence and evidence of candidate pairs."""
+    l, r = _of("left_"), _of("right_")  # noqa: E741
+    evidence = F.array_compact(F.array(*[F.when(F.col(f), f) for f in FEATURES]))
+    return judge(pairs).withColumns({
         "pair_id": V.stable_id(F.col("period_end"), F.least(l("facility_row_id"), r("facility_row_id")), F.greatest(l("facility_row_id"), r("facility_row_id"))),
-        "quarter": V.quarter_label(F.col("period_end")), "borrower_exact": F.lit(True), "predicted_label": label, "match_confidence": confidence,
-        "evidence": F.concat(evidence, F.transform(conflicts, lambda c: F.concat(F.lit("conflict:"), c))),
+        "quarter": V.quarter_label(F.col("period_end")), "borrower_exact": F.lit(True),
+        "evidence": F.concat(evidence, F.transform("hard_conflicts", lambda c: F.concat(F.lit("conflict:"), c))),
     })
 
 
+def pair_counts(facilities: DataFrame, block: str = "borrower_norm") -> DataFrame:
+    """For each fund and period, what candidate_pairs() and compare() would count, without the pairs: entering
+    (rows in any pair), pairs, informative_pairs (three features or more) and predicted_same (with high confidence).
+
+    Rows of a fund that agree in all compared features are counted first, and such groups meet in their
+    place; a pair of groups stands for the product of their rows. The block settles the borrower, and
+    facility_row_id is unique."""
+    features = ("borrower_norm", *CATEGORIES, "spread", "maturity")
+    now = facilities.filter(F.col("is_current_period") & (F.col(block).cast("string") != "")).withColumn("_block", F.col(block))
+    alike = now.groupBy("period_end", "_block", "ticker", "cik", *features).agg(F.count(F.lit(1)).alias("rows"))
+    fund = Window.partitionBy("period_end", "_block", "cik")
+    alike = alike.withColumn("_met", F.sum("rows").over(Window.partitionBy("period_end", "_block")) - F.sum("rows").over(fund) > 0).filter("_met")
+    alike = materialize(alike.drop("_met"), "alike")
+    side = lambda p: alike.select("period_end", "_block", *[F.col(c).alias(f"{p}_{c}") for c in ("ticker", "cik", "rows", *features)])
+    met = judge(side("left").join(side("right"), ["period_end", "_block"]).filter("left_cik <> right_cik"))
+    n = F.col("left_rows") * F.col("right_rows")
+    same = (F.col("predicted_label") == "same_facility") & (F.col("match_confidence") == "high")
+    some = lambda c: F.sum(F.when(c, n).otherwise(0))
+    pairs = met.groupBy(F.col("left_ticker").alias("ticker"), "period_end").agg(F.sum(n).alias("pairs"), some(F.col("informative_matches") >= 3).alias("informative_pairs"), some(same).alias("predicted_same"))
+    return pairs.join(alike.groupBy("ticker", "period_end").agg(F.sum("rows").alias("entering")), ["ticker", "period_end"])
+
+
 def unique_matches(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_id: list[str], predicate: Column) -> DataFrame:
     """Each left row with its one right row that meets the keys and the predicate; rows with none or several go.
 

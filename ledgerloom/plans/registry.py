@@ -214,8 +214,8 @@ class Stored:
     def eligible(self, **how) -> DataFrame:
         return E.eligible(self.positions, self.results, self.listed, matches=self.matches, **how)
 
-    def losses(self) -> DataFrame:
-        return E.losses(self.positions, self.results, self.listed, matches=self.matches)
+    def losses(self) -> E.Losses:
+        return E.loss_counts(self.positions, self.results, self.listed, matches=self.matches)
 
 
 def observations(spark, sf) -> DataFrame:
@@ -343,7 +343,7 @@ coded AS (SELECT x.economic_facility_id, x.ticker, x.period_end, t.target, own.s
 
 
 def coded(spark, sf):
-    return Stored(spark, sf).losses()
+    return Stored(spark, sf).losses().counts
 
 
 @query(ELIGIBLE + LOSS + "SELECT loss_code, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 3) AS pct FROM coded GROUP BY loss_code")
@@ -386,8 +386,8 @@ SELECT ticker, CAST(period_end AS VARCHAR) AS period_end, CAST(year(period_end)
  coalesce(predicted_same, 0) AS predicted_same, coalesce(with_prior, 0) AS with_prior, coalesce(target_priors, 0) AS target_priors, coalesce(eligible, 0) AS eligible, coalesce(moved, 0) AS moved, coalesce(opportunities, 0) AS source_before_target_opportunities, {", ".join(f"coalesce(pct_{c}, 0) AS pct_{c}" for c in SHOWN)} FROM gr""")
 def bottleneck_grid(spark, sf):
     own = Stored(spark, sf, "facility_row_id", "adsh", "investment_identifier", "acquisition_date", "part")
-    met = materialize(M.compare(M.candidate_pairs(own.positions, block="part")).select("period_end", "left_ticker", "right_ticker", "left_facility_row_id", "right_facility_row_id", "informative_matches", "predicted_label", "match_confidence"), "pairs")
-    out = E.bottlenecks(own.positions, met, materialize(own.losses(), "losses"), own.eligible(), own.calendar, own.listed, list(SHOWN))
+    entering = M.pair_counts(own.positions, block="part")
+    out = E.bottlenecks(own.positions, entering, own.losses(), own.eligible(), own.calendar, own.listed, list(SHOWN))
     numbers = ("aggregated_facilities", "current_facilities", "entering", "pairs", "informative_pairs", "predicted_same", "with_prior", "target_priors", "eligible", "moved", "source_before_target_opportunities")
     return out.select("ticker", *text("period_end"), "quarter", "listed_status", "verified_reporting_order_available", "first_loss", "dominant_exclusion_reason", *[count(c) for c in numbers], *[f"pct_{c}" for c in SHOWN])
 

@@ -180,6 +180,56 @@ def test_funnel_of_odd_tables(spark):
     assert E.losses(rows.limit(0), r, odd).count() == 0
 
 
+def test_counts_are_those_of_the_pairs(spark):
+    """Over funds listed or not, with and without results, holders, tags, matches and own priors."""
+    import random
+
+    rng = random.Random(11)
+    funds = [f"F{i}" for i in range(7)]
+    more = [
+        row(f"r{i}", ticker=rng.choice([*funds, None]), cik=3, period_end=(q := rng.choice([Q1, Q2, Q3])), observation_date=q, accepted=dt.datetime(q.year, q.month, 28) + dt.timedelta(days=rng.randint(1, 50)),
+            borrower_norm=rng.choice(["harbor mills", "oak", "other", "elm"]), lien=rng.choice(["first_lien", "second_lien", "unknown"]), facility_type=rng.choice(["term_loan", "revolver", "unknown"]),
+            spread=rng.choice([None, 0.05, 0.06]), maturity=None, debt_equity=rng.choice(["debt", "equity", "unknown"]), reference_rate=rng.choice(["SOFR", "UNKNOWN"]))
+        for i in range(160)
+    ]
+    rows = holdings(spark, *more)
+    cells = [(f, q, dt.datetime(q.year, q.month, 28) + dt.timedelta(days=rng.randint(5, 45))) for f in funds for q in (Q1, Q2, Q3) if rng.random() < 0.8]
+    r = results(spark).unionByName(spark.createDataFrame(cells, "ticker string, period_end date, results_ts timestamp"))
+    t, gone = tickers(spark, "AAA", "BBB", *funds[:5], "ZZZ"), spark.createDataFrame([("elm",)], "borrower_norm string")
+    seen = set()
+    for excluded in (None, gone):
+        matches = E.match_table(rows, r).cache()
+        pairs = E.losses(rows, r, t, excluded, matches).cache()
+        found = E.loss_counts(rows, r, t, excluded, matches)
+        plain = lambda df: sorted(map(tuple, df.collect()))
+        assert plain(found.counts) == plain(pairs.groupBy("ticker", "period_end", "loss_code").count())
+        assert plain(found.with_prior) == plain(pairs.filter("own_prior").groupBy("ticker", "period_end").agg(F.count_distinct("economic_facility_id")))
+        reached = pairs.filter("loss_code in ('F', 'eligible')").groupBy("target", "period_end").agg(F.count_distinct("target_prior_id"))
+        assert plain(found.target_priors) == plain(reached)
+        assert plain(E.loss_funnel(found.counts)) == plain(E.loss_funnel(pairs)) and plain(E.modal_loss(found.counts)) == plain(E.modal_loss(pairs))
+        seen |= {x.loss_code for x in pairs.select("loss_code").distinct().collect()}
+    assert seen == {*"ABCDEFG", "eligible"}
+
+
+def test_pair_counts(spark):
+    """Counts of groups are those of the pairs themselves."""
+    import random
+
+    rng = random.Random(4)
+    rows = table(spark, *[
+        row(f"r{i}", ticker=f"F{(c := rng.randint(1, 4))}", cik=c, period_end=(q := rng.choice([Q2, Q3])), observation_date=q, borrower_norm=rng.choice(["harbor mills", "oak", "other", "alone" if i == 0 else "elm tree"]),
+            lien=rng.choice(["first_lien", "second_lien", "unknown"]), facility_type=rng.choice(["term_loan", "unknown"]), spread=rng.choice([None, 0.05, 0.0515, 0.07]), maturity=rng.choice([None, dt.date(2030, 1, 1), dt.date(2030, 3, 1), dt.date(2031, 1, 1)]))
+        for i in range(120)
+    ])
+    pairs = M.compare(M.candidate_pairs(rows))
+    sides = pairs.select("period_end", "informative_matches", "predicted_label", "match_confidence", F.explode(F.array(*[F.struct(F.col(f"{s}_ticker").alias("ticker"), F.col(f"{s}_facility_row_id").alias("id")) for s in ("left", "right")])).alias("s"))
+    want = sides.select("*", "s.*").groupBy("ticker", "period_end").agg(
+        F.count_distinct("id").alias("entering"), F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("informative_matches") >= 3).alias("informative_pairs"),
+        F.count_if((F.col("predicted_label") == "same_facility") & (F.col("match_confidence") == "high")).alias("predicted_same"))
+    got = M.pair_counts(rows).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.filter("predicted_same > 0").count()
+
+
 def test_lookups_of_some_rows(spark):
     """Lenders and outcomes of named rows are what those rows get among all."""
     rows = holdings(spark, row("u1", ticker="CCC", cik=3))
