@@ -315,16 +315,30 @@ def discriminators(lien: Column, kind: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(F.try_element_at(table, lien), F.try_element_at(table, kind))))
 
 
-def facility_mark_in_text(plain: Column, borrower: Column, fair_value: Column, lien: Column, kind: Column) -> Column:
-    """An exhibit's compact text shows the facility: a schedule, and near the borrower's name a word that
-    tells the facility apart and its fair value as a whole number."""
-    name = F.trim(F.regexp_replace(F.lower(borrower), "[^a-z0-9]+", " "))
-    at = F.instr(plain, name)
-    begin = F.greatest(F.lit(1), at - 250)
-    window = F.substring(plain, begin, at - begin + F.length(name) + 900)
+#: Shortest name looked for in a text, and the characters before and behind it that a mark is looked for in.
+LEAST_NAME, BEFORE, BEHIND = 5, 250, 900
+
+
+def plain_name(borrower: Column) -> Column:
+    """A name as a compact text writes it."""
+    return F.trim(F.regexp_replace(F.lower(borrower), "[^a-z0-9]+", " "))
+
+
+def mark_in_window(window: Column, fair_value: Column, lien: Column, kind: Column) -> Column:
+    """A stretch of compact text has a word that tells the facility apart and its fair value as a whole number."""
     told = F.exists(discriminators(lien, kind), lambda d: window.contains(d))
     value = F.exists(number_tokens(fair_value), lambda v: F.regexp_like(window, F.concat(F.lit("(?<![0-9.])"), F.replace(v, F.lit("."), F.lit("\\.")), F.lit("(?![0-9.])"))))
-    return F.coalesce(plain.contains("schedule of investments") & (F.length(name) >= 5) & (at > 0) & told & value, F.lit(False))
+    return F.coalesce(told & value, F.lit(False))
+
+
+def facility_mark_in_text(plain: Column, borrower: Column, fair_value: Column, lien: Column, kind: Column) -> Column:
+    """An exhibit's compact text shows the facility: a schedule, and near the borrower's name (where it comes
+    first) the facility's mark."""
+    name = plain_name(borrower)
+    at = F.instr(plain, name)
+    begin = F.greatest(F.lit(1), at - BEFORE)
+    window = F.substring(plain, begin, at - begin + F.length(name) + BEHIND)
+    return F.coalesce(plain.contains("schedule of investments") & (F.length(name) >= LEAST_NAME) & (at > 0) & mark_in_window(window, fair_value, lien, kind), F.lit(False))
 
 
 def segment_members(segments: Column) -> Column:

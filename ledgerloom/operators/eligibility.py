@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import values as V
 from ledgerloom.operators import matching as M
-from ledgerloom.shared import broadcast_if_small, materialize
+from ledgerloom.shared import broadcast_if_small, last_before, materialize, sorted_parts
 
 MOVEMENT = 0.005
 LOSSES = {
@@ -296,19 +296,19 @@ def bottlenecks(facilities: DataFrame, entering: DataFrame, lost: Losses, observ
 def as_of(events: DataFrame, history: DataFrame, keys: list[str], time: str, value: Column, event_id: str, carry: Column | None = None) -> DataFrame:
     """events with the value of the latest earlier row of history with the same keys, if that is a single value.
 
-    Both are sorted once by key and time: the union is walked by a running maximum, so no event meets
-    more than one row, however many share its key. status tells apart found, none and ambiguous; of what
-    is to be carried along, the largest of that time comes as prior_carry."""
-    latest = history.withColumns({"_v": value, "_c": F.lit(None).cast("string") if carry is None else carry}).groupBy(*keys, time).agg(F.collect_set("_v").alias("_values"), F.max("_c").alias("_carry"))
-    kinds = latest.schema
-    both = events.select(*keys, F.col(time).alias("_t"), F.col(event_id).alias("_id"), F.lit(None).cast(kinds["_values"].dataType).alias("_values"), F.lit(None).cast(kinds["_carry"].dataType).alias("_carry")).unionByName(
-        latest.select(*keys, F.col(time).alias("_t"), F.lit(None).cast(events.schema[event_id].dataType).alias("_id"), "_values", "_carry"))
+    Both are sorted once by key and time, over all tasks, and the last value runs along: no event meets more
+    than one row, and the rows of one key are dealt to as many tasks as they need. status tells apart found,
+    none and ambiguous; of what is to be carried along, the largest of that time comes as prior_carry.
+    Null keys meet null keys, a null time is before all others, and null values are no single value."""
+    latest = history.withColumns({"_v": value, "_c": F.lit(None).cast("string") if carry is None else carry}).groupBy(*keys, time).agg(F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.max("_c").alias("_carry"))
+    told = latest.select(*keys, F.col(time).alias("_t"), F.lit(None).cast(events.schema[event_id].dataType).alias("_id"), F.struct(F.col(time).alias("t"), F.when(F.col("_least") == F.col("_most"), F.col("_least")).alias("value"), F.col("_carry").alias("carry")).alias("_told"))
+    asked = events.select(*keys, F.col(time).alias("_t"), F.col(event_id).alias("_id"), F.lit(None).cast(told.schema["_told"].dataType).alias("_told"))
     # of the same time, events come first: only strictly earlier rows count
-    order = Window.partitionBy(*keys).orderBy("_t", F.col("_id").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = both.withColumn("_prior", F.last(F.when(F.col("_values").isNotNull(), F.struct("_t", "_values", "_carry")), ignorenulls=True).over(order)).filter(F.col("_id").isNotNull())
-    n = F.size("_prior._values")
-    status = F.when(F.col("_prior").isNull(), "none").when(n == 1, "found").otherwise("ambiguous")
-    out = run.select(F.col("_id").alias(event_id), *keys, F.col("_t").alias(time), F.col("_prior._t").alias("prior_time"), F.when(n == 1, F.get("_prior._values", F.lit(0))).alias("prior_value"), F.col("_prior._carry").alias("prior_carry"), status.alias("status"))
+    parts = sorted_parts(asked.unionByName(told), [*[F.col(k) for k in keys], F.col("_t"), F.col("_told").isNotNull()], "as_of")
+    run = last_before(parts, keys, F.col("_told"), "_prior").filter(F.col("_told").isNull())
+    single = F.col("_prior.value").isNotNull()
+    status = F.when(F.col("_prior").isNull(), "none").when(single, "found").otherwise("ambiguous")
+    out = run.select(F.col("_id").alias(event_id), *keys, F.col("_t").alias(time), F.col("_prior.t").alias("prior_time"), F.col("_prior.value").alias("prior_value"), F.col("_prior.carry").alias("prior_carry"), status.alias("status"))
     return out if carry is not None else out.drop("prior_carry")
 
 

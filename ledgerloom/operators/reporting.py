@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
 from ledgerloom.functions import values as V
+from ledgerloom.shared import broadcast_if_small, materialize
 
 MAX_LAG = 120
 
@@ -52,6 +59,120 @@ def reporting_calendar(grid: DataFrame, results: DataFrame, periodic: DataFrame)
     return met.select(*grid.columns, ts.alias("acceptance_timestamp_utc"), V.eastern_text(ts).alias("timestamp_et"), V.market_session(ts).alias("market_session"), V.lag_days(ts, F.col("period_end")).alias("lag_days"), F.col("x.event_type").alias("event_type"), F.coalesce("x.status", F.lit("explicit_missing")).alias("verification_status"))
 
 
+#: A day in the units that gaps are counted in, and the thresholds of a search round.
+DAY, SPLITS = 86_400_000_000, 15
+
+
+class _Times:
+    """The distinct times of a group (microseconds) with how many rows have each, for counting gaps."""
+
+    def __init__(self, times: np.ndarray, rows: np.ndarray):
+        order = np.argsort(times)
+        self.times, self.rows = times[order], rows[order]
+        self.upto = np.concatenate([[0], np.cumsum(self.rows)])
+
+    def pairs(self) -> int:
+        return int(self.rows @ (self.upto[-1] - self.upto[1:]))
+
+    def within(self, gap: int) -> int:
+        """Pairs whose gap is no longer."""
+        ends = np.searchsorted(self.times, self.times + gap, side="right")
+        return int(self.rows @ (self.upto[ends] - self.upto[1:]))
+
+    def above(self, gap: int) -> int | None:
+        """The least gap that is longer."""
+        ends = np.searchsorted(self.times, self.times + gap, side="right")
+        some = ends < len(self.times)
+        return int((self.times[ends[some]] - self.times[some]).min()) if some.any() else None
+
+    def nth(self, n: int) -> int:
+        """The nth gap (from 0) by length: the least that so many pairs are within."""
+        low, high = 0, int(self.times[-1] - self.times[0])
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if self.within(middle) > n else (middle + 1, high)
+        return low
+
+
+def _places(n_pairs: int) -> list[tuple[int, float]]:
+    """(rank, share of the next rank) of the three quartiles."""
+    return [(int((n_pairs - 1) * q), (n_pairs - 1) * q % 1) for q in (0.25, 0.5, 0.75)]
+
+
+def _quartile(low: int, high: int, share: float) -> float:
+    return ((1 - share) * low + share * high) / DAY
+
+
+def gap_counts(rows: DataFrame, group: str, time: str, over: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """What gap_summary() says of reporting_gaps(), without a pair: for each group with a gap, and with a null
+    group for all, n_pairs, the quartiles p25, median and p75 in days, and how many are over so many days.
+
+    Rows are first counted by group and time. A group's distinct times, at most one for each microsecond
+    that its reports are apart and in truth one for each second, are then one sorted array, on which a count of
+    the pairs within a gap is a search for each time; a quartile is the gap that enough pairs are within,
+    found by halving. Those of all groups together are found by the same search in rounds: every task
+    counts its groups' pairs within a few gaps, and the sums narrow the range. Null groups and times have
+    no gaps, equal times neither."""
+    import pandas as pd
+
+    known = rows.filter(F.col(group).isNotNull() & F.col(time).isNotNull())
+    kind = known.schema[group].dataType.simpleString()
+    counted = materialize(known.groupBy(F.col(group).alias("g"), F.unix_micros(time).alias("t")).agg(F.count(F.lit(1)).alias("n")), "times")
+    shown = ["n_pairs", "p25", "median", "p75", *[f"over_{d}d" for d in over]]
+
+    def summary(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        times = _Times(own["t"].to_numpy(), own["n"].to_numpy())
+        n = times.pairs()
+        if not n:
+            return pd.DataFrame(columns=["g", *shown, "longest"])
+        quartiles = []
+        for rank, share in _places(n):
+            low = times.nth(rank)
+            quartiles.append(_quartile(low, low if times.within(low) > rank + 1 or not share else times.above(low), share))
+        return pd.DataFrame([(key[0], n, *quartiles, *[n - times.within(d * DAY) for d in over], times.times[-1] - times.times[0])], columns=["g", *shown, "longest"])
+
+    counts = ", ".join(f"over_{d}d long" for d in over)
+    each = materialize(counted.groupBy("g").applyInPandas(summary, f"g {kind}, n_pairs long, p25 double, median double, p75 double, {counts}, longest long"), "gaps")
+    total = each.agg(F.sum("n_pairs"), F.max("longest"), *[F.sum(f"over_{d}d") for d in over]).first()
+    out = each.select(F.col("g").alias(group), *shown)
+    if not total[0]:
+        return out
+    lows = _all_places(counted, total[0], total[1])
+    of_all = [(None, total[0], *[_quartile(low, high, share) for (low, high), (_, share) in zip(lows, _places(total[0]), strict=True)], *total[2:])]
+    return out.unionByName(rows.sparkSession.createDataFrame(of_all, out.schema))
+
+
+def _all_places(counted: DataFrame, n_pairs: int, longest: int) -> list[tuple[int, int]]:
+    """For each quartile of the gaps of all groups together the gap of its rank and the next one."""
+    import pandas as pd
+
+    def ask(gaps: list[int], count: Callable[[_Times, int], int | None], merge: Callable) -> list[int]:
+        """What count gives for each gap, merged over the groups; a task sends a number for each."""
+
+        def own(table: pd.DataFrame) -> pd.DataFrame:
+            times = _Times(table["t"].to_numpy(), table["n"].to_numpy())
+            return pd.DataFrame({"i": range(len(gaps)), "v": pd.array([count(times, g) for g in gaps], "Int64")})
+
+        return [r.v for r in counted.groupBy("g").applyInPandas(own, "i int, v long").groupBy("i").agg(merge("v").alias("v")).orderBy("i").collect()]
+
+    places = _places(n_pairs)
+    ranges = [(0, longest)] * len(places)
+    while any(low < high for low, high in ranges):
+        cuts = [sorted({low + (high - low) * k // (SPLITS + 1) for k in range(1, SPLITS + 1)} - {high}) for low, high in ranges]
+        within = iter(ask([c for own in cuts for c in own], _Times.within, F.sum))
+        for i, (rank, _) in enumerate(places):
+            low, high = ranges[i]
+            for cut in cuts[i]:
+                if next(within) > rank:
+                    high = min(high, cut)
+                else:
+                    low = max(low, cut + 1)
+            ranges[i] = (low, high)
+    lows = [low for low, _ in ranges]
+    within, above = ask(lows, _Times.within, F.sum), ask(lows, _Times.above, F.min)
+    return [(low, low if n > rank + 1 or not share else more) for low, n, more, (rank, share) in zip(lows, within, above, places, strict=True)]
+
+
 def reporting_gaps(rows: DataFrame, group: str, time: str, member: str) -> DataFrame:
     """Days between every earlier and later reporter of a group (equal times give none)."""
     side = lambda p: rows.select(group, F.col(member).alias(f"{p}_member"), F.col(time).alias(f"{p}_time"))
@@ -94,13 +215,65 @@ def earliest_or_default(rows: DataFrame, known: DataFrame, keys: list[str], time
     return least.join(known.select(*keys, F.col(time).alias("_known")), keys, "full").select(*keys, F.coalesce("_known", "_least").alias(time))
 
 
+#: Bytes of text and names, about, that meet in one task.
+TEXT_BYTES, NAMES = 32 << 20, 50_000
+
+
+def first_places(texts: DataFrame, names: DataFrame, keys: list[str], text: str, name: str, before: int = X.BEFORE, behind: int = X.BEHIND) -> DataFrame:
+    """Each text with each name of its keys that it contains: the columns of texts without the text, the name, and
+    window, what stands around the name where it comes first.
+
+    One automaton of all names reads a text once, so the time is that of the texts and of what is found, not of
+    texts times names. Texts of a key are dealt out in chunks and names in parts, by their sums; a text
+    goes over the network once (for each part of the names, where there are more than NAMES), and only
+    windows come back. Rows with a null key, text or name find nothing; repeated rows find the same."""
+    known = [F.col(k).isNotNull() for k in keys]
+    texts = texts.filter(functools.reduce(operator.and_, [*known, F.col(text).isNotNull()]))
+    names = names.filter(functools.reduce(operator.and_, [*known, F.col(name) != ""])).select(*keys, F.col(name).alias("_name")).distinct()
+    sizes = texts.groupBy(*keys).agg(F.ceil(F.sum(F.octet_length(text)) / TEXT_BYTES).cast("int").alias("_chunks"))
+    grid = names.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / NAMES).cast("int").alias("_parts")).join(sizes, keys)
+    grid = broadcast_if_small(materialize(grid.withColumn("_chunks", F.greatest("_chunks", F.lit(1))), "grid"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    both = [*keys, "_chunk", "_part"]
+    dealt = texts.join(grid, keys).withColumns({"_chunk": F.pmod(F.xxhash64(text), "_chunks").cast("int"), "_part": spread("_parts")}).select(*both, *[c for c in texts.columns if c not in keys])
+    asked = names.join(grid, keys).withColumn("_chunk", spread("_chunks")).withColumn("_part", F.pmod(F.xxhash64("_name"), "_parts").cast("int"))
+    asked = asked.select(*[F.col(c).alias(c) for c in (*both, "_name")])  # columns of its own, where both sides come from one table
+    kept = [c for c in texts.columns if c != text]
+    kinds = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes if c != text)
+
+    def run(texts: pa.Table, names: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for own in names.column("_name").to_pylist():
+            automaton.add_word(own, own)
+        automaton.make_automaton()
+        rows, found, windows = [], [], []
+        for i, whole in enumerate(texts.column(text)) if len(automaton) else ():
+            plain, seen = whole.as_py(), set()
+            for end, own in automaton.iter(plain):
+                if own not in seen:
+                    seen.add(own)
+                    start = end + 1 - len(own)
+                    rows.append(i)
+                    found.append(own)
+                    windows.append(plain[max(0, start - before) : end + 1 + behind])
+        made = texts.select(kept).take(pa.array(rows, pa.int64()))
+        return made.append_column(name, pa.array(found, pa.string())).append_column("window", pa.array(windows, pa.string()))
+
+    return dealt.groupBy(*both).cogroup(asked.groupBy(*both)).applyInArrow(run, f"{kinds}, `{name}` string, window string")
+
+
 def exhibit_marks(exhibits: DataFrame, facilities: DataFrame) -> DataFrame:
     """ticker, period_end, accepted, accession, filename, economic_facility_id: current facilities whose fair
-    value an exhibit of their fund and period shows beside their borrower's name."""
-    now = facilities.filter("is_current_period").select("ticker", "period_end", "economic_facility_id", "borrower_norm", "fair_value", "lien", "facility_type")
-    plain = exhibits.select("ticker", "period_end", "accepted", "accession", "filename", X.compact_text(F.col("text")).alias("plain")).filter(F.col("plain").contains("schedule of investments"))
-    met = plain.join(now, ["ticker", "period_end"])
-    return met.filter(X.facility_mark_in_text(F.col("plain"), F.col("borrower_norm"), F.col("fair_value"), F.col("lien"), F.col("facility_type"))).select("ticker", "period_end", "accepted", "accession", "filename", "economic_facility_id").distinct()
+    value an exhibit of their fund and period shows beside their borrower's name.
+
+    Names are found in the texts, and facilities meet only the windows around their own."""
+    key = ["ticker", "period_end"]
+    now = facilities.filter("is_current_period").select(*key, "economic_facility_id", X.plain_name(F.col("borrower_norm")).alias("name"), "fair_value", "lien", "facility_type").filter(F.length("name") >= X.LEAST_NAME)
+    plain = exhibits.select(*key, "accepted", "accession", "filename", X.compact_text(F.col("text")).alias("plain")).filter(F.col("plain").contains("schedule of investments"))
+    met = first_places(plain, now, key, "plain", "name").join(now, [*key, "name"])
+    return met.filter(X.mark_in_window(F.col("window"), F.col("fair_value"), F.col("lien"), F.col("facility_type"))).select(*key, "accepted", "accession", "filename", "economic_facility_id").distinct()
 
 
 def fallback_audit(fallbacks: DataFrame, disclosures: DataFrame, marks: DataFrame) -> DataFrame:

@@ -406,14 +406,10 @@ GAPS = POS + A.CALENDAR + """, gap AS (SELECT a.quarter, date_diff('microsecond'
 """
 
 
-def gaps(spark, sf):
-    results = E.calendar(A.calendar(A.positions(spark, sf))).withColumn("quarter", V.quarter_label(F.col("period_end")))
-    return R.reporting_gaps(results, "quarter", "results_ts", "ticker")
-
-
 @query(GAPS + "SELECT quarter, count(*) AS n_pairs, round(quantile_cont(days, 0.25), 6) AS p25, round(quantile_cont(days, 0.5), 6) AS median, round(quantile_cont(days, 0.75), 6) AS p75, count(*) FILTER (WHERE days > 1) AS over_1d, count(*) FILTER (WHERE days > 3) AS over_3d, count(*) FILTER (WHERE days > 5) AS over_5d FROM gap GROUP BY GROUPING SETS ((quarter), ())")
 def reporting_gaps(spark, sf):
-    return R.gap_summary(gaps(spark, sf), "quarter").select("quarter", "n_pairs", near("p25"), near("median"), near("p75"), "over_1d", "over_3d", "over_5d")
+    results = E.calendar(A.calendar(A.positions(spark, sf))).withColumn("quarter", V.quarter_label(F.col("period_end")))
+    return R.gap_counts(results, "quarter", "results_ts").select("quarter", "n_pairs", near("p25"), near("median"), near("p75"), "over_1d", "over_3d", "over_5d")
 
 
 @query(POS + A.CALENDAR + "SELECT CAST(period_end AS VARCHAR) AS period_end, count(*) AS expected, count(*) FILTER (WHERE verification_status <> 'explicit_missing') AS verified, count(*) FILTER (WHERE verification_status = 'verified_periodic_filing_fallback') AS fallback, count(*) FILTER (WHERE verification_status = 'explicit_missing') AS missing FROM cal GROUP BY period_end")
@@ -718,6 +714,49 @@ def ids_digest(spark, sf):
     return G.ids_digest(A.facilities(spark, sf), "facility_row_id").select("n", *text("digest"))
 
 
+# ---- marks in exhibits
+
+_LIEN = "CASE lien WHEN 'lien_a' THEN 'first_lien' WHEN 'lien_n' THEN 'second_lien' ELSE 'unknown' END"
+_KIND = "CASE facility_type WHEN 'economy' THEN 'revolver' WHEN 'small' THEN 'term_loan' ELSE 'unknown' END"
+
+
+def _tokens_sql(v: str) -> str:
+    """Spellings of a whole number in units, thousands and millions, as number_tokens() gives them."""
+    parts = [f"CAST({v} AS VARCHAR)"]
+    for scale in (1_000, 1_000_000):
+        parts.append(f"CAST(CAST(round_even({v} / {scale}.0::DOUBLE, 0) AS BIGINT) AS VARCHAR)")
+        for digits in (1, 2):
+            step = 10**digits
+            n = f"(({v} * {step} + {scale // 2}) // {scale})"
+            parts.append(f"regexp_replace(CAST({n} // {step} AS VARCHAR) || '.' || lpad(CAST({n} % {step} AS VARCHAR), {digits}, '0'), '\\.?0+$', '')")
+    return f"list_filter([{', '.join(parts)}], lambda x: length(x) >= 2)"
+
+
+EXHIBIT = POS + f""", bor AS (SELECT pos.*, lower(p_brand || '-' || p_name) AS borrower, CAST(round_even(fair_value, 0) AS BIGINT) AS whole, {_LIEN} AS own_lien, {_KIND} AS own_kind FROM pos JOIN part ON part = p_partkey),
+ex AS (SELECT ticker, period_end, CAST(part % 3 AS VARCHAR) AS filename, 'schedule of investments ' || string_agg(trim(regexp_replace(borrower, '[^a-z0-9]+', ' ', 'g')) || ' ' || replace(own_lien, '_', ' ') || ' ' || replace(own_kind, '_', ' ') || ' ' || CAST(whole AS VARCHAR), ' ' ORDER BY facility_row_id) AS plain
+  FROM bor WHERE acquisition_date < period_end - 20 GROUP BY ALL),
+nm AS (SELECT economic_facility_id, ticker, period_end, trim(regexp_replace(borrower, '[^a-z0-9]+', ' ', 'g')) AS name, {_tokens_sql("whole")} AS tokens,
+  list_filter([CASE own_lien WHEN 'first_lien' THEN 'first lien' WHEN 'second_lien' THEN 'second lien' END, CASE own_kind WHEN 'revolver' THEN 'revolver' WHEN 'term_loan' THEN 'term loan' END], lambda x: x IS NOT NULL) AS words FROM bor WHERE is_current_period),
+mt AS (SELECT ex.filename, nm.*, ' ' || substr(plain, greatest(1, instr(plain, name) - {X.BEFORE}), instr(plain, name) - greatest(1, instr(plain, name) - {X.BEFORE}) + length(name) + {X.BEHIND}) || ' ' AS near
+  FROM ex JOIN nm ON ex.ticker = nm.ticker AND ex.period_end = nm.period_end AND contains(plain, name) AND length(name) >= {X.LEAST_NAME})
+"""
+
+
+@query(EXHIBIT + """SELECT DISTINCT ticker, CAST(period_end AS VARCHAR) AS period_end, filename, economic_facility_id FROM mt
+WHERE len(list_filter(words, lambda w: contains(near, w))) > 0 AND len(list_filter(tokens, lambda t: regexp_matches(near, '[^0-9.]' || replace(t, '.', '\\.') || '[^0-9.]'))) > 0""")
+def exhibit_marks(spark, sf):
+    """Schedules of each fund and quarter that list what was acquired early in it, searched for all its facilities."""
+    part = A.table(spark, sf, "part").select(F.col("p_partkey").alias("part"), F.lower(F.concat_ws("-", "p_brand", "p_name")).alias("borrower_norm"))
+    rows = A.positions(spark, sf).drop("borrower_norm").join(part, "part").withColumns({"fair_value": F.bround("fair_value"), "lien": F.expr(_LIEN), "facility_type": F.expr(_KIND)})
+    rows = materialize(rows.select("economic_facility_id", "ticker", "period_end", "borrower_norm", "fair_value", "lien", "facility_type", "is_current_period", "acquisition_date", "part"), "borrowers")
+    line = F.concat_ws(" ", "borrower_norm", F.translate("lien", "_", " "), F.translate("facility_type", "_", " "), F.col("fair_value").cast("long").cast("string"))
+    listed = rows.filter(F.col("acquisition_date") < F.date_sub("period_end", 20)).groupBy("ticker", "period_end", (F.col("part") % 3).cast("string").alias("filename"))
+    lines = listed.agg(F.array_sort(F.collect_list(F.struct("economic_facility_id", line.alias("line")))).alias("lines"))
+    body = F.concat(F.lit("<h1>Schedule of Investments</h1><p>"), F.array_join(F.transform("lines", lambda x: x["line"]), "</p><p>"), F.lit("</p>"))
+    exhibits = lines.select("ticker", "period_end", F.lit(None).cast("timestamp").alias("accepted"), F.lit("").alias("accession"), "filename", body.alias("text"))
+    return R.exhibit_marks(exhibits, rows).select("ticker", *text("period_end"), "filename", "economic_facility_id")
+
+
 # ---- first versions and projections
 
 FIRST = POS + f""", cur AS (SELECT *, last_day(period_end - INTERVAL 3 MONTH) AS prior_end FROM pos WHERE is_current_period),

@@ -77,6 +77,31 @@ def with_position(df: DataFrame, keys: list[Column], label: str, position: str =
     return running_totals(df, keys, label, {position: F.lit(1)})
 
 
+def sorted_parts(df: DataFrame, keys: list[Column], label: str) -> DataFrame:
+    """df written in the order of keys, with _part (partitions follow that order) and _row (rows of a partition do).
+
+    Rows are dealt by range, so rows that share the first keys are as many partitions as their number asks for."""
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return materialize(dealt.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), label)
+
+
+def last_before(parts: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """sorted_parts() whose order begins with keys, with the last value that is not null at or before each row of the same keys.
+
+    Values run on inside each partition; of a key that goes over partitions, the last value of each one is
+    carried over to those behind it. So one busy key is the work of many tasks."""
+    seen = parts.withColumn("_seen", value)
+    inside = Window.partitionBy("_part", *keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = seen.withColumn(name, F.last("_seen", ignorenulls=True).over(inside)).drop("_seen")
+    ends = seen.groupBy(*keys, "_part").agg(F.max_by("_seen", F.when(F.col("_seen").isNotNull(), F.col("_row"))).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).filter(F.col("_carried").isNotNull())
+    carried = broadcast_if_small(carried.select(F.col("_part").alias("_into"), *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_carried"))
+    same = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)], F.col("_part") == F.col("_into"))
+    met = run.join(carried, same, "left").withColumn(name, F.coalesce(name, "_carried"))
+    return met.drop("_into", "_carried", *[f"_key{i}" for i in range(len(keys))])
+
+
 def running_totals(df: DataFrame, keys: list[Column], label: str, amounts: dict[str, Column]) -> DataFrame:
     """Add for each name the sum of its (whole) amount over all rows before this one in the order of keys.
 
@@ -84,8 +109,7 @@ def running_totals(df: DataFrame, keys: list[Column], label: str, amounts: dict[
     meets in one place. Rows with equal keys come in any order, so keys should settle ties that matter.
     """
     steps = {f"_step{i}": amount.cast("long") for i, amount in enumerate(amounts.values())}
-    dealt = df.withColumns(steps).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    dealt = materialize(dealt.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), label)
+    dealt = sorted_parts(df.withColumns(steps), keys, label)
     order = Window.partitionBy("_part").orderBy("_row")
     out = dealt
     for i, name in enumerate(amounts):

@@ -447,6 +447,62 @@ def test_frozen_ids_and_seed(spark):
         readers.sized(ids, 4)
 
 
+def test_as_of_of_a_busy_key(spark):
+    """A key with a million rows is the work of several tasks, and its values run over their borders."""
+    from ledgerloom import shared
+
+    n = 1_000_000
+    rows = spark.range(n).select(F.when(F.col("id") % 50 == 0, "rare").otherwise("busy").alias("k"), F.timestamp_seconds("id").alias("t"), F.col("id").alias("v"))
+    events = rows.withColumn("id", F.col("v"))
+    sparse = rows.filter("v % 300000 = 7")  # most partitions hold no value of their own
+    parts = shared.sorted_parts(rows, [F.col("k"), F.col("t")], "busy")
+    sizes = [r["count"] for r in parts.filter("k = 'busy'").groupBy("_part").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < n / 2
+    got = E.as_of(events, sparse, ["k"], "t", F.col("v"), "id")
+    want = F.when((F.col("k") == "busy") & (F.col("id") > 7), F.floor((F.col("id") - 8) / 300_000) * 300_000 + 7)
+    assert got.count() == n and got.filter(~want.eqNullSafe(F.col("prior_value"))).count() == 0
+
+
+def test_as_of_odd_values(spark):
+    at = lambda s: dt.datetime(2025, 1, 1, 0, 0, s)
+    hist = spark.createDataFrame([("a", at(1), 5), ("a", at(3), 5), ("a", at(3), 6), ("a", at(4), None), (None, at(1), 9)], "k string, t timestamp, v int")
+    ev = spark.createDataFrame([("e1", "a", at(1)), ("e2", "a", at(2)), ("e3", "a", at(4)), ("e4", "a", at(5)), ("e5", None, at(2)), ("e6", "b", at(2)), ("e7", "a", None)], "id string, k string, t timestamp")
+    got = {r.id: (r.status, r.prior_value) for r in E.as_of(ev, hist, ["k"], "t", F.col("v"), "id").collect()}
+    assert got == {"e1": ("none", None), "e2": ("found", 5), "e3": ("ambiguous", None), "e4": ("ambiguous", None), "e5": ("found", 9), "e6": ("none", None), "e7": ("none", None)}
+    assert E.as_of(ev.limit(0), hist, ["k"], "t", F.col("v"), "id").count() == 0
+
+
+def test_gaps_without_pairs(spark):
+    """Counts and quartiles by search are those of the pairs."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["q1", "q2", "q3", None]), rng.choice([None, *[dt.datetime(2025, 1, 1) + dt.timedelta(hours=rng.choice([1, 7, 24]) * rng.randint(0, 30), microseconds=rng.choice([0, 0, 1, 999])) for _ in range(8)]]), f"f{i}") for i in range(90)]
+    rows += [("alone", dt.datetime(2025, 1, 1), "x"), ("tie", dt.datetime(2025, 1, 1), "x"), ("tie", dt.datetime(2025, 1, 1), "y"), ("two", dt.datetime(2025, 1, 1), "x"), ("two", dt.datetime(2025, 1, 4), "y")]
+    df = spark.createDataFrame(rows, "g string, t timestamp, m string")
+    plain = lambda x: sorted((r.g or "", r.n_pairs, *[round(v, 9) for v in (r.p25, r.median, r.p75)], r.over_1d, r.over_3d, r.over_5d) for r in x.collect())
+    assert plain(R.gap_counts(df, "g", "t")) == plain(R.gap_summary(R.reporting_gaps(df, "g", "t", "m"), "g"))
+    assert R.gap_counts(df.filter("g in ('alone', 'tie')"), "g", "t").count() == R.gap_counts(df.limit(0), "g", "t").count() == 0
+
+
+def test_names_in_texts(spark, monkeypatch):
+    """Each text is read once by all names of its keys, in chunks and parts of any size."""
+    import random
+
+    rng = random.Random(8)
+    words = ["oak", "elm", "oak elm", "elm oak ash", "ash", "k e", "birch"]
+    texts = [(rng.choice(["a", "b", None]), i, rng.choice([None, "", *[" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(6)]])) for i in range(60)]
+    names = [(k, w) for k in ("a", "b", None) for w in [*words, "oak", "none of it", ""] if k != "b" or w != "oak"]
+    for size, part in ((32 << 20, 50_000), (200, 2)):
+        monkeypatch.setattr(R, "TEXT_BYTES", size)
+        monkeypatch.setattr(R, "NAMES", part)
+        got = R.first_places(spark.createDataFrame(texts, "k string, id int, text string"), spark.createDataFrame(names, "k string, name string"), ["k"], "text", "name", 5, 9)
+        assert got.columns == ["k", "id", "name", "window"]
+        want = {(k, i, n, t[max(0, t.find(n) - 5) : t.find(n) + len(n) + 9]) for k, i, t in texts for o, n in names if k and k == o and n and t and n in t}
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert R.first_places(spark.createDataFrame([], "k string, id int, text string"), spark.createDataFrame(names, "k string, name string"), ["k"], "text", "name").count() == 0
+
+
 def test_marks_in_exhibits(spark):
     rows = holdings(spark).filter("facility_row_id in ('row-s1', 'row-t1')")
     said = "Consolidated Schedule&nbsp;of Investments: Harbor Mills, second lien note, fair value 608"
