@@ -702,6 +702,23 @@ def alias_topk(spark, sf):
     return O.top_aliases(O.alias_candidates(S.block_sample(part, "borrower_norm", "period_end", 30, 20260813), part))
 
 
+_TOKENS = f"list_distinct(list_filter(string_split({{0}}, ' '), lambda t: length(t) >= 4 AND NOT list_contains({list(X.GENERIC_TOKENS)}, t)))"
+
+
+@query(f"""WITH nm AS (SELECT DISTINCT p_brand AS block, lower(p_name || ' ' || p_type) AS name FROM part),
+tk AS (SELECT block, name, {_TOKENS.format("name")} AS tokens FROM nm),
+pr AS (SELECT l.block, l.name AS left_name, r.name AS right_name, contains(l.name, r.name) OR contains(r.name, l.name) AS substring_match,
+  coalesce(len(list_intersect(l.tokens, r.tokens)) / nullif(len(list_distinct(list_concat(l.tokens, r.tokens))), 0)::DOUBLE, 0) AS token_jaccard,
+  array_to_string(list_sort(list_filter(list_intersect(l.tokens, r.tokens), lambda t: length(t) >= 6)), ',') AS shared_long FROM tk l JOIN tk r ON l.block = r.block)
+SELECT block, left_name, right_name, substring_match, round(token_jaccard, 6) AS token_jaccard, shared_long FROM pr WHERE substring_match OR token_jaccard >= 0.5 OR shared_long <> ''""")
+def alias_tests(spark, sf):
+    """Names and types of all parts, each name searched among all of its brand; aliases by any test but the
+    sequence ratio, which SQL does not have."""
+    part = A.table(spark, sf, "part").select(F.col("p_brand").alias("period_end"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("borrower_norm")).distinct()
+    found = O.alias_candidates(part, part).filter(F.col("substring_match") | (F.col("token_jaccard") >= 0.5) | (F.size("shared_long_tokens") > 0))
+    return found.select(F.col("period_end").alias("block"), "left_name", "right_name", "substring_match", near("token_jaccard"), F.array_join("shared_long_tokens", ",").alias("shared_long"))
+
+
 @query(WITH + "SELECT facility_row_id, concat_ws(',', CASE lien WHEN 'lien_a' THEN 'first lien' WHEN 'lien_n' THEN 'second lien' END, CASE facility_type WHEN 'economy' THEN 'revolver' WHEN 'small' THEN 'term loan' END) AS words FROM fac")
 def facility_discriminators(spark, sf):
     lien = F.when(F.col("lien") == "lien_a", "first_lien").when(F.col("lien") == "lien_n", "second_lien").otherwise("unknown")

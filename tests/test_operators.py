@@ -419,6 +419,39 @@ def test_letters_never_rule_out_an_alias(spark):
     assert near and all(r.may for r in near) and sum(r.may for r in got) < 300
 
 
+def test_alias_keys_lose_no_alias(spark):
+    """Over random names of all lengths, the pairs found are those of brute force, and far fewer meet than there are."""
+    import difflib
+    import random
+
+    from ledgerloom.functions import text as X
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9)))
+    names = {" ".join(word() for _ in range(rng.randint(1, 5))) for _ in range(150)} | {"", "a", "ab", "abc", "bca", "holdings", "capital holdings"}
+    for n in list(names):
+        for _ in range(2):
+            own = list(n)
+            for _ in range(rng.randint(1, max(1, len(n) // 3))):
+                if own:
+                    own[rng.randrange(len(own))] = rng.choice("abcdefghijklmnop ")
+            names.add("".join(own)[rng.choice([0, 0, 1]) :])
+    rows = [(rng.choice(["p", "q"]), n) for n in sorted(names)]
+    df = spark.createDataFrame([*rows, (None, "abc"), ("p", None)], "period_end string, borrower_norm string").cache()
+    found = {(r.period_end, r.left_name, r.right_name) for r in O.alias_candidates(df, df).filter("right_name is not null").collect()}
+    tokens = lambda n: {t for t in n.split() if len(t) >= 4 and t not in X.GENERIC_TOKENS}
+
+    def alias(a, b):
+        both, any_ = tokens(a) & tokens(b), tokens(a) | tokens(b)
+        near = difflib.SequenceMatcher(None, a, b).ratio() >= 0.72
+        return near or bool(a and b and (a in b or b in a)) or bool(any_) and len(both) / len(any_) >= 0.5 or any(len(t) >= 6 for t in both)
+
+    want = {(p, a, b) for p, a in rows for q, b in rows if p == q and alias(a, b)}
+    assert found == want
+    plain = df.dropna().select(F.col("period_end").alias("block"), F.col("borrower_norm").alias("name")).distinct()
+    assert len(want) <= O.alias_keys_met(plain, plain).count() < sum(p == q for p, _ in rows for q, _ in rows) / 2
+
+
 def test_fund_profile_names_the_universe(spark):
     rows = holdings(spark)
     existing = rows.filter("cik = 1")
