@@ -95,3 +95,46 @@ def test_recall(spark):
     for r in neighbours.search(table, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(got[q] & {i for i, _ in want[q]}) / len(want[q]) for q in want]) >= 0.9
+
+
+@pytest.mark.parametrize("length", [1e5, 1e7, 1e200, 1e-200])
+def test_odd_lengths(spark, length, monkeypatch):
+    """One vector of another magnitude leaves recall as it is, is found where it belongs, and the scan keeps few pairs."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(3000)]
+    odd = rng.normal(size=16)
+    with_odd = [*rows, (3001, (odd / np.linalg.norm(odd) * length).tolist()), (3020, (rng.normal(size=16) * length).tolist())]
+    want = {q: {i for i, _ in own} for q, own in brute(with_odd, 20).items()}
+    got: dict = {}
+    for r in neighbours.search(spark.createDataFrame(with_odd, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(want) and all(len(got[q]) == 20 for q in want)
+    assert np.mean([len(got[q] & want[q]) / 20 for q in want]) >= 0.9
+    assert all((3001 in got[q]) == (3001 in want[q]) for q in want)
+
+    def kept(table: np.ndarray) -> int:
+        index = neighbours.fit(np.array([v for _, v in rows]), float(neighbours.lengths(table).max()), len(table), 21, lists=1)
+        reach = index.steps(table)[1]
+        asked, total = index.ask(table[:150]), 0
+        bounds = index.bounds(asked, 21)
+        for one in np.unique(reach):
+            closer = neighbours.to_distance(bounds, one)
+            total += len(neighbours.scan(index.place(table[reach == one], reach[reach == one]), asked, closer, 21)[0])
+        return total
+
+    assert kept(np.array([v for _, v in with_odd])) <= 2 * kept(np.array([v for _, v in rows]))
+
+
+def test_queries_in_chunks(spark, monkeypatch):
+    """More queries than one task may hold are dealt out, with the same results; lengths over many magnitudes are exact."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=8) * 10.0 ** rng.integers(-3, 4)).tolist()) for i in range(1500)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 20)
+    how = {"lists": 6, "probes": 6, "slack": float("inf")}
+    for queries in (50_000, 20):
+        monkeypatch.setattr(neighbours, "QUERIES", queries)
+        got: dict = {}
+        for r in neighbours.search(table, F.col("vec_id") % 20 == 0, **how).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == {q: [i for i, _ in own] for q, own in want.items()}
