@@ -16,7 +16,12 @@ def brute_ratio(train, text):
 
     def cut(t):
         raw = b" " * (n - 1) + t.lower().encode() + b" "
-        return [raw[i : i + n] for i in range(len(raw) - n + 1)]
+        out = []
+        for i in range(len(raw) - n + 1):
+            g = raw[i : i + n]
+            spaces = [k for k in range(n - 1) if g[k] in b" \t\n\x0b\x0c\r"]
+            out.append(b" " * spaces[-1] + g[spaces[-1] :] if spaces else g)
+        return out
 
     counts = [Counter(), Counter()]
     for t, y in train:
@@ -37,32 +42,40 @@ def brute_ratio(train, text):
         k = len(g)
         return (max(cont[k][g] - d, 0) + d * types[g[:-1], k] * shared(g[1:])) / total[g[:-1], k]
 
+    def pooled(g):
+        own = [c for h, c in (counts[0] + counts[1]).items() if h[:-1] == g[:-1]]
+        return (max(counts[0][g] + counts[1][g] - d, 0) + d * len(own) * shared(g[1:])) / sum(own)
+
     def one(y, g, below):
         own = [c for h, c in counts[y].items() if h[:-1] == g[:-1]]
-        more = toxicity.PRIOR_COUNT if y else 0.0
-        if not own:
-            return below, 1.0
-        w = (more + d * len(own)) / (more + sum(own))
-        return max(counts[y][g] - d, 0) / (more + sum(own)) + w * below, w
+        return (max(counts[y][g] - d, 0) + (toxicity.SHARED + d * len(own)) * below) / (toxicity.SHARED + sum(own))
 
     def ratio(g):
-        if g not in kinds[n]:
-            return math.log(one(1, g, 1.0)[1])
-        p0, _ = one(0, g, shared(g[1:]))
-        return math.log(one(1, g, p0)[0] / p0)
+        below = pooled(g) if g in kinds[n] else 1.0
+        return math.log(one(1, g, below) / one(0, g, below))
 
     seen = {g[:-1] for g in kinds[n]}
-    out = [ratio(g) if g[:-1] in seen else 0.0 for g in cut(text)]
-    return sum(out) / (len(out) + toxicity.PRIOR)
-
-
-def test_ratio_against_brute_force(spark):
+    words = [0.0]
+    own = cut(text)
+    for i, g in enumerate(own):
+        words[-1] += ratio(g) if g[:-1] in seen else 0.0
+        if g[-1:] in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r") and i < len(own) - 1:
+            words.append(0.0)
+    middle = sorted(words)
+    median = (middle[len(middle) // 2] + middle[(len(middle) - 1) // 2]) / 2
+    return sum(max(0.0, w - min(0.0, median) - toxicity.EXCESS) for w in words) / (len(own) + toxicity.PRIOR)
+
+
+def test_ratio_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARED", 2.0)
+    monkeypatch.setattr(toxicity, "EXCESS", 0.25)
     rng = random.Random(2)
     say = lambda n, more: " ".join(rng.choice(["loom", "weft", "warp", "the"] + more) for _ in range(n))
-    train = [(say(12, []), 0) for _ in range(6)] + [(say(12, ["vile", "rot"]), 1) for _ in range(4)] + [("", 0)]
+    train = [(say(12, []), 0) for _ in range(6)] + [(say(12, ["vile", "rot"]), 1) for _ in range(40)] + [("", 0)]
     model = toxicity.fit(spark.createDataFrame(train, "text string, y int"))
-    for text in ["vile loom", "the weft", "", "ROT zzz", "unseen words", train[8][0]]:
+    for text in ["vile loom", "the weft", "", "ROT zzz", "unseen words", "rot\n\tvile  vile", train[8][0]]:
         assert model.ratio(text.encode()) == pytest.approx(brute_ratio(train, text), abs=2e-5)
+    assert model.ratio(b"vile loom") > 0 == model.ratio(b"the weft")
 
 
 def test_every_ngram_keeps_its_score(spark, monkeypatch):
@@ -105,6 +118,10 @@ def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.01', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels, folds=5, held_out=0)
     known = toxicity.labelled(docs, toxicity.known_labels(labels, "toxic")).filter(toxicity.remainder(toxicity.F.col("doc_id"), 5) == 0)
-    rows = toxicity.score(known, model).join(docs.select("doc_id", "lang"), "doc_id").filter("lang = 'en'").select("y", "score").collect()
-    hit = sum((r.score >= 0.5) == (r.y == 1) for r in rows)
-    assert hit / len(rows) > 0.95
+    rows = toxicity.score(known, model).join(docs.select("doc_id", "lang"), "doc_id").select("lang", "y", "score").collect()
+    assert sum((r.score >= 0.5) == (r.y == 1) for r in rows) / len(rows) > 0.95
+    called = [r for r in rows if r.score >= 0.5]
+    assert sum(r.y for r in called) / len(called) >= 0.8
+    recall = {lang: [r.score >= 0.5 for r in rows if r.lang == lang and r.y] for lang in ("en", "de", "fr", "es")}
+    assert all(recall.values()) and sum(recall["en"]) / len(recall["en"]) >= 53 / 58
+    assert all(sum(own) / len(own) >= 0.5 for own in recall.values())
