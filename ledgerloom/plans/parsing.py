@@ -11,11 +11,13 @@ from ledgerloom.operators import evaluation as EV
 from ledgerloom.operators import facilities as FA
 from ledgerloom.operators import lineage as L
 from ledgerloom.operators import overlap as O
+from ledgerloom.operators import profiling
 from ledgerloom.operators import reporting as R
 from ledgerloom.operators import revisions as RV
 from ledgerloom.operators import sampling as S
 from ledgerloom.plans import adapters as A
 from ledgerloom.plans.registry import ELIGIBLE, LOTS, PAIRS, POS, TOTALS, WITH, Stored, count, near, pairs, query, text
+from ledgerloom.shared import scratch_path
 from ledgerloom.sources import readers, writers
 
 NORM = "trim(regexp_replace(replace(lower({}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
@@ -151,6 +153,33 @@ def normalized_holdings(spark, sf):
     return out.select("raw_provenance", "borrower_norm", "lien", "reference_rate", "facility_type", "debt_equity", "currency", near("spread"), *text("maturity"), near("principal", 2), near("fair_value", 2), "is_current_period", F.col("source_concepts")["fair_value"].alias("value_concept"))
 
 
+_STAGE_FIELDS = ("spread", "maturity", "reference_rate", "acquisition_date")
+
+
+@query("""WITH r AS (SELECT l_suppkey % 50 AS f, p_name, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_tax <= 0.06::DOUBLE THEN l_discount END AS spread, l_quantity, l_tax, l_extendedprice FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 9 <> 0 AND l_orderkey % 5 <> 0),
+j AS (SELECT * FROM r WHERE f <> 7 AND f IN (SELECT s_suppkey % 50 FROM supplier)),
+l AS (SELECT DISTINCT f, p_name, day, spread, round(l_quantity, 2) AS q, round(l_tax, 2) AS t, round(l_extendedprice, 2) AS p FROM j),
+a AS (SELECT f, last_day(day) AS d, p_name, spread, day, sum(q) AS q FROM l GROUP BY ALL),
+n AS (SELECT (SELECT count(*) FROM r) AS raw, (SELECT count(*) FROM j) AS joined, (SELECT count(spread) FROM j) AS js, (SELECT count(*) FROM a) AS a, (SELECT count(spread) FROM a) AS a_s, (SELECT count(*) FROM a WHERE q >= 20) AS e, (SELECT count(spread) FROM a WHERE q >= 20) AS es)
+SELECT 'spread' AS field, raw, joined, js AS parsed, a_s AS aggregated, es AS exported, CASE WHEN raw = 0 THEN 'source_absent' WHEN a_s > es THEN 'export_loss' WHEN js > 0 AND a_s = 0 THEN 'aggregation_loss' WHEN joined > js THEN 'parser_loss' WHEN raw > joined THEN 'join_loss' ELSE 'source_absent' END AS diagnosis FROM n
+UNION ALL SELECT f, raw, joined, joined, a, e, CASE WHEN raw = 0 THEN 'source_absent' WHEN a > e THEN 'export_loss' WHEN joined > 0 AND a = 0 THEN 'aggregation_loss' WHEN raw > joined THEN 'join_loss' ELSE 'source_absent' END FROM n, (SELECT unnest(['maturity', 'reference_rate']) AS f)
+UNION ALL SELECT 'acquisition_date', 0, 0, 0, 0, 0, 'source_absent'""")
+def field_losses(spark, sf):
+    """Raw order lines on their way to a written table of facilities, some spreads being no numbers and one filing
+    unknown: all five counts are taken while that table is written."""
+    spread = "Investment, Basis Spread, Variable Rate"
+    raw = raw_holdings(spark, sf)
+    raw = raw.withColumn(spread, F.when(F.col("Adjusted cost basis") <= "0.06", F.col(f"`{spread}`")).otherwise("see note"))
+    subs = A.table(spark, sf, "supplier").filter("s_suppkey % 50 <> 7").select(F.concat(F.lit("a-"), (F.col("s_suppkey") % 50).cast("string")).alias("adsh")).distinct()
+    subs = subs.select("adsh", F.lit("1998-07-20 10:00:00").cast("timestamp").alias("accepted"), F.lit(1).alias("cik"), F.lit("AAA").alias("ticker"), F.lit("A").alias("filer_name"), F.lit("10-Q").alias("form"), F.lit("1998-07-20").alias("filed"), F.lit("1998-06-30").cast("date").alias("period_end"))
+    stages = profiling.Stages(list(_STAGE_FIELDS))
+    rows = FA.normalize_holdings(raw, subs, F.lit("a"), F.col("line"), stages)
+    out = stages.see("aggregated", FA.aggregate(rows)).filter("principal >= 20")
+    stages.see("exported", out).write.parquet(scratch_path(spark, "exported"))
+    found = profiling.losses(stages.counts(spark))
+    return found.select("field", *profiling.STAGES, "diagnosis")
+
+
 SUBMISSIONS = "SELECT o_orderkey AS adsh, CAST(o_custkey AS VARCHAR) AS cik, 'AAA' || CAST(o_custkey % 7 AS VARCHAR) AS name, CASE o_orderkey % 4 WHEN 0 THEN '10-K' WHEN 1 THEN '8-K' ELSE '10-Q' END AS form, CAST(year(o_orderdate) AS VARCHAR) || 'q' || CAST(quarter(o_orderdate) AS VARCHAR) AS archive_id, o_orderdate FROM orders WHERE o_custkey > 0"
 
 

@@ -518,6 +518,27 @@ def test_gaps_without_pairs(spark):
     assert R.gap_counts(df.filter("g in ('alone', 'tie')"), "g", "t").count() == R.gap_counts(df.limit(0), "g", "t").count() == 0
 
 
+def test_a_written_table_is_profiled_in_that_pass(spark, tmp_path):
+    from ledgerloom.operators import profiling
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b
+
+    rows = spark.range(50).select("id", F.when(F.col("id") % 3 == 0, "unknown").when(F.col("id") % 5 == 0, None).otherwise("x").alias("lien")).mapInPandas(counted, "id long, lien string")
+    got = profiling.write_profiled(rows, str(tmp_path / "t"), ["id", "lien", "absent"]).collect()
+    present = sum(i % 3 != 0 and i % 5 != 0 for i in range(50))
+    assert sorted(map(tuple, got)) == [("absent", 50, 0), ("id", 50, 50), ("lien", 50, present)]
+    assert runs.value == 50 and spark.read.parquet(str(tmp_path / "t")).count() == 50
+    with pytest.raises(Exception):
+        profiling.write_profiled(rows, str(tmp_path / "t"), ["id"])
+    none = profiling.write_profiled(rows.limit(0), str(tmp_path / "none"), ["id"]).collect()
+    assert [tuple(r) for r in none] == [("id", 0, 0)]
+
+
 def test_names_in_texts(spark, monkeypatch):
     """Each text is read once by all names of its keys, in chunks and parts of any size."""
     import random
