@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import values as V
 from ledgerloom.operators import eligibility as E
+from ledgerloom.shared import sorted_parts
 
 METRICS = ("revenue", "operating_profit", "ordinary_profit", "net_income")
 # The columns of each horizon and basis, in the order in which they are tried.
@@ -103,8 +104,47 @@ def advance(rows: DataFrame, tried: DataFrame, key: str = "event_id") -> DataFra
     return met.withColumn("status", new).drop("succeeded")
 
 
-def recent(event_date: Column, today: Column, days: int = 730) -> Column:
-    return event_date >= F.date_sub(today, days)
+def settle(attempts: DataFrame, key: str, order: list[str], outcome: str, moves: dict[tuple[str, str], str], start: str) -> DataFrame:
+    """key, status, attempts and changes: the status that each key's attempts lead to, one after the other in their order.
+
+    moves has the next status for a status and an outcome; where it has none, the status stays. What a run
+    of attempts does is a status for each status it may begin with; runs of a key are made inside each
+    partition of the ordered log and put together in order, so that a key with very many attempts is the
+    work of many tasks. Rows that repeat a key, order and outcome are one attempt, whatever order they come
+    in; null outcomes change nothing, null keys are a key of their own, equal places go by the outcome."""
+    names = sorted({start, *(s for s, _ in moves), *moves.values()})
+    table = F.create_map(*[F.lit(x) for (s, o), to in moves.items() for x in (f"{s}\x1f{o}", to)])
+    empty = F.array(*[F.struct(F.lit(n).alias("status"), F.lit(0).cast("long").alias("changes")) for n in names])
+
+    def step(state: Column, x: Column) -> Column:
+        to = F.coalesce(F.try_element_at(table, F.concat_ws("\x1f", state["status"], x)), state["status"])
+        return F.struct(to.alias("status"), (state["changes"] + (to != state["status"]).cast("long")).alias("changes"))
+
+    def after(run: Column, state: Column) -> Column:
+        told = F.element_at(run, F.array_position(F.array(*map(F.lit, names)), state["status"]).cast("int"))
+        return F.struct(told["status"].alias("status"), (state["changes"] + told["changes"]).alias("changes"))
+
+    log = attempts.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(order)], F.col(outcome).alias("_outcome")).distinct()
+    parts = sorted_parts(log, [F.col("_key"), *[F.col(f"_by{i}") for i in range(len(order))], F.col("_outcome")], "attempts")
+    own = parts.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("_row", F.coalesce("_outcome", F.lit("")).alias("x")))).alias("_run"))
+    own = own.select("_key", "_part", "n", F.aggregate("_run", empty, lambda acc, x: F.transform(acc, lambda s: step(s, x["x"]))).alias("run"))
+    begin = F.struct(F.lit(start).alias("status"), F.lit(0).cast("long").alias("changes"))
+    whole = own.groupBy("_key").agg(F.sum("n").alias("attempts"), F.array_sort(F.collect_list(F.struct("_part", "run"))).alias("_runs"))
+    told = whole.select(F.col("_key").alias(key), "attempts", F.aggregate("_runs", begin, lambda acc, x: after(x["run"], acc)).alias("_end"))
+    return told.select(key, "_end.status", "attempts", "_end.changes")
+
+
+def variant_payload(text: Column) -> Column:
+    """payload() of a record that comes as JSON text of any shape, read as a variant: members may be missing, or be
+    numbers or texts; null, blank and nested ones count as missing, and so does all of a text that is no JSON."""
+    record = F.try_parse_json(text)
+    out = F.lit(None).cast(f"struct<horizon:string,basis:string,{','.join(f'{m}:string' for m in METRICS)}>")
+    for horizon, basis, fields in reversed(FORECASTS):
+        values = [F.nullif(F.try_variant_get(record, f"$.{f}", "string"), F.lit("")) for f in fields]
+        nested = [F.schema_of_variant(F.try_variant_get(record, f"$.{f}", "variant")).rlike("^(ARRAY|OBJECT)") for f in fields]
+        values = [F.when(~F.coalesce(n, F.lit(False)), v) for n, v in zip(nested, values, strict=True)]
+        out = F.when(F.coalesce(*values).isNotNull(), F.struct(F.lit(horizon).alias("horizon"), F.lit(basis).alias("basis"), *[v.alias(m) for v, m in zip(values, METRICS, strict=True)])).otherwise(out)
+    return out
 
 
 def merge_seed(rows: DataFrame, seed: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -107,6 +107,17 @@ def unzip_arrays(payload: DataFrame, columns: list[str], struct: str = "recent")
     return payload.select(*own, F.explode(F.arrays_zip(*[F.col(f"{struct}.{c}").alias(c) for c in columns])).alias("_x")).select(*own, "_x.*")
 
 
+def variant_arrays(rows: DataFrame, text: str, path: str, columns: list[str]) -> DataFrame:
+    """unzip_arrays() of JSON text whose shape is not known beforehand: the other columns of rows, place (from 0) and
+    the named members of the object at path as texts. Arrays may be missing, shorter than others, or no
+    arrays; what is not there is null, and a text without any of them has no row."""
+    record = F.try_parse_json(F.col(text))
+    own = [c for c in rows.columns if c != text]
+    arrays = rows.select(*own, *[F.try_variant_get(record, f"{path}.{c}", "array<string>").alias(f"_a{i}") for i, c in enumerate(columns)])
+    one = arrays.select(*own, F.posexplode(F.arrays_zip(*[F.coalesce(f"_a{i}", F.array().cast("array<string>")).alias(f"x{i}") for i in range(len(columns))])).alias("place", "_x"))
+    return one.select(*own, "place", *[F.col(f"_x.x{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def event_items(payload: DataFrame, title_like: str, items: str = "items") -> DataFrame:
     """Events of index pages (an array of items with id, title, code and time), those with a title and a four-digit code."""
     flat = payload.select(F.explode(items).alias("_x")).select("_x.*")

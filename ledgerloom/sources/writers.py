@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation
 from pyspark.sql import functions as F
 
 
@@ -23,13 +25,35 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*shown)
 
 
+def commit(df: DataFrame, path: str, write: Callable[[DataFrameWriter, str], None], refuse: Callable[[dict], str | None], **counts: Column) -> None:
+    """Write df beside path while n_rows and counts are taken of it, and give it its name only if refuse() says nothing of them.
+
+    The table is computed once. One that is refused, or whose writing fails, leaves nothing; an output
+    that exists is kept, and an error."""
+    spark = df.sparkSession
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    own, staged = fs.Path(path), fs.Path(f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}")
+    files = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(own):
+        raise FileExistsError(path)
+    watch = Observation("commit")
+    try:
+        write(df.observe(watch, F.count(F.lit(1)).alias("n_rows"), *[c.alias(n) for n, c in counts.items()]).write.mode("errorifexists"), staged.toString())
+        why = refuse(watch.get)
+        if why:
+            raise ValueError(why)
+        if not files.rename(staged, own):
+            raise FileExistsError(path)
+    finally:
+        files.delete(staged, True)
+
+
 def write_csv(df: DataFrame, path: str, fields: list[str], order: list[str] | None = None) -> None:
     """A delimited table of fixed columns, sorted with nulls last; Spark writes as many files as the rows
     need. A table without rows is refused."""
     rows = df.select(*fields)
-    if rows.isEmpty():
-        raise ValueError("no rows to write")
-    flat(rows.orderBy(*[F.col(c).asc_nulls_last() for c in order]) if order else rows).write.mode("errorifexists").options(header=True, lineSep="\n", emptyValue="", escape='"').csv(path)
+    text = flat(rows.orderBy(*[F.col(c).asc_nulls_last() for c in order]) if order else rows)
+    commit(text, path, lambda w, to: w.options(header=True, lineSep="\n", emptyValue="", escape='"').csv(to), lambda n: None if n["n_rows"] else "no rows to write")
 
 
 def write_pair(public: DataFrame, private: DataFrame, path: str) -> None:
@@ -40,10 +64,7 @@ def write_pair(public: DataFrame, private: DataFrame, path: str) -> None:
 
 def write_guarded(df: DataFrame, path: str, odd: Column) -> None:
     """A table none of whose rows is odd; else nothing is written."""
-    n = df.filter(odd).count()
-    if n:
-        raise ValueError(f"{n} rows must not be written")
-    write_table(df, path)
+    commit(df, path, lambda w, to: w.parquet(to), lambda n: f"{n['odd']} rows must not be written" if n["odd"] else None, odd=F.count_if(odd))
 
 
 def write_summary(df: DataFrame, path: str, rows: int = 1000) -> None:

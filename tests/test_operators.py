@@ -539,6 +539,79 @@ def test_a_written_table_is_profiled_in_that_pass(spark, tmp_path):
     assert [tuple(r) for r in none] == [("id", 0, 0)]
 
 
+def test_a_failed_guard_leaves_nothing(spark, tmp_path):
+    """A guarded table is computed once; refused, broken or existing outputs leave the folder as it was."""
+    import os
+
+    from ledgerloom.sources import writers
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(len(b))
+            if (b["id"] > 900).any():
+                raise RuntimeError("broken")
+            yield b
+
+    rows = lambda n: spark.range(n).mapInPandas(counted, "id long")
+    where = str(tmp_path / "out")
+    writers.write_guarded(rows(40), f"{where}/good", F.col("id") == 99)
+    assert runs.value == 40 and spark.read.parquet(f"{where}/good").count() == 40
+    for n, odd in ((40, F.col("id") == 3), (1000, F.lit(False))):
+        with pytest.raises(Exception):
+            writers.write_guarded(rows(n), f"{where}/bad", odd)
+    with pytest.raises(FileExistsError):
+        writers.write_guarded(rows(5), f"{where}/good", F.lit(False))
+    with pytest.raises(ValueError):
+        writers.write_csv(rows(0), f"{where}/none", ["id"])
+    assert [x for x in os.listdir(where) if not x.startswith(".")] == ["good"] and spark.read.parquet(f"{where}/good").count() == 40
+
+
+MOVES = {("pending", "ok"): "archived", ("pending", "bad"): "failed", ("failed", "ok"): "archived", ("archived", "bad"): "checked", ("checked", "bad"): "failed"}
+
+
+def test_attempts_lead_to_a_status(spark):
+    """Ordered by place, in whatever order and however often rows come; a busy key is many tasks."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.randint(0, 30), rng.choice(["ok", "bad", "odd", None])) for _ in range(200)]
+    rows += rows[:50]
+    rng.shuffle(rows)
+    want = {}
+    for k in {k for k, _, _ in rows}:
+        own, status, changes = sorted({(at, o is not None, o or "") for x, at, o in rows if x == k}), "pending", 0
+        for _, _, o in own:
+            to = MOVES.get((status, o), status)
+            changes, status = changes + (to != status), to
+        want[k] = (status, len(own), changes)
+    df = spark.createDataFrame(rows, "k string, place int, outcome string").repartition(7)
+    assert {r.k: (r.status, r.attempts, r.changes) for r in V.settle(df, "k", ["place"], "outcome", MOVES, "pending").collect()} == want
+    assert V.settle(df.limit(0), "k", ["place"], "outcome", MOVES, "pending").count() == 0
+    busy = spark.range(300_000).select(F.lit("busy").alias("k"), "id", F.when(F.col("id") % 3 == 0, "ok").otherwise("bad").alias("outcome"))
+    status, changes = "pending", 0
+    for i in range(300_000):
+        to = MOVES.get((status, "ok" if i % 3 == 0 else "bad"), status)
+        changes, status = changes + (to != status), to
+    assert [tuple(r) for r in V.settle(busy, "k", ["id"], "outcome", MOVES, "pending").collect()] == [("busy", status, 300_000, changes)]
+
+
+def test_payloads_of_unknown_shape(spark):
+    from ledgerloom.sources import readers
+
+    texts = [
+        '{"FSales": 12, "FOP": "3", "FNP": null}', '{"FSales": "", "FNCSales": 7.5}', '{"FSales": [1], "FOP": {"a": 1}}', '{"FNCNP2Q": true}', "[]", "{}", "no json", None, '{"FSales2Q": "1", "FNCSales": "2"}',
+    ]
+    got = [r.p for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", V.variant_payload(F.col("t")).alias("p")).orderBy("i").collect()]
+    assert [None if p is None else tuple(p) for p in got] == [
+        ("FY", "consolidated", "12", "3", None, None), ("FY", "standalone", "7.5", None, None, None), None, ("2Q", "standalone", None, None, None, "true"), None, None, None, None, ("FY", "standalone", "2", None, None, None),
+    ]
+    odd = spark.createDataFrame([(1, '{"recent": {"n": [1, 2], "f": ["a"]}}'), (2, '{"recent": {"n": 5}}'), (3, '{"other": 1}'), (4, None), (5, '{"recent": {"f": [null, "z"]}}')], "id int, t string")
+    rows = readers.variant_arrays(odd, "t", "$.recent", ["n", "f"]).collect()
+    assert sorted((r.id, r.place, r.n, r.f) for r in rows) == sorted([(1, 0, "1", "a"), (1, 1, "2", None), (5, 0, None, None), (5, 1, None, "z")])
+
+
 def test_names_in_texts(spark, monkeypatch):
     """Each text is read once by all names of its keys, in chunks and parts of any size."""
     import random
