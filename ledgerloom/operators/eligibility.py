@@ -165,6 +165,11 @@ class Losses(NamedTuple):
     target_priors: DataFrame
 
 
+def moved_by_ticker(observations: DataFrame) -> DataFrame:
+    """quarter, source_ticker and the number of its facilities that moved, each facility once."""
+    return observations.filter("movement_eligible").groupBy("quarter", "source_ticker").agg(F.count_distinct("source_facility_id").alias("moved_facilities"))
+
+
 def loss_counts(facilities: DataFrame, results: DataFrame, listed: DataFrame, excluded: DataFrame | None = None, matches: DataFrame | None = None) -> Losses:
     """How many pairs of a current row and another listed fund each reason takes, without the pairs.
 

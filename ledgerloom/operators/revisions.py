@@ -104,6 +104,11 @@ def advance(rows: DataFrame, tried: DataFrame, key: str = "event_id") -> DataFra
     return met.withColumn("status", new).drop("succeeded")
 
 
+def recent(event_date: Column, today: Column, days: int = 730) -> Column:
+    """The event is no further back than the free history reaches; null if its date is."""
+    return event_date >= F.date_sub(today, days)
+
+
 def settle(attempts: DataFrame, key: str, order: list[str], outcome: str, moves: dict[tuple[str, str], str], start: str) -> DataFrame:
     """key, status, attempts and changes: the status that each key's attempts lead to, one after the other in their order.
 

@@ -40,9 +40,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from ledgerloom.plans import parsing  # adds its own
+    from ledgerloom.plans import cases, parsing  # add their own
 
-    assert parsing
+    assert cases and parsing
     return dict(_QUERIES)
 
 
