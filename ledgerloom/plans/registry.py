@@ -678,18 +678,20 @@ def page_links(spark, sf):
 TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(p_name), '\\s+'), lambda t: length(t) >= 4))"
 
 
-@query(f"""SELECT a.p_partkey AS a, b.p_partkey AS b, round(coalesce(len(list_intersect(a.t, b.t)) / nullif(len(list_distinct(list_concat(a.t, b.t))), 0), 0), 8) AS jaccard FROM (SELECT p_partkey, p_brand, p_type, {TOKENS} AS t FROM part WHERE p_size < 5) a JOIN (SELECT p_partkey, p_brand, p_type, {TOKENS} AS t FROM part WHERE p_size < 5) b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey""")
+@query(f"""WITH n AS (SELECT p_brand, p_type, lower(p_name) AS name, any_value({TOKENS}) AS t FROM part GROUP BY ALL)
+SELECT a.p_brand, a.p_type, a.name AS a, b.name AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 8) AS jaccard FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.name < b.name WHERE list_has_any(a.t, b.t)""")
 def token_jaccard(spark, sf):
-    part = A.table(spark, sf, "part").filter("p_size < 5").select("p_partkey", "p_brand", "p_type", X.tokens(F.lower("p_name")).alias("t"))
-    met = M.side(part, "a_").join(M.side(part, "b_"), (F.col("a_p_brand") == F.col("b_p_brand")) & (F.col("a_p_type") == F.col("b_p_type")) & (F.col("a_p_partkey") < F.col("b_p_partkey")))
-    return met.select(F.col("a_p_partkey").alias("a"), F.col("b_p_partkey").alias("b"), F.round(X.jaccard(F.col("a_t"), F.col("b_t")), 8).alias("jaccard"))
+    """The names of all parts, pairwise within brand and type, where they share a token."""
+    part = A.table(spark, sf, "part").select("p_brand", "p_type", F.lower("p_name").alias("name"))
+    met = O.similar_names(part, "name", ["p_brand", "p_type"]).filter("name < other")
+    return met.select("p_brand", "p_type", F.col("name").alias("a"), F.col("other").alias("b"), near("jaccard", 8))
 
 
 @query(f"""WITH n AS (SELECT p_brand, p_type, lower(p_name) AS name, count(*) AS members, any_value({TOKENS}) AS t FROM part GROUP BY ALL),
 met AS (SELECT a.p_brand, a.p_type, a.name, b.name AS other, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 8) AS jaccard, b.members - (a.name = b.name)::INT AS members FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_type = b.p_type WHERE list_has_any(a.t, b.t))
 SELECT p_partkey, other, jaccard, members FROM part p JOIN met m ON m.p_brand = p.p_brand AND m.p_type = p.p_type AND m.name = lower(p.p_name) WHERE members > 0""")
 def token_jaccard_names(spark, sf):
-    """What token_jaccard's SQL says of the smallest parts, for all of them: parts by names, not parts by parts."""
+    """Every part by the names of its brand and type that share a token with its own."""
     part = A.table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", F.lower("p_name").alias("name"))
     return O.name_similarity(part, "p_partkey", "name", ["p_brand", "p_type"]).select("p_partkey", "other", near("jaccard", 8), "members")
 
