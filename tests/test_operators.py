@@ -681,6 +681,55 @@ def test_guards(spark):
     assert G.ids_digest(a, "id").first() == G.ids_digest(a.repartition(3), "id").first() != G.ids_digest(b, "id").first()
 
 
+def test_archives_as_a_source(spark, tmp_path):
+    """Rows, numbers and hashes are those of zip_rows; columns are pruned; a wrong hash is refused."""
+    from ledgerloom.sources import archives
+
+    submissions = "adsh\tcik\tname\tform\tperiod\taccepted\tfiled\n"
+    for q in ("2025q3", "2025q4"):
+        with zipfile.ZipFile(tmp_path / f"{q}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("a/one.tsv", "\ufeff" + submissions + "".join(f"{q}-{i}\t{i}\tÉ {i}\t10-Q\t20250930\t\t20251101\n" for i in range(25_000)))
+            z.writestr("two.tsv", "adsh\tddate\tInvestment, Identifier Axis\tInvestment Owned, Fair Value\nx\t20250930\tTern Bay LLC\t95\n")
+    (tmp_path / "notes.txt").write_text("no archive")
+    plain = readers.zip_rows(spark, str(tmp_path / "*.zip"), "submissions")
+    got = archives.archive_rows(spark, str(tmp_path), "submissions")
+    assert got.rdd.getNumPartitions() == 2 and got.schema == plain.schema
+    key = ["archive_id", "sha256", "member", "line_number"]
+    told = lambda df: df.select(*key, F.to_json("fields").alias("f"))
+    assert told(got).exceptAll(told(plain)).isEmpty() and got.count() == plain.count() == 50_000
+    few = archives.archive_rows(spark, f"file://{tmp_path}/2025q4.zip", "submissions", ["name", "accepted", "absent"])
+    assert few.columns == [*key, "name", "accepted", "absent"] and few.filter("accepted is null and absent is null").count() == 25_000
+    assert few.filter("line_number = 3").first().name == "É 1"
+    sha = {r.archive_id: r.sha256 for r in got.select("archive_id", "sha256").distinct().collect()}
+    assert archives.archive_rows(spark, str(tmp_path), "holdings", ["adsh"], sha).count() == 2
+    with pytest.raises(Exception):
+        archives.archive_rows(spark, str(tmp_path), "holdings", ["adsh"], sha | {"2025q4": "0"}).count()
+    with pytest.raises(Exception):
+        archives.archive_rows(spark, str(tmp_path / "none"), "holdings").count()
+
+
+@pytest.mark.parametrize("kind", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
+def test_an_archive_is_never_in_memory(tmp_path, kind):
+    """Eighty megabytes of rows, packed or not, are read with a few."""
+    import tracemalloc
+
+    from ledgerloom.sources import archives
+
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", kind) as z, z.open("one.tsv", "w", force_zip64=True) as member:
+        member.write(b"adsh\tcik\tname\tform\tperiod\taccepted\tfiled\n")
+        for i in range(160):
+            member.write(b"".join(b"%08d\t%d\t%s\t10-Q\t20250930\t20251101\t20251101\n" % (i, j, b"n" * 450) for j in range(1000)))
+    with zipfile.ZipFile(tmp_path / "big.zip", "a", kind) as z:
+        z.writestr("two.tsv", "adsh\tddate\tInvestment, Identifier Axis\nx\t1\tT\n")
+    reader = archives.ArchiveReader({"role": "submissions", "path": str(tmp_path / "big.zip"), "columns": '["adsh"]'})
+    (own,) = reader.partitions()
+    tracemalloc.start()
+    n = sum(batch.num_rows for batch in reader.read(own))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 160_000 and peak < 24 << 20
+
+
 def test_archives_and_sinks(spark, tmp_path):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
