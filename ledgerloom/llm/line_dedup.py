@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.batches import apart
-from ledgerloom.shared import broadcast_if_small, materialize
+from ledgerloom.shared import BROADCAST_ROWS, broadcast_if_small, materialize
 
 #: A line on at least so many sites is boilerplate.
 SITES = 8
@@ -14,6 +14,8 @@ SITES = 8
 LG_K = 10
 #: Estimates within so many errors of the threshold are counted exactly.
 ERRORS = 5
+#: Places of removed lines (and four for each text that has any) that are broadcast at most, of 4 bytes each.
+PLACES = 8_000_000
 #: White space at the ends of a line does not tell lines apart.
 BLANK = " \t\x0b\x0c\r"
 
@@ -48,7 +50,9 @@ def _spread(rows: DataFrame, sites: int) -> DataFrame:
     """
     keyed = rows.filter("site is not null").select("site", F.explode("keys").alias("key")).filter("key is not null").select("site", "key.*")
     often = materialize(keyed.groupBy("h1", "h2").count().filter(F.col("count") >= sites).select("h1", "h2"), "often")
-    asked = keyed.join(broadcast_if_small(often), ["h1", "h2"])
+    few = often.count() <= BROADCAST_ROWS
+    # where both sides are shuffled, a line is as many rows as it has sites, not as it has places
+    asked = keyed.join(F.broadcast(often), ["h1", "h2"]) if few else keyed.distinct().join(often, ["h1", "h2"])
     sketched = materialize(asked.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n_sites")), "sketched")
     width = ERRORS * 1.04 / 2 ** (LG_K / 2)
     near = F.col("n_sites").between(sites * (1 - width) - 1, sites * (1 + width) + 1)
@@ -67,7 +71,9 @@ def _removed(flat: DataFrame, text_col: str, site_col: str, sites: int) -> DataF
     found = _spread(rows.select(F.col(site_col).cast("string").alias("site"), "keys"), sites).select("h1", "h2")
     places = rows.select("row", F.posexplode("keys").alias("at", "key")).filter("key is not null").select("row", "at", "key.*")
     gone = materialize(places.join(broadcast_if_small(found), ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_set("at").alias("gone")), "gone")
-    met = rows.drop("keys").join(broadcast_if_small(gone), "row", "left")
+    # rows hold as many places as lines were removed, so those are what is counted
+    n_places = gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0]
+    met = rows.drop("keys").join(F.broadcast(gone) if n_places <= PLACES else gone, "row", "left")
     kept = F.filter(_lines(text_col), lambda x, i: ~F.array_contains(F.col("gone"), i))
     whole = F.col("gone").isNull()
     n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(_lines(text_col))).cast("long")

@@ -30,6 +30,8 @@ ROWS += [(200 + i, "one site only", "site0") for i in range(30)]
 @pytest.mark.parametrize("sites", [1, 3, 7, 8])
 def test_against_brute_force(spark, monkeypatch, few, sites):
     monkeypatch.setattr(ld, "broadcast_if_small", lambda df: shared.broadcast_if_small(df, few))
+    monkeypatch.setattr(ld, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(ld, "PLACES", few)
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string").repartition(3)
     got = ld.remove_boilerplate(docs, sites=sites).collect()
     assert sorted([(str(r.doc_id), r.kept, r.n_lines, r.n_removed) for r in got], key=str) == brute(ROWS, sites)
@@ -55,5 +57,14 @@ def test_far_from_the_threshold_a_sketch_decides(spark):
     assert not r.exact and abs(r.n_sites - 4000) < 400
 
 
+def test_long_text(spark):
+    """Two hundred thousand lines in one text, one of them on all sites."""
+    long = "\n".join(f"line {i}" if i % 1000 else "shared by all" for i in range(200_000))
+    rows = [(0, long, "s0"), *[(i, "shared by all", f"s{i}") for i in range(1, 9)]]
+    got = {r.doc_id: r for r in ld.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), sites=8).collect()}
+    assert got[0].n_lines == 200_000 and got[0].n_removed == 200 and got[0].kept == "\n".join(x for x in long.split("\n") if x != "shared by all")
+    assert all(got[i].kept == "" and got[i].n_removed == 1 for i in range(1, 9))
+
+
 def test_empty(none):
     assert ld.remove_boilerplate(none).count() == 0

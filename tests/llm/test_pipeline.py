@@ -71,3 +71,22 @@ def test_mix_and_tokens(spark, staged):
 
 def test_run(spark, staged):
     assert Counter(map(tuple, cp.run(spark, SF).collect())) == Counter(map(tuple, staged[-1][1].collect()))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_odd_rows(spark, docs, none, name):
+    """Nulls, empty and long texts, repeated rows and columns of clashing names: every stage takes and keeps them."""
+    stage = dict(cp.STAGES)[name]
+    out, given = stage(spark, docs, SF), Counter(map(tuple, docs.collect()))
+    if name == "token_ids":
+        assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in docs.select("doc_id").collect())
+        assert stage(spark, none, SF).count() == 0
+        return
+    assert out.schema == docs.schema
+    kept = Counter(map(tuple, out.collect()))
+    assert kept and set(kept) <= set(given)
+    if name == "mix_sources":
+        assert all(n <= 3 * given[r] for r, n in kept.items())
+    else:
+        assert not kept - given
+    assert stage(spark, none, SF).count() == 0
