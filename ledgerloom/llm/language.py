@@ -22,6 +22,8 @@ SHARE = 0.02
 #: What a word of a script in which a language is no candidate costs that language.
 FOREIGN = 25.0
 _CELLS = 1 << 24
+#: Characters, about, that are scored at a time.
+PART = 1 << 20
 
 # First code points of Unicode ranges and the script each holds.
 SCRIPTS = {
@@ -90,11 +92,21 @@ class Model:
         best = int(np.argmax(total))
         # If no other language gains SWITCH / 2 on any stretch, a path that leaves the best one loses more
         # by its changes than it gains, so the constant path is the best and the recursion is not needed.
-        gain = np.cumsum(scores.astype(np.float64) - scores[:, [best]], axis=0)
-        low = np.minimum.accumulate(np.vstack([np.zeros(gain.shape[1]), gain]), axis=0)[:-1]
-        if (gain - low).max() <= SWITCH / 2:
-            return np.full(len(scores), best)
-        return viterbi(scores, SWITCH)
+        for k in range(scores.shape[1]):  # one language at a time, so that a long text takes little memory
+            gain = np.concatenate([[0.0], np.cumsum(scores[:, k].astype(np.float64) - scores[:, best])])
+            if (gain[1:] - np.minimum.accumulate(gain)[:-1]).max() > SWITCH / 2:
+                return viterbi(scores, SWITCH)
+        return np.full(len(scores), best)
+
+    def text_scores(self, text: str) -> np.ndarray:
+        """word_scores() of a long text, part by part; words do not know each other."""
+        out, at = [], 0
+        while at < len(text):
+            cut = text.find(" ", at + PART)
+            cut = len(text) if cut < 0 else cut
+            out.append(self.word_scores(split([text[at:cut]])).astype(np.float32))
+            at = cut + 1
+        return np.concatenate(out)
 
 
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
@@ -156,7 +168,8 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     """docs with lang_pred, score and spans, in a map without a shuffle.
 
     spans says which language runs over how many words, in order; lang_pred has most words on the path
-    (ties: the first by name) and score is its share of them. A null text, one without a letter, or a
+    (ties: the first by name) and score is its share of them. A long text is scored in parts, and takes some
+    10 bytes for each word and language. A null text, one without a letter, or a
     model without a language gives `und`, score 0 and no spans. Copies get the same; an empty table
     gives an empty one; other columns pass through.
     """
@@ -167,11 +180,12 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             values = batch.column(text_col).to_pylist()
-            words = split([t or "" for t in values])
+            long = [d for d, t in enumerate(values) if t and len(t) > PART]
+            words = split(["" if d in long else t or "" for d, t in enumerate(values)])
             scores = model.word_scores(words)
             names, shares, spans = [], [], []
             for d, text in enumerate(values):
-                own = scores[words.first[d] : words.first[d + 1]]
+                own = model.text_scores(text) if d in long else scores[words.first[d] : words.first[d + 1]]
                 if not model.languages or not text or not len(own) or not any(map(str.isalpha, text)):
                     names.append(UNKNOWN)
                     shares.append(0.0)

@@ -27,12 +27,27 @@ _KIND = np.array([1 if chr(c).isalnum() or c >= 128 else 0 if chr(c).isspace() e
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+#: Bytes, about, whose runs are hashed at a time (one run is never cut).
+PART = 1 << 20
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _hashes(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The polynomial hash of each run: its bytes times powers of an odd base, from its own start on."""
+    out, at = np.empty(len(edges), np.uint64), 0
+    while at < len(edges):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + PART)))
+        part, own = raw[edges[at] : edges[to] if to < len(edges) else len(raw)], edges[at:to] - edges[at]
+        out[at:to] = np.add.reduceat(part.astype(np.uint64) * _powers(len(part), _BASE), own) * _powers(len(part), pow(_BASE, -1, 1 << 64))[own]
+        at = to
+    return out
+
+
 def tokens(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): runs of word bytes or of punctuation, hashed to BITS bits; text d has first[d]:first[d + 1].
 
@@ -41,10 +56,8 @@ def tokens(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     kind = _KIND[raw]
     change = np.flatnonzero(np.diff(kind)) + 1
     edges = np.concatenate([[0], change])
-    # a run's polynomial hash: the bytes times powers of an odd base, brought back to the run's start
-    run = np.add.reduceat(raw.astype(np.uint64) * _powers(len(raw), _BASE), edges) * _powers(len(raw), pow(_BASE, -1, 1 << 64))[edges]
     real = kind[edges] > 0
-    h = run[real]
+    h = _hashes(raw, edges)[real]
     first = np.concatenate([[0], np.searchsorted(edges[real], np.cumsum([len(p) + 1 for p in parts]))])
     doc, again = np.repeat(np.arange(len(parts)), np.diff(first)), np.zeros(len(h), bool)
     for gap in (1, 2):
@@ -159,8 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds:
 def score(docs: DataFrame, model: tuple[np.ndarray, Network], *, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with the calibrated probability of good quality, in a map without a shuffle.
 
-    Texts are pooled whole; a null or empty one, or one of white space, is the zero vector. Without
-    labels every score is 0.5. Copies score alike; other columns pass through.
+    Texts are pooled whole, a long one with some 25 bytes of memory a byte of it; a null or empty one, or
+    one of white space, is the zero vector. Without labels every score is 0.5. Copies score alike; other columns pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

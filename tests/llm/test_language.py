@@ -68,3 +68,38 @@ def test_held_out_accuracy(spark):
     model = language.train(docs.filter(fold != 2))
     got = language.identify(docs.filter(fold == 2), model).select("lang", "lang_pred").collect()
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
+
+
+def test_long_texts(spark, monkeypatch):
+    """Parts give what the whole gives, also where a path changes language, and ten million bytes take bounded memory."""
+    import tracemalloc
+
+    model = language.train(corpus(spark))
+    text = "the thing with that loom and this thread " * 40 + "der faden und die spule mit dem weberschiff " * 40 + "το ΝΗΜΑΣ και"
+    docs = spark.createDataFrame([(1, text), (2, " " * 300), (3, "x" * 500)], "doc_id long, text string")
+    whole = {r.doc_id: (r.lang_pred, r.score, r.spans) for r in language.identify(docs, model).collect()}
+    plain = model.word_scores(language.split([text]))
+    for part in (1, 37, 200):
+        monkeypatch.setattr(language, "PART", part)
+        assert np.allclose(model.text_scores(text), plain, atol=1e-5)
+    monkeypatch.undo()
+    assert [s.lang for s in whole[1][2]][:2] == ["en", "de"] and whole[2][0] == "und"
+    many = language.Model([f"l{i}" for i in range(20)], np.random.default_rng(0).normal(size=((1 << language.BITS) + 1, 20)).astype(np.float32), np.ones((len(language._NAMES), 20), bool))
+    long = "thread of the warp " * 520_000
+    tracemalloc.start()
+    many.path(many.text_scores(long))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * len(long)
+
+
+def test_repeats_and_null_ids(spark, docs):
+    """Copies get the same answer, whatever their id, and every value of the caller's own columns comes back."""
+    got = language.identify(docs, language.train(corpus(spark)))
+    kept = [c for c in docs.columns if c != "score"]
+    rows = got.collect()
+    assert sorted(repr([r[c] for c in kept]) for r in rows) == sorted(repr([r[c] for c in kept]) for r in docs.collect())
+    seen: dict = {}
+    for r in rows:
+        assert seen.setdefault(r.text, (r.lang_pred, r.score)) == (r.lang_pred, r.score)
+    assert any(r.doc_id is None for r in rows)

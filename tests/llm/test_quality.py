@@ -78,3 +78,40 @@ def test_held_out_accuracy(spark):
     held = labelled(docs, known_labels(labels, "quality")).filter(remainder(quality.F.col("doc_id"), 3) == 1)
     rows = quality.score(held, model).select("y", "score").collect()
     assert sum((r.score >= 0.5) == (r.y == 1) for r in rows) / len(rows) > 0.95
+
+
+def test_runs_hashed_in_parts(monkeypatch):
+    """Hashes do not depend on where a text is taken apart, and a text of ten million bytes takes bounded memory."""
+    import tracemalloc
+
+    texts = ["the weft, the... weft of é漢 loom!!" * n for n in range(5)] + ["a" * 50, ""]
+    for part in (1, 7, 64):
+        monkeypatch.setattr(quality, "PART", part)
+        word, first = quality.tokens([t.encode() for t in texts])
+        assert [word[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [plain_tokens(t.encode()) for t in texts]
+    monkeypatch.undo()
+    text = b"threads of warp, and weft " * 400_000
+    vectors = np.random.default_rng(0).normal(size=(1 << quality.BITS, quality.DIM)).astype(np.float32)
+    tracemalloc.start()
+    quality.pool(vectors, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 26 * len(text)
+
+
+def test_pool_against_plain_means():
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(1 << quality.BITS, quality.DIM))
+    texts = ["a b a c, c!", "", "   ", "one", "x " * 300]
+    want = [np.mean([vectors[w] for w in own], axis=0) if (own := plain_tokens(t.encode())) else np.zeros(quality.DIM) for t in texts]
+    assert np.allclose(quality.pool(vectors, [t.encode() for t in texts]), want)
+
+
+def test_the_callers_columns(spark, docs):
+    """Every value of the caller's own columns comes back, but for the one that is called like the new one."""
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    kept = [c for c in docs.columns if c != "score"]
+    got, want = quality.score(docs, model), docs.collect()
+    assert got.columns == [*kept, "score"]
+    assert sorted(repr([r[c] for c in kept]) for r in got.collect()) == sorted(repr([r[c] for c in kept]) for r in want)
