@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,11 +50,29 @@ def _delete_at_the_end(spark: SparkSession, folder: str) -> None:
     system.deleteOnExit(path)
 
 
+#: The folder of the scratch tables of what runs now, below the application's; empty outside scratch().
+_owner: contextvars.ContextVar[str] = contextvars.ContextVar("owner", default="")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path among this application's scratch tables, which go when it ends, or by release()."""
+    """A new path among this application's scratch tables, which go when it ends, by release(), or with their scratch()."""
     folder = _application_folder(spark)
     _delete_at_the_end(spark, folder)
-    return f"{folder}/{label}-{uuid.uuid4().hex}"
+    return f"{folder}{_owner.get()}/{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that are made inside go at its end, those of others stay. What is returned must be written or
+    collected inside, as it may read them. Scopes may be nested, and threads have their own."""
+    token = _owner.set(f"{_owner.get()}/{uuid.uuid4().hex}")
+    own = f"{_application_folder(spark)}{_owner.get()}"
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+        path, system = _files(spark, own)
+        system.delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -669,6 +669,23 @@ def test_scratch_tables_are_refused_off_a_local_master_and_released(spark):
         shared.shared_folder(Cluster)
 
 
+def test_scratch_tables_go_with_their_owner(spark):
+    from ledgerloom import shared
+
+    kept = shared.materialize(spark.range(3), "kept")
+    with shared.scratch(spark):
+        outer = shared.materialize(spark.range(5), "outer")
+        with shared.scratch(spark):
+            inner = shared.materialize(spark.range(7), "inner")
+            assert inner.count() == 7
+        assert outer.count() == 5
+        with pytest.raises(Exception):
+            inner.count()
+    with pytest.raises(Exception):
+        outer.count()
+    assert kept.count() == 3
+
+
 def test_guards(spark):
     a, b = spark.range(3), spark.range(1, 4)
     assert {(r.id, r.only_in) for r in G.same_members(a, b).collect()} == {(0, "left"), (3, "right")}
