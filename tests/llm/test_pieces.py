@@ -124,3 +124,63 @@ def test_other_kinds_are_refused(tmp_path):
     path.write_bytes(proto.SerializeToString())
     with pytest.raises(ValueError, match="merge-type"):
         pieces.Model(str(path))
+
+
+def test_the_library_decodes_every_text(spark, tmp_path):
+    """What a model's file says of decoding (here of unknown pieces) shows in every row, not in one of a batch."""
+    import sentencepiece  # noqa: F401
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(PATH, "rb") as file:
+        proto.ParseFromString(file.read())
+    kept = [p for p in proto.pieces if p.type != pieces.BYTE]
+    del proto.pieces[:]
+    proto.pieces.extend(kept)
+    proto.trainer_spec.byte_fallback = False
+    proto.trainer_spec.unk_surface = "<what>"
+    path = tmp_path / "own.model"
+    path.write_bytes(proto.SerializeToString())
+    library = pieces.Model(str(path)).library
+    said = ["weft and warp", "a \U0001f9f6\U0001f9f6 b", "\U0001f9f6", "", "the loom's \U0001f9f6 thread, twice \U0001f9f6"]
+    made = {r.text: r for r in pieces.encode_decode(spark.createDataFrame([(t,) for t in said], "text string").coalesce(1), str(path)).collect()}
+    for text in said:
+        ids = library.encode(text, add_bos=True, add_eos=True)
+        assert list(made[text].ids) == ids and made[text].decoded == library.decode(ids)
+    assert made["\U0001f9f6"].decoded.count("<what>") == 1
+
+
+def test_each_text_is_decoded_once_whole(encoder, monkeypatch):
+    """The library gets all ids of a text at once, begin and end included."""
+    asked = []
+
+    class Library:
+        def decode(self, ids):
+            asked.append(list(ids))
+            return "said by the library"
+
+    texts = ["a b", "", "weft\n" * 40_000]
+    ids = [encoder.whole(t) for t in texts]
+    monkeypatch.setattr(encoder.model, "library", Library())
+    assert [encoder.model.decode(i) for i in ids] == ["said by the library"] * 3
+    assert asked == [i.tolist() for i in ids]
+
+
+def test_memory_of_decoding():
+    """Some 400,000 ids in a process of its own: under 60 bytes an id at the peak."""
+    import subprocess
+    import sys
+
+    code = f"""
+import numpy as np
+from ledgerloom.llm import pieces
+model = pieces.Model({PATH!r})
+ids = np.tile(np.array(model.library.encode("the weft and warp, 12 threads"), "<u4"), 40_000)
+model.decode(ids[:100])
+status = lambda name: next(int(line.split()[1]) * 1024 for line in open("/proc/self/status") if line.startswith(name))
+before = status("VmRSS")
+open("/proc/self/clear_refs", "w").write("5")
+assert model.decode(ids)
+assert status("VmHWM") - before < 60 * len(ids), ((status("VmHWM") - before) / len(ids))
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
