@@ -64,6 +64,8 @@ def links(prints: DataFrame) -> DataFrame:
     segment, of which again one differs in at most one bit; such a table holds at most 2**16
     fingerprints. Every pair met is compared whole, inside the join, so only links leave it; and as a
     fingerprint has fewer than 2**16 neighbours within 3 bits, links grow with the fingerprints.
+    Spark sizes the probes as if they had not been exploded, by which it would broadcast some 35 rows for
+    each fingerprint; the hints have both sides shuffled and sorted instead.
     """
     low = F.lit((1 << 32) - 1)
     fp = F.col("fp")
@@ -75,14 +77,14 @@ def links(prints: DataFrame) -> DataFrame:
     once = (F.col("own") != F.col("value")) | (fp > F.col("other"))
     pair = [F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")]
     if full.isEmpty():
-        return table.drop("rest").join(probes.drop("rest"), ["seg", "value"]).filter(near & once).select(*pair)
+        return table.drop("rest").join(probes.drop("rest").hint("merge"), ["seg", "value"]).filter(near & once).select(*pair)
     few = broadcast_if_small(full)
-    cold = table.drop("rest").join(few, ["seg", "value"], "left_anti").join(probes.drop("rest"), ["seg", "value"])
+    cold = table.drop("rest").join(few, ["seg", "value"], "left_anti").join(probes.drop("rest").hint("merge"), ["seg", "value"])
     quarter = lambda x: F.array(F.struct(F.lit(0).alias("part"), x.bitwiseAND(F.lit(0xFFFF)).alias("bits")), F.struct(F.lit(1).alias("part"), F.shiftrightunsigned(x, 16).alias("bits")))
     hot = table.join(few, ["seg", "value"], "left_semi").select("fp", "seg", "value", F.inline(quarter(F.col("rest"))))
     asked = probes.join(few, ["seg", "value"], "left_semi").select("other", "seg", "own", "value", F.inline(quarter(F.col("rest"))))
     asked = asked.select("other", "seg", "own", "value", "part", F.explode(_ball(F.col("bits"), 16)).alias("bits"))
-    warm = hot.join(asked, ["seg", "value", "part", "bits"])
+    warm = hot.join(asked.hint("merge"), ["seg", "value", "part", "bits"])
     return cold.filter(near & once).select(*pair).unionByName(warm.filter(near & once).select(*pair))
 
 

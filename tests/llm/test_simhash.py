@@ -5,6 +5,7 @@ import xxhash
 
 from ledgerloom.llm import simhash
 from ledgerloom.llm.components import components
+from ledgerloom.shared import materialize
 
 
 def brute_print(text):
@@ -62,6 +63,16 @@ def test_links_are_whole_in_full_segments(spark, monkeypatch):
     assert len(want) > 500
 
 
+def test_probes_are_never_broadcast(spark, monkeypatch):
+    """A stored table of fingerprints is small enough to broadcast by its size, its probes are not."""
+    prints = materialize(spark.range(2000).select(simhash.F.xxhash64("id").alias("fp")), "prints")
+    for full in (simhash.FULL, 0):
+        monkeypatch.setattr(simhash, "FULL", full)
+        plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+        built = [x.split("Join")[0].split()[-1] for x in plan.splitlines() if "Join [seg" in x and "bit_count" in x]
+        assert built and set(built) == {"SortMerge"}, plan
+
+
 def test_components(spark):
     rng = random.Random(5)
     chain = [(i, i + 1) for i in range(200, 260)]
