@@ -15,6 +15,7 @@ from ledgerloom.operators import overlap as O
 from ledgerloom.operators import reporting as R
 from ledgerloom.operators import revisions as V
 from ledgerloom.operators import sampling as S
+from ledgerloom.operators import variants as VA
 from ledgerloom.sources import readers, writers
 
 SCHEMA = (
@@ -230,6 +231,49 @@ def test_pair_counts(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.filter("predicted_same > 0").count()
 
 
+def test_copies_meet_as_groups(spark):
+    """2,000 copies in each of two quarters are one pair of groups, not 4,000,000 of rows; and the single match beside them is found."""
+    many = table(spark, *[row(f"{q.month}-{i}", period_end=q, observation_date=q) for q in (Q2, Q3) for i in range(2000)], row("alone", period_end=Q2, observation_date=Q2, borrower_norm="oak"), row("now", borrower_norm="oak"))
+    many = many.withColumn("economic_facility_id", F.col("facility_row_id"))
+    now, before, met = E._priors(many, True)
+    assert sorted(x.match_count for x in met.pairs.collect()) == [1, 2000]
+    assert [(x.s_economic_facility_id, x.p_economic_facility_id) for x in E.unique_priors(many).collect()] == [("row-now", "row-alone")]
+    assert E.prior_matches(many.filter("substring_index(facility_row_id, '-', -1) < '12'")).filter("match_count > 1").count() > 10
+
+
+def test_matches_of_odd_rows(spark):
+    """Matches by groups, cells of spreads and incomplete rows against every pair of rows compared."""
+    import random
+
+    rng = random.Random(21)
+    spreads = [None, 0.0, -0.0, 0.05, 0.0525, 0.0475, 0.055, 0.045, -0.05, 1e300, float("nan"), float("inf"), 0.049999999, 0.0500000001]
+    rows = table(spark, *[
+        row(f"r{i}", ticker=rng.choice(["AAA", "BBB", "CCC", None]), period_end=(q := rng.choice([Q1, Q2, Q3])), observation_date=q, borrower_norm=rng.choice(["harbor mills", "oak"]),
+            accepted=dt.datetime(2025, 10, rng.randint(1, 9)), is_current_period=rng.random() < 0.95, lien=rng.choice(["first_lien", "first_lien", "unknown", None]), facility_type=rng.choice(["term_loan", "term_loan", ""]),
+            debt_equity=rng.choice(["debt", "debt", "equity"]), reference_rate=rng.choice(["SOFR", "UNKNOWN", "PRIME"]), spread=rng.choice(spreads), maturity=rng.choice([None, dt.date(2030, 1, 1), dt.date(2030, 2, 10)]))
+        for i in range(260)
+    ]).withColumn("economic_facility_id", F.col("facility_row_id")).cache()
+    now = rows.filter("is_current_period")
+    s, p = M.side(now.withColumn("prior_end", F.last_day(F.add_months("period_end", -3))), "s_"), M.side(now, "p_")
+    every = s.join(p, (F.col("s_prior_end") == F.col("p_period_end")) & (F.col("s_borrower_norm") == F.col("p_borrower_norm"))).filter(M.strict_same_facility("s_", "p_")).cache()
+    from pyspark.sql import Window
+
+    shown = ["s_economic_facility_id", "p_economic_facility_id", "match_count"]
+    plain = lambda df, *c: sorted((tuple(x) for x in df.select(*(c or shown)).collect()), key=str)
+    for same_fund in (True, False):
+        want = every.filter("s_ticker = p_ticker") if same_fund else every
+        want = want.withColumn("match_count", F.count(F.lit(1)).over(Window.partitionBy("s_economic_facility_id", "p_ticker")))
+        for few in (10**6, 0):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(M, "FEW_PAIRS", few)
+                assert plain(E.prior_matches(rows, same_fund)) == plain(want) != []
+                assert plain(E.unique_priors(rows, same_fund)) == plain(want.filter("match_count = 1")) != []
+    first = every.filter("p_accepted <= s_accepted").groupBy("s_economic_facility_id").agg(F.min("p_economic_facility_id"), F.count(F.lit(1)))
+    assert plain(VA.first_prior(rows), "economic_facility_id", "prior_id", "n_matches") == plain(first, *first.columns) != []
+    turned = every.filter("s_ticker = p_ticker").groupBy("p_economic_facility_id").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) == 1, F.any_value(F.col("s_fair_value") / F.col("s_principal"))))
+    assert plain(EV.outcomes(rows), "economic_facility_id", "matches", "actual") == plain(turned, *turned.columns) != []
+
+
 def test_lookups_of_some_rows(spark):
     """Lenders and outcomes of named rows are what those rows get among all."""
     rows = holdings(spark, row("u1", ticker="CCC", cik=3))
