@@ -274,6 +274,29 @@ def test_matches_of_odd_rows(spark):
     assert plain(EV.outcomes(rows), "economic_facility_id", "matches", "actual") == plain(turned, *turned.columns) != []
 
 
+def test_sample_makes_its_rows_once(spark):
+    """Counting the population and drawing from it read the rows in one pass."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def keep(_):
+        made.add(1)
+        return True
+
+    assert S.simple_sample(spark.range(100).filter(keep("id")), "id", 5, 1, least=5).count() == 5
+    assert made.value == 100
+
+
+def test_facilities_are_validated_where_stored(spark, monkeypatch):
+    """validated_facilities makes its facilities once, not again for each thing it asks of them."""
+    from ledgerloom.plans import cases
+
+    seen = []
+    monkeypatch.setattr(FA, "validate", seen.append)
+    cases.validated_facilities(spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lookups_of_some_rows(spark):
     """Lenders and outcomes of named rows are what those rows get among all."""
     rows = holdings(spark, row("u1", ticker="CCC", cik=3))
